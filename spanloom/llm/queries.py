@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import conversations, mixing, tokens
+from spanloom.llm import conversations, mixing, spans, tokens
 from spanloom.llm.sql import SQL  # noqa: F401
 from spanloom.runtime import table
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.found(table(spark, d, spans.CLAW), table(spark, d, spans.LOG))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.found(table(spark, d, conversations.CLAUDE), table(spark, d, conversations.CURSOR))
 
@@ -31,4 +35,4 @@ def p9_records(spark: SparkSession, d: str) -> DataFrame:
     return mixing.records(mixing.mix(docs, table(spark, d, "mixture_targets")), docs)
 
 
-QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_records": p9_records}
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_records": p9_records}
