@@ -4,10 +4,9 @@
    two records that share MIN_SPAN code points have an anchor in common at the same place of the shared stretch.
    Records are joined on anchors by a pre-aggregated test (least and largest record of an anchor differ), so no pairs
    are made and an anchor in a third of all rows is one row more for each task.
-2. Extension between seeds: the whole stretch from one shared seed to MIN_SPAN beyond the next is tested at once; if it stands in
-   another record, all spans that begin between the two seeds are shared.
-3. Extension at the ends: each other start that a shared seed reaches is tested with its MIN_SPAN code points.
-4. The shared starts of a record are merged to maximal spans, whose length is added up.
+2. Extension. Each start that a shared seed reaches is tested with its MIN_SPAN code points, again by groups: a start is
+   shared if its stretch occurs in another record. A longer match is a row of such starts.
+3. The shared starts of a record are merged to maximal spans, whose length is added up.
 
 Equality is that of 128-bit hashes of the stretches (two polynomials), tested by groups with map-side combination.
 Arrays of anchors go the same way with runs of MIN_RUN elements, each start tested.
@@ -113,45 +112,26 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(["h", "rec", "no", "pos"], *[np.concatenate(c) for c in zip(*out, strict=True)])
 
 
-def _stretches(name_a: str, name_b: str, choose):
-    """Hashes of the stretches that ``choose(length, seeds, done)`` names by first and last start, to MIN_SPAN behind the last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, rec, no = b.column("text").to_pylist(), b.column("rec").to_numpy(), b.column("no").to_numpy()
-            seeds = b.column("seeds").to_pylist()
-            done = b.column("done").to_pylist() if "done" in b.schema.names else [None] * len(texts)
-            for s in _chunks([len(t) for t in texts]):
-                hashes = Hashes(texts[s])
-                out = []
-                for i, x in enumerate(hashes.at[:-1]):
-                    k = s.start + i
-                    first, last = choose(len(texts[k]), np.unique(np.asarray(seeds[k], np.int64)), done[k])
-                    lo, hi = first + x, last + x + MIN_SPAN
-                    out.append((hashes.of(0, lo, hi), hashes.of(1, lo, hi), np.full(len(first), rec[k]), np.full(len(first), no[k], np.int32), first.astype(np.int32), last.astype(np.int32)))
-                if out:
-                    yield _batch(["g1", "g2", "rec", "no", name_a, name_b], *[np.concatenate(c) for c in zip(*out, strict=True)])
-
-    return run
-
-
-def _between(length: int, seeds: np.ndarray, done) -> tuple[np.ndarray, np.ndarray]:
-    ok = (np.diff(seeds) <= REACH + 1) & (seeds[1:] + MIN_SPAN <= length)
-    return seeds[:-1][ok], seeds[1:][ok]
-
-
-def _ends(length: int, seeds: np.ndarray, done) -> tuple[np.ndarray, np.ndarray]:
+def _starts(length: int, seeds: list[int]) -> np.ndarray:
+    """All starts from REACH before a seed to the seed whose stretch fits into the text."""
     mark = np.zeros(length + 2, np.int32)
-    np.add.at(mark, np.maximum(seeds - REACH, 0), 1)
-    np.add.at(mark, seeds + 1, -1)
-    todo = np.cumsum(mark)[: length - MIN_SPAN + 1] > 0
-    for d in done or ():
-        todo[d["a"] : d["b"] + 1] = False
-    starts = np.flatnonzero(todo)
-    return starts, starts
+    at = np.asarray(seeds, np.int64)
+    np.add.at(mark, np.maximum(at - REACH, 0), 1)
+    np.add.at(mark, at + 1, -1)
+    return np.flatnonzero(np.cumsum(mark)[: length - MIN_SPAN + 1] > 0)
 
 
-_WINDOWS = "g1 BIGINT, g2 BIGINT, rec BIGINT, no INT, a INT, b INT"
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 128-bit hash of the stretch at each start."""
+    for b in batches:
+        texts, rec, no, seeds = b.column("text").to_pylist(), b.column("rec").to_numpy(), b.column("no").to_numpy(), b.column("seeds").to_pylist()
+        for s in _chunks([len(t) for t in texts]):
+            hashes = Hashes(texts[s])
+            starts = [_starts(len(t), p) for t, p in zip(texts[s], seeds[s], strict=True)]
+            n = [len(x) for x in starts]
+            first = np.concatenate(starts)
+            lo = first + np.repeat(hashes.at[:-1], n)
+            yield _batch(["g1", "g2", "rec", "no", "a"], hashes.of(0, lo, lo + MIN_SPAN), hashes.of(1, lo, lo + MIN_SPAN), np.repeat(rec[s], n), np.repeat(no[s], n), first.astype(np.int32))
 
 
 def in_several(rows: DataFrame, *key: str) -> DataFrame:
@@ -161,11 +141,9 @@ def in_several(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def covered(starts: DataFrame, width: int) -> DataFrame:
-    """(rec, n_shared) from shared starts a to b of each text: the length of the union of all [a, b + width)."""
-    w = W.partitionBy("rec", "no").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
-    end = F.col("b") + width
-    upto = F.coalesce(F.max(end).over(w), F.lit(0))
-    rows = starts.withColumn("new", F.greatest(end - F.greatest(F.col("a"), upto), F.lit(0)))
+    """(rec, n_shared) from the shared starts of each text: the length of the union of all [a, a + width)."""
+    gap = F.col("a") - F.lag("a").over(W.partitionBy("rec", "no").orderBy("a"))
+    rows = starts.withColumn("new", F.least(F.coalesce(gap, F.lit(width)), F.lit(width)))
     return rows.groupBy("rec").agg(F.sum("new").alias("n_shared"))
 
 
@@ -178,11 +156,8 @@ def shared_texts(pool: DataFrame) -> DataFrame:
     candidates, _ = materialize(pool.join(seeds, ["rec", "no"]), "candidates")
     drop_path(spark, anchors_path)
     drop_path(spark, pool_path)
-    between, _ = materialize(in_several(candidates.mapInArrow(_stretches("a", "b", _between), _WINDOWS), "g1", "g2").select("rec", "no", "a", "b"), "between")
-    done = between.groupBy("rec", "no").agg(F.collect_list(F.struct("a", "b")).alias("done"))
-    rest = candidates.join(done, ["rec", "no"], "left").mapInArrow(_stretches("a", "b", _ends), _WINDOWS)
-    ends = in_several(rest, "g1", "g2").select("rec", "no", "a", "b")
-    return covered(between.unionByName(ends), MIN_SPAN)
+    windows = candidates.mapInArrow(_stretches, "g1 BIGINT, g2 BIGINT, rec BIGINT, no INT, a INT")
+    return covered(in_several(windows, "g1", "g2").select("rec", "no", "a"), MIN_SPAN)
 
 
 def shared_runs(arrays: DataFrame) -> DataFrame:
@@ -195,7 +170,7 @@ def shared_runs(arrays: DataFrame) -> DataFrame:
         ),
     )
     rows = arrays.where(F.size("items") >= MIN_RUN).select("rec", F.inline(F.filter(runs, lambda r: r.isNotNull())))
-    rows = rows.select("g1", "g2", "rec", F.lit(0).alias("no"), "a", F.col("a").alias("b"))
+    rows = rows.select("g1", "g2", "rec", F.lit(0).alias("no"), "a")
     return covered(in_several(rows, "g1", "g2"), MIN_RUN)
 
 
