@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import conversations, mixing, spans, tokens
+from spanloom.llm import conversations, mixing, secrets, spans, tokens
 from spanloom.llm.sql import SQL  # noqa: F401
 from spanloom.runtime import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.found(table(spark, d, "supported_paths"), table(spark, d, "clawline_sample"))
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.masked(secrets.fields(table(spark, d, "supported_paths"), table(spark, d, "clawline_sample")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.found(table(spark, d, spans.CLAW), table(spark, d, spans.LOG))
 
@@ -35,4 +43,4 @@ def p9_records(spark: SparkSession, d: str) -> DataFrame:
     return mixing.records(mixing.mix(docs, table(spark, d, "mixture_targets")), docs)
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_records": p9_records}
+QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_records": p9_records}
