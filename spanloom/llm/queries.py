@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import conversations, mixing, secrets, spans, tokens
+from spanloom.llm import conversations, mixing, secrets, spam, spans, tokens
 from spanloom.llm.sql import SQL  # noqa: F401
 from spanloom.runtime import table
 
@@ -43,4 +43,8 @@ def p9_records(spark: SparkSession, d: str) -> DataFrame:
     return mixing.records(mixing.mix(docs, table(spark, d, "mixture_targets")), docs)
 
 
-QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_records": p9_records}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_records": p9_records, "p10_found": p10_found}

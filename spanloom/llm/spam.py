@@ -67,8 +67,13 @@ _CODE = re.compile(
     r"[{}]|\(\w*\)|\w\(\w|->|=>|::|==|\+=|^\s*(?:def|fn|let|const|return|if|for|import|class|self\.|use|pub|async|test)\b.*[:;({]?|;\s*$|^@@|^[+\-] {2,}\S|\w\.\w+\(|^\s*[A-Z_]{3,}=|^[MADR] \S+\.\w+|^-[rwx-]{9}|\[\d{4}-"
     r"|^\s*\w+: \d+$|\b[\w/]+\.(?:rs|py|ts|md|go|sql|toml|yaml)\b|\b\w+_\w+_?\d*\b|\b[0-9a-f]{7,}\b|\b[a-z]+[A-Z]\w+\b|\bx[0-9]|^\$ |^>>> \S+\(|^\s*\|?[-:|\s]+\|?$|\.\.\. (?:ok|FAILED|ignored)"
 )
-_SEPARATOR = re.compile(r"[,;|•·/、，；›»>]|\s[–—-]\s")
 _MENU_SEP = re.compile(r"\s(?:[|›»>•·]|::|/)\s")
+_CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
+_NO_LETTER = re.compile(r"[\W_]+")
+_HREF = re.compile(r"href=[\"']([^\"']*)")
+_HASHTAG = re.compile(r"#[^\W\d_]\w*")
+_LINK_SIGN = re.compile(r"://|www\.|\.[a-z]+/|\.(?:com|org|net|info|biz|io|dev|co|eu|de|fr|es|it|uk|cn|jp|ru|local|example|test|invalid)\b", re.IGNORECASE)
+_LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:tags?|keywords?|stichwörter|schlagwörter|etiquetas?|étiquettes?|mots[- ]clés|palabras clave|标签|关键词)\s*[:：]", re.IGNORECASE)
 _LINE_END = re.compile("[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _PIECE = re.compile(r".{1,160}(?:\s|$)|\S{1,160}", re.DOTALL)
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
@@ -83,48 +88,77 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def words_of(segment: str) -> list[str]:
-    """Lower-case words outside links; each ideograph is a word."""
-    plain = _URL.sub(" ", _TAG.sub(" ", segment))
+def words_of(plain: str) -> list[str]:
+    """Lower-case words of a text without links and markup; parts of joined names count each, and so does each ideograph."""
     out = []
-    for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", plain)):
-        out += list(w) if _CJK.search(w) else [w.lower()]
+    for w in _WORD.findall(plain):
+        if w.islower():
+            out.append(w)
+        elif not w.isascii() and _CJK.search(w):
+            out += w
+        elif w.isupper() or w[1:].islower():
+            out.append(w.lower())
+        else:
+            out += _CAMEL.sub(" ", w).lower().split()
     return out
 
 
-def weight(segment: str) -> int:
-    """Letters and digits of a segment as seen on the page, links included."""
-    return sum(c.isalnum() for c in _TAG.sub(" ", segment)) + sum(map(len, re.findall(r"href=[\"']([^\"']*)", segment)))
-
-
-def symbol(segment: str, words: list[str], overused: set[str]) -> str:
-    plain = _TAG.sub(" ", _ANCHOR.sub(" ", segment))
-    linked = sum(map(len, _URL.findall(plain))) + sum(len(m.group(0)) for m in _ANCHOR.finditer(segment))
-    seen = max(1, len(segment.strip()))
-    rest = words_of(_ANCHOR.sub(" ", segment))
-    functional = sum(w in FUNCTION_WORDS or bool(_ZH_FUNCTION.match(w)) for w in rest)
-    if linked / seen >= 0.5 and functional < 4 or linked / seen >= 0.25 and not functional:
+class Segment:
+    """What a segment holds: words outside links, words outside anchors, and the length of what is linked."""
+
+    def __init__(self, text: str):
+        self.text, self.plain, self.linked = text, text, 0
+        outside = text
+        if "<" in text:
+            anchors = [m.group(0) for m in _ANCHOR.finditer(text)]
+            self.linked = sum(map(len, anchors))
+            outside = _TAG.sub(" ", _ANCHOR.sub(" ", text)) if anchors else _TAG.sub(" ", text)
+            self.plain = _TAG.sub(" ", text)
+        self.outside = outside
+        if _LINK_SIGN.search(text):
+            self.linked += sum(map(len, _URL.findall(outside)))
+            bare = _URL.sub(" ", self.plain)
+            self.words = words_of(bare)
+            self.rest = self.words if outside is self.plain or outside == self.plain else words_of(_URL.sub(" ", outside))
+        else:
+            self.words = words_of(self.plain)
+            self.rest = self.words if outside == self.plain else words_of(outside)
+        self.content = [w for w in self.words if not _functional(w)]
+
+    def weight(self) -> int:
+        """Letters and digits as seen on the page, links included."""
+        n = len(_NO_LETTER.sub("", self.plain))
+        return n + sum(map(len, _HREF.findall(self.text))) if "href" in self.text else n
+
+
+def _functional(word: str) -> bool:
+    return word in FUNCTION_WORDS or len(word) == 1 and bool(_ZH_FUNCTION.match(word))
+
+
+def symbol(seg: Segment, overused: set[str]) -> str:
+    text, content, rest = seg.text, seg.content, seg.rest
+    seen, n = max(1, len(text.strip())), max(1, len(rest))
+    functional = sum(map(_functional, rest))
+    if seg.linked and (seg.linked / seen >= 0.5 and functional < 4 or seg.linked / seen >= 0.25 and not functional):
         return "links"
-    content = [w for w in words if w not in FUNCTION_WORDS and not _ZH_FUNCTION.match(w)]
-    over = sum(w in overused for w in content) / max(1, len(content))
     own = Counter(content)
-    again = sum(n for n in own.values() if n > 1) / max(1, len(content))
-    n = max(1, len(rest))
-    if re.match(r"\s*(?:[-*•]\s*)?(?:tags?|keywords?|stichwörter|schlagwörter|etiquetas?|étiquettes?|mots[- ]clés|palabras clave|标签|关键词)\s*[:：]", segment, re.IGNORECASE):
-        return "keywords"
-    if len(re.findall(r"#[^\W\d_]\w*", segment)) * 2 > len(segment.split()):
+    over = sum(k for w, k in own.items() if w in overused) / max(1, len(content))
+    again = sum(k for k in own.values() if k > 1) / max(1, len(content))
+    stuffed = (over >= 0.6 or again >= 0.5) and len(content) >= 2
+    listed = _LISTED.match(text)
+    if functional / n >= 0.16 and len(rest) >= 4 and not stuffed and not listed:
+        return "sentence"
+    if listed or "#" in text and len(_HASHTAG.findall(text)) * 2 > len(text.split()):
         return "keywords"
-    code = bool(_CODE.search(plain))
-    if _PRICE.search(segment) and not code and functional / n < 0.15:
+    code = bool(_CODE.search(seg.outside))
+    if not code and functional / n < 0.15 and _PRICE.search(text):
         return "product"
-    if len(_MENU_SEP.findall(segment)) >= 2 and not code and functional / n < 0.2:
+    if not code and functional / n < 0.2 and len(_MENU_SEP.findall(text)) >= 2:
         return "menu"
-    if (over >= 0.6 and len(content) >= 2 or again >= 0.5) and not code:
+    if stuffed and not code:
         return "stuffed"
     if code:
         return "code"
-    if functional / n >= 0.16 and len(rest) >= 4:
-        return "sentence"
     if over >= 0.6 and content:
         return "stuffed"
     if len(content) >= 4 and functional / n < 0.12:
@@ -156,15 +190,14 @@ def viterbi(symbols: list[str]) -> list[int]:
 
 def label(text: str) -> list[tuple[str, int, int]]:
     """(segment, state, weight) of a page."""
-    parts = segments(html.unescape(text))
+    parts = [Segment(p) for p in segments(html.unescape(text) if "&" in text else text)]
     if not parts:
         return []
-    words = [words_of(p) for p in parts]
-    counts = Counter(w for ws in words for w in ws if w not in FUNCTION_WORDS and not _ZH_FUNCTION.match(w))
+    counts = Counter(w for p in parts for w in p.content)
     total = sum(counts.values())
     overused = {w for w, n in counts.items() if n >= OVERUSED_TIMES and n >= OVERUSED_SHARE * total}
-    states = viterbi([symbol(p, w, overused) for p, w in zip(parts, words, strict=True)])
-    return [(p, s, weight(p)) for p, s in zip(parts, states, strict=True)]
+    states = viterbi([symbol(p, overused) for p in parts])
+    return [(p.text, s, p.weight()) for p, s in zip(parts, states, strict=True)]
 
 
 def spam_share(text: str | None) -> float:
