@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.queries import problems
+from spanloom.queries import fingerprints, problems
 
-MODULES = [problems]
+MODULES = [problems, fingerprints]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
