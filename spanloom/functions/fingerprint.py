@@ -106,7 +106,7 @@ def sample_anchors(anchors: Column, n: int = DEFAULT.max_anchors) -> Column:
 
 def with_windows(df: DataFrame, text: str = "text", p: Params = DEFAULT) -> DataFrame:
     """One row for each window: window_no, start_line, n_lines and window_text."""
-    rows = df.where(F.col(text).isNotNull()).withColumn("_lines", lines_of(F.col(text)))
+    rows = computed_once(df.where(F.col(text).isNotNull()), _lines=lines_of(F.col(text)))
     rows = rows.withColumn("_n", F.size("_lines")).select("*", F.posexplode(window_starts(F.col("_n"), p)).alias("window_no", "start_line"))
     piece = F.array_join(F.slice("_lines", F.col("start_line") + 1, p.window_lines), "\n")
     whole = F.col("_n") <= p.window_lines
@@ -117,10 +117,19 @@ def with_windows(df: DataFrame, text: str = "text", p: Params = DEFAULT) -> Data
     )
 
 
+def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns behind a generator, through which filters on them aren't pushed.
+
+    Else a pushed filter would put the whole expression in place of the column, inside of lambdas even for each element.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def with_features(df: DataFrame, text: str = "text", name: str = "features", p: Params = DEFAULT) -> DataFrame:
     """Adds the winnowed features of a whole text, without windows."""
-    rows = df.withColumn("_tokens", tokens(F.col(text))).withColumn("_grams", kgrams(F.col("_tokens"), p))
-    return rows.withColumn(name, F.when(F.col(text).isNotNull(), winnowed(F.col("_grams"), p))).drop("_tokens", "_grams")
+    rows = computed_once(df, _tokens=tokens(F.col(text)))
+    rows = computed_once(rows, _grams=kgrams(F.col("_tokens"), p))
+    return computed_once(rows, **{name: F.when(F.col(text).isNotNull(), winnowed(F.col("_grams"), p))}).drop("_tokens", "_grams")
 
 
 def token_anchors_native(df: DataFrame, keys: list[str], text: str = "text", p: Params = DEFAULT) -> DataFrame:

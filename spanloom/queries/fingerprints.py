@@ -15,11 +15,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize(spark, d):
-    return _docs(spark, d).where("text is not null").withColumn("tk", fp.tokens(F.col("text"))).select("doc_id", F.size("tk").alias("n_tokens"), F.md5(F.array_join("tk", " ")).alias("tokens_md5"))
+    return fp.computed_once(_docs(spark, d).where("text is not null"), tk=fp.tokens(F.col("text"))).select("doc_id", F.size("tk").alias("n_tokens"), F.md5(F.array_join("tk", " ")).alias("tokens_md5"))
 
 
 def kgram_hashes(spark, d):
-    rows = _docs(spark, d).where("text is not null").withColumn("tk", fp.tokens(F.col("text"))).withColumn("g", fp.kgrams(F.col("tk")))
+    rows = fp.computed_once(fp.computed_once(_docs(spark, d).where("text is not null"), tk=fp.tokens(F.col("text"))), g=fp.kgrams(F.col("tk")))
     return rows.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "")).alias("grams_md5"))
 
 
@@ -47,7 +47,7 @@ def composite_anchors(spark, d):
 
 
 def anchor_sample(spark, d):
-    rows = _docs(spark, d).withColumn("a", fp.token_anchors(F.col("text"))).where("size(a) > 0")
+    rows = fp.computed_once(_docs(spark, d), a=fp.token_anchors(F.col("text"))).where("size(a) > 0")
     return rows.select("doc_id", F.array_join(fp.sample_anchors(F.col("a")), " ").alias("anchors"))
 
 
@@ -60,7 +60,7 @@ def edit_similarity(spark, d):
     """Jaccard similarity of the whole texts before and after each edit."""
     rows = table(spark, d, "clawline_sample").where("before_text is not null and after_text is not null").select("row_id", "before_text", "after_text")
     both = fp.with_features(fp.with_features(rows, "before_text", "fb"), "after_text", "fa")
-    anchors = both.select("row_id", fp.anchor_of(F.col("fb")).alias("b"), fp.anchor_of(F.col("fa")).alias("a"))
+    anchors = fp.computed_once(both, b=fp.anchor_of(F.col("fb")), a=fp.anchor_of(F.col("fa")))
     return anchors.select("row_id", F.round(fp.jaccard(fp.parsed_features(F.col("b")), fp.parsed_features(F.col("a"))).cast("double"), 5).alias("similarity"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.queries import fingerprints, problems
+from spanloom.queries import fingerprints, lineage, problems
 
-MODULES = [problems, fingerprints]
+MODULES = [problems, lineage, fingerprints]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,7 +23,7 @@ def winnow(g: str) -> str:
 def windows(source: str, key: str, text: str) -> str:
     """CTEs ending in ``fw`` (key, w, start_line, n_lines, wt, tk, g, f) of ``source``."""
     return f"""
- fl as (select {key}, {text} as tx, case when {text} like '%' || chr(10) then list_slice(string_split({text}, chr(10)), 1, -2) else string_split({text}, chr(10)) end as ls from {source} where {text} is not null),
+ fl as (select {key}, {text} as tx, case when {text} = '' then []::varchar[] when {text} like '%' || chr(10) then list_slice(string_split({text}, chr(10)), 1, -2) else string_split({text}, chr(10)) end as ls from {source} where {text} is not null),
  fs as (select *, unnest(case when len(ls) <= 24 then [0] else range(0, ceil((len(ls) - 24) / 12.0)::bigint + 1) end) as w from fl),
  fx as (select {key}, w, w * 12 as start_line, least(24, len(ls) - w * 12) as n_lines, case when len(ls) <= 24 then tx else array_to_string(ls[w * 12 + 1 : w * 12 + 24], chr(10)) end as wt from fs),
  ft as (select *, {tokens("wt")} as tk from fx),
