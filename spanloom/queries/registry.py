@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.queries import fingerprints, lineage, problems
+from spanloom.queries import dialects, fingerprints, lineage, problems
 
-MODULES = [problems, lineage, fingerprints]
+MODULES = [problems, lineage, fingerprints, dialects]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: White space of Unicode, as a class of the other engine's regular expressions.
 _SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-TOKEN = rf"[\p{{L}}\p{{Nl}}\p{{M}}\p{{N}}_]+|[^{_SPACE}]"
+TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^{_SPACE}]"
 
 
 def tokens(text: str) -> str:
