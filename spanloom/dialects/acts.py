@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from datetime import datetime, timezone
 
 from spanloom.functions.scalar import TOOL_EDITS, TOOL_READS
 
@@ -242,12 +243,12 @@ def gemini(doc: object) -> Iterator[Act]:
 
 
 def _ms(value: object) -> str | None:
-    from datetime import datetime, timezone
-
-    if isinstance(value, str) and value.isdigit():
-        value = int(value)
+    """Milliseconds as seconds with Z; texts as they are, and numbers that are no time as text."""
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return datetime.fromtimestamp(value // 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        try:
+            return datetime.fromtimestamp(value // 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        except (ValueError, OverflowError, OSError):
+            return str(value)
     return value if isinstance(value, str) else None
 
 
