@@ -130,20 +130,19 @@ def climb(touches: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFrame
 
     The frontier of a hop is the set of distinct (tape, turn) that the hop before reached for the first time, so loops end.
     """
-    frontier = touches.select("tape_id", "turn").distinct()
+    links, _ = materialize(links.select("tape_id", "uuid", "first_turn_index", "direction"), "links")
+    frontier, _ = materialize(touches.select("tape_id", "turn").distinct(), "frontier")
     hops: DataFrame | None = None
-    seen: DataFrame | None = None
+    seen = frontier
     for hop in range(max_hops):
         step = sent_marker(latest_received(frontier, links).where("uuid is not null"), links)
         step, _ = materialize(step.select("tape_id", "turn", "uuid", "received_turn", "parent_tape", "sent_turn", F.lit(hop).alias("hop")), "hops")
-        if step.isEmpty():
-            break
         hops = step if hops is None else hops.unionByName(step)
-        seen = frontier if seen is None else seen.unionByName(frontier)
-        frontier = step.where("parent_tape is not null").select(F.col("parent_tape").alias("tape_id"), F.col("sent_turn").alias("turn")).distinct().join(seen, ["tape_id", "turn"], "left_anti")
-    if hops is None:
-        empty = "tape_id STRING, turn BIGINT, uuid STRING, received_turn BIGINT, parent_tape STRING, sent_turn BIGINT, hop INT"
-        return touches.sparkSession.createDataFrame([], empty)
+        reached = step.where("parent_tape is not null").select(F.col("parent_tape").alias("tape_id"), F.col("sent_turn").alias("turn")).distinct()
+        frontier, _ = materialize(reached.join(seen, ["tape_id", "turn"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
     return hops
 
 
