@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.dialects.registry import DIALECTS, Dialect
 from spanloom.operators.joins import pair_latest
 from spanloom.operators.nested import parse_json
+from spanloom.operators.running import position_bucket, running_sum
 
 _ACT = (
     "tape_id STRING, line_no BIGINT, item INT, act STRING, t STRING, session_id STRING, model STRING, repo_head STRING, text STRING, tool STRING, call_id STRING, args STRING, error BOOLEAN, exit INT, "
@@ -60,7 +60,7 @@ def to_events(acts: DataFrame, dialect: Dialect) -> DataFrame:
     acts = acts.withColumn("pos", pos)
     calls = acts.where("act = 'call' and call_id is not null").select("tape_id", "call_id", "pos", F.col("tool").alias("call_tool"), F.col("reads").alias("call_reads"), F.col("edits").alias("call_edits"))
     results = acts.where("act = 'result'").drop("reads", "edits")
-    paired = pair_latest(calls.select("tape_id", "call_id", "pos"), results, ["tape_id", "call_id"], "pos", consume=dialect.one_shot)
+    paired = pair_latest(calls.select("tape_id", "call_id", "pos"), results, ["tape_id", "call_id"], "pos", consume=dialect.one_shot, bucket=lambda c: position_bucket(c, 33))
     paired = paired.join(calls.withColumnRenamed("pos", "call_at"), ["tape_id", "call_id", "call_at"], "left")
     none = lambda *names: [F.lit(None).cast("int" if n == "exit" else "array<int>" if n == "range" else "string").alias(n) for n in names]
 
@@ -106,8 +106,8 @@ def to_events(acts: DataFrame, dialect: Dialect) -> DataFrame:
     known = facts.select("tape_id", F.col("session_id").alias("_session"))
     rows = meta.unionByName(body).join(known, "tape_id", "left")
     source = F.struct(F.lit(dialect.harness).alias("harness"), F.col("_session").alias("session_id"))
-    order = W.partitionBy("tape_id").orderBy("pos", "rank", "sub")
-    return rows.withColumn("event_offset", (F.row_number().over(order) - 1).cast("bigint")).select("tape_id", "event_offset", *[F.col(f"`{c}`") for c in EVENT], source.alias("source"))
+    numbered = running_sum(rows, ["tape_id"], ["pos", "rank", "sub"], position_bucket(F.col("pos"), 33), F.lit(1), "event_offset", before=True)
+    return numbered.withColumn("event_offset", F.col("event_offset").cast("bigint")).select("tape_id", "event_offset", *[F.col(f"`{c}`") for c in EVENT], source.alias("source"))
 
 
 def normalise(lines: DataFrame, name: str) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalar import UUID
+from spanloom.operators.joins import asof_backward
 from spanloom.operators.nested import parse_json
+from spanloom.operators.running import position_bucket, running_sum
 from spanloom.params import DEFAULT, Params
 from spanloom.runtime import materialize
 
@@ -94,7 +95,7 @@ def dispatch_links(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["tape_id", "line_no", "i", "marks"])
 
     rows = lines.select("tape_id", "line_no", "raw").mapInArrow(walk, "tape_id STRING, line_no BIGINT, i INT, marks STRING")
-    turns = rows.withColumn("turn", F.row_number().over(W.partitionBy("tape_id").orderBy("line_no", "i")) - 1)
+    turns = running_sum(rows, ["tape_id"], ["line_no", "i"], position_bucket(F.col("line_no")), F.lit(1), "turn", before=True)
     marks = turns.select("tape_id", "turn", F.explode(F.from_json("marks", "map<string,string>")).alias("uuid", "direction"))
     return marks.groupBy("tape_id", "uuid").agg(F.min("turn").cast("bigint").alias("first_turn_index"), F.min_by("direction", F.struct("turn", "direction")).alias("direction"))
 
@@ -103,18 +104,10 @@ def latest_received(touches: DataFrame, links: DataFrame) -> DataFrame:
     """As-of join: for each touch (tape_id, turn) the last marker received strictly before it; of one turn the least uuid.
 
     The touches' other columns stay; ``uuid`` and ``received_turn`` are null where nothing was received. Links of a tape and
-    its touches are merged by one sorted window, not by pairs.
+    its touches are merged by sorting, not by pairs.
     """
-    cols = touches.columns
-    left = touches.select(F.struct(*cols).alias("_touch"), F.col("tape_id").alias("_tape"), F.col("turn").alias("_turn"), F.lit(0).alias("_side"), F.lit(None).cast("struct<t:bigint,u:string>").alias("_link"))
-    best = links.where("direction = 'received'").groupBy("tape_id", "first_turn_index").agg(F.min("uuid").alias("u"))
-    right = best.select(
-        F.lit(None).cast(left.schema["_touch"].dataType).alias("_touch"), F.col("tape_id").alias("_tape"), F.col("first_turn_index").alias("_turn"), F.lit(1).alias("_side"),
-        F.struct(F.col("first_turn_index").alias("t"), "u").alias("_link"),
-    )
-    w = W.partitionBy("_tape").orderBy("_turn", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = left.unionByName(right).withColumn("_last", F.last("_link", ignorenulls=True).over(w)).where("_side = 0")
-    return merged.select("_touch.*", F.col("_last.u").alias("uuid"), F.col("_last.t").alias("received_turn"))
+    best = links.where("direction = 'received'").groupBy("tape_id", "first_turn_index").agg(F.min("uuid").alias("uuid")).withColumn("received_turn", F.col("first_turn_index"))
+    return asof_backward(touches, best, ["tape_id"], "turn", "first_turn_index", ["uuid", "received_turn"], bucket=lambda c: position_bucket(c, 10))
 
 
 def sent_marker(uuids: DataFrame, links: DataFrame) -> DataFrame:

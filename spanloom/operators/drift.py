@@ -7,7 +7,7 @@
    (boolean and number to string, array and object to JSON text), which gives the union schema.
 3. Changes: neighbouring files of a stream are compared; fields that went away and fields that came are matched as
    renames if the values go on: shared values, a sequence or clock that continues, or texts of the same kind.
-4. Cast: records are read into the union schema, with the names a renamed field had before mapped to its present one.
+4. Cast: records are read into the union schema; a field that was renamed goes on in the column of its first name.
 
 Defined results
 * Damaged, empty and null lines and values that aren't objects hold no fields; a file without valid record has none.
@@ -30,8 +30,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.operators.hierarchy import hierarchy
+from spanloom.operators.joins import asof_backward
 from spanloom.operators.nested import parse_json
+from spanloom.operators.running import position_bucket, running_sum
 from spanloom.operators.timestamps import parse_instant
+from spanloom.runtime import materialize
 
 #: Value hashes kept of each field of a file.
 SKETCH = 64
@@ -112,14 +116,16 @@ def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
     values = rows.mapInArrow(_read_fields, _HEADER)
     # distinct values first, so that the sketch below is a bounded aggregate of few rows per file and field
     values = values.groupBy("file_id", "field", "type", "hash").agg(F.min("number").alias("number"), F.min("instant").alias("instant"), F.min("shape").alias("shape"), F.sum("n").alias("n"))
-    ranked = values.withColumn("rank", F.row_number().over(W.partitionBy("file_id", "field").orderBy("hash")))
-    return ranked.groupBy("file_id", "field").agg(
+    values, _ = materialize(values, "values")
+    stats = values.groupBy("file_id", "field").agg(
         F.array_sort(F.collect_set("type")).alias("types"), F.sum("n").alias("n_records"), F.count("*").alias("n_values"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= SKETCH, F.col("hash")))).alias("sketch"),
         F.min("number").alias("low"), F.max("number").alias("high"), F.min("instant").alias("first"), F.max("instant").alias("last"),
         F.count("number").alias("n_numbers"), F.count("instant").alias("n_instants"),
-        F.array_sort(F.collect_set(F.when(F.col("rank") <= SKETCH, F.col("shape")))).alias("shapes"),
     )
+    # the limit by rank is applied before the exchange, so a file with very many values sends few of them
+    top = values.withColumn("rank", F.row_number().over(W.partitionBy("file_id", "field").orderBy("hash"))).where(F.col("rank") <= SKETCH)
+    sketch = top.groupBy("file_id", "field").agg(F.array_sort(F.collect_list("hash")).alias("sketch"), F.array_sort(F.collect_set("shape")).alias("shapes"))
+    return stats.join(sketch, ["file_id", "field"])
 
 
 def _words(name: str) -> set[str]:
@@ -192,31 +198,56 @@ def _changes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def changes(files: DataFrame, head: DataFrame) -> DataFrame:
     """The ordered differences of each file against the one before it in its stream."""
-    order = W.partitionBy("stream").orderBy("seq", "file_id")
-    pairs = files.select("stream", "seq", "file_id").withColumn("previous", F.lag("file_id").over(order)).where("previous is not null")
+    placed = files.select("stream", "file_id", F.struct("seq", "file_id").alias("at"))
+    before = placed.select("stream", F.col("at").alias("before_at"), F.col("file_id").alias("previous"))
+    pairs = asof_backward(placed, before, ["stream"], "at", "before_at", ["previous"], bucket=lambda c: position_bucket(c["seq"])).where("previous is not null")
     sides = pairs.select(F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("previous").alias("file_id"), F.lit(False).alias("is_new")), F.struct("file_id", F.lit(True).alias("is_new")))).alias("s"))
     sides = sides.select("pair", "s.*")
     both = sides.join(head, "file_id").drop("file_id")
     return both.groupBy("pair").applyInPandas(_changes, _CHANGES)
 
 
-def union_schema(head: DataFrame) -> T.StructType:
-    """The promoted schema of all fields; its size is the number of distinct field names."""
-    rows = head.select("field", F.explode("types").alias("type")).groupBy("field").agg(F.collect_set("type").alias("types")).orderBy("field").collect()
+def canonical_names(files: DataFrame, head: DataFrame, differences: DataFrame) -> DataFrame:
+    """(file_id, field, name): the first name of each field of each file, found by following renames back by pointer doubling.
+
+    A field's life begins where it was added or renamed to; each life is a node, and a rename links it to the one before.
+    """
+    order = running_sum(files.select("file_id", "stream", "seq"), ["stream"], ["seq", "file_id"], position_bucket(F.col("seq")), F.lit(1), "at")
+    changed = differences.where(F.col("change").isin("added", "renamed")).join(order.select("file_id", "stream", "at"), "file_id")
+    births = changed.select("stream", F.col("new_field").alias("field"), F.col("at").alias("born_at"), F.col("at").alias("born"))
+    held = head.select("file_id", "field").join(order.select("file_id", "stream", "at"), "file_id")
+    node = lambda f, born: F.concat_ws("\x1f", "stream", F.coalesce(born, F.lit(0)).cast("string"), f)
+    lives = asof_backward(held, births, ["stream", "field"], "at", "born_at", ["born"], strict=False, bucket=position_bucket).withColumn("node", node(F.col("field"), F.col("born")))
+    renamed = changed.where("change = 'renamed'").select("stream", F.col("old_field").alias("field"), (F.col("at") - 1).alias("at"), "new_field", F.col("at").alias("new_born"))
+    olds = asof_backward(renamed, births, ["stream", "field"], "at", "born_at", ["born"], strict=False, bucket=position_bucket)
+    links = olds.select(node(F.col("new_field"), F.col("new_born")).alias("child"), node(F.col("field"), F.col("born")).alias("parent"))
+    roots = hierarchy(links).where("depth >= 0").select("node", F.element_at(F.split("root", "\x1f"), -1).alias("first_name"))
+    return lives.join(roots, "node", "left").select("file_id", "field", F.coalesce("first_name", "field").alias("name"))
+
+
+def union_schema(head: DataFrame, names: DataFrame | None = None) -> T.StructType:
+    """The promoted schema of all fields (by their first names, if given); its size is the number of distinct names."""
+    held = head.withColumn("name", F.col("field")) if names is None else head.join(names, ["file_id", "field"])
+    rows = held.select("name", F.explode("types").alias("type")).groupBy("name").agg(F.collect_set("type").alias("types")).orderBy("name").collect()
     seen: dict[str, int] = {}
     fields = []
     for r in rows:  # column names differ by more than case; the field's own name stays in the metadata
-        n = seen[r["field"].lower()] = seen.get(r["field"].lower(), -1) + 1
-        name = f"{r['field']}__{n}" if n else r["field"]
-        fields.append(T.StructField(name, T._parse_datatype_string(SQL_TYPES[promote(set(r["types"]))]), True, {"field": r["field"]}))
+        n = seen[r["name"].lower()] = seen.get(r["name"].lower(), -1) + 1
+        name = f"{r['name']}__{n}" if n else r["name"]
+        fields.append(T.StructField(name, T._parse_datatype_string(SQL_TYPES[promote(set(r["types"]))]), True, {"field": r["name"]}))
     return T.StructType(fields)
 
 
-def consistent(files: DataFrame, lines: DataFrame, schema: T.StructType) -> DataFrame:
+def consistent(files: DataFrame, lines: DataFrame, schema: T.StructType, names: DataFrame | None = None) -> DataFrame:
     """All valid records in the union schema; values that don't fit the promoted type stand as JSON text."""
-    names = [f.metadata.get("field", f.name) for f in schema.fields]
+    wanted = [f.metadata.get("field", f.name) for f in schema.fields]
     dialect = files.select("file_id", F.col("dialect").isin(*CLAUDE).alias("claude"))
-    rows = lines.select("file_id", "line_no", "raw").join(dialect, "file_id").select("file_id", "line_no", "claude", "raw")
+    if names is not None:
+        renamed = names.where("name <> field").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
+        dialect = dialect.join(renamed, "file_id", "left")
+    else:
+        dialect = dialect.withColumn("names", F.lit(None).cast("map<string,string>"))
+    rows = lines.select("file_id", "line_no", "raw").join(dialect, "file_id").select("file_id", "line_no", "claude", F.to_json("names").alias("names"), "raw")
     out = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("line_no", T.LongType()), *schema.fields])
 
     def cast(value: object, to: T.DataType):
@@ -232,15 +263,24 @@ def consistent(files: DataFrame, lines: DataFrame, schema: T.StructType) -> Data
         kinds = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
         for b in batches:
             ids, nos, vals = [], [], []
-            for file_id, no, claude, raw in zip(*[b.column(c).to_pylist() for c in ("file_id", "line_no", "claude", "raw")], strict=True):
+            for file_id, no, claude, first, raw in zip(*[b.column(c).to_pylist() for c in ("file_id", "line_no", "claude", "names", "raw")], strict=True):
                 record = parse_json(raw)
                 if isinstance(record, dict):
-                    ids.append(file_id), nos.append(no), vals.append(dict(fields_of(record, claude)))
-            cols = [pa.array([cast(v.get(n), f.dataType) for v in vals], kinds[f.dataType.typeName()]) for n, f in zip(names, schema.fields, strict=True)]
+                    to = json.loads(first) if first else {}
+                    ids.append(file_id), nos.append(no), vals.append({to.get(k, k): v for k, v in fields_of(record, claude)})
+            cols = [pa.array([cast(v.get(n), f.dataType) for v in vals], kinds[f.dataType.typeName()]) for n, f in zip(wanted, schema.fields, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), *cols], names=["file_id", "line_no", *schema.names])
 
     return rows.mapInArrow(read, out)
 
 
+def one_table(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the consistent table, the ordered differences)."""
+    head, _ = materialize(headers(files, lines), "headers")
+    differences, _ = materialize(changes(files, head), "changes")
+    names, _ = materialize(canonical_names(files, head, differences), "names")
+    return consistent(files, lines, union_schema(head, names), names), differences
+
+
 def found(files: DataFrame, lines: DataFrame) -> DataFrame:
     return changes(files, headers(files, lines)).select("file_id", "change", "old_field", "new_field")

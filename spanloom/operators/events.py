@@ -8,9 +8,10 @@ A line is bad if it is no JSON object, lacks ``t`` or ``k`` as strings, or has a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.running import position_bucket, running_sum
+
 _TEXTS = [
     "t", "k", "model", "repo_head", "label", "file", "before_hash", "after_hash", "text", "before_text", "after_text", "from_file", "to_file", "note",
 ]
@@ -133,5 +134,5 @@ def conformance(events: DataFrame) -> DataFrame:
 
 def message_turns(events: DataFrame) -> DataFrame:
     """Adds ``turn``: the number of message events before each event of its tape."""
-    before = W.partitionBy("tape_id").orderBy("event_offset").rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("turn", F.coalesce(F.sum(F.col("k").isin("msg.in", "msg.out").cast("long")).over(before), F.lit(0)))
+    is_message = F.coalesce(F.col("k").isin("msg.in", "msg.out").cast("bigint"), F.lit(0))
+    return running_sum(events, ["tape_id"], ["event_offset"], position_bucket(F.col("event_offset")), is_message, "turn", before=True)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.running import position_bucket, running_sum
 from spanloom.params import DEFAULT, Params
 
 
 def positions(rows: DataFrame, key: str = "tape_id", order: str = "line_no") -> DataFrame:
     """Adds ``position``, the number of a row among the non-blank ones of its tape, from 0."""
-    return rows.where(F.trim("raw") != "").withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
+    return running_sum(rows.where(F.trim("raw") != ""), [key], [order], position_bucket(F.col(order)), F.lit(1), "position", before=True)
 
 
 def neighbourhood(rows: DataFrame, touches: DataFrame, radius: int = DEFAULT.transcript_radius) -> DataFrame:
@@ -36,10 +36,10 @@ def matches(rows: DataFrame, literal: str) -> DataFrame:
 def merged_context(hits: DataFrame, totals: DataFrame, context: int = DEFAULT.grep_context) -> DataFrame:
     """(tape_id, start, end) of the lines around hits (tape_id, line from 1); windows that touch are one."""
     spans = hits.join(totals, "tape_id").select("tape_id", F.greatest(F.col("line") - context, F.lit(1)).alias("start"), F.least(F.col("line") + context, F.col("total")).alias("end"))
-    order = W.partitionBy("tape_id").orderBy("start", "end")
-    spans = spans.withColumn("_upto", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    spans = spans.withColumn("_island", F.sum(F.when(F.col("start") <= F.col("_upto") + 1, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return spans.groupBy("tape_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    lines = spans.select("tape_id", F.explode(F.sequence("start", "end")).alias("line")).distinct()
+    # neighbouring lines have the same distance to their number among the lines kept
+    numbered = running_sum(lines, ["tape_id"], ["line"], position_bucket(F.col("line")), F.lit(1), "n")
+    return numbered.groupBy("tape_id", (F.col("line") - F.col("n")).alias("island")).agg(F.min("line").alias("start"), F.max("line").alias("end")).drop("island")
 
 
 def slice_lines(rows: DataFrame, spans: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from spanloom.functions import fingerprint as fp
 from spanloom.functions.scalar import confidence_tier, in_dates, is_uuid, rfc3339
 from spanloom.operators import dispatch, events, graph, index, joins, lookup, windows
 from spanloom.operators.hierarchy import dispatch_parents
+from spanloom.operators.running import day_bucket
 from spanloom.queries import sqltext as S
 from spanloom.runtime import materialize, table
 
@@ -205,7 +206,7 @@ def asof_click(spark, d):
     e = table(spark, d, "events")
     click = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
     buy = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return joins.asof_backward(buy, click, ["user_id"], "ts", "click_ts", ["click_ts", "click_id"], ties=F.col("click_id")).select("event_id", "user_id", "click_id")
+    return joins.asof_backward(buy, click, ["user_id"], "ts", "click_ts", ["click_ts", "click_id"], ties=F.col("click_id"), bucket=day_bucket).select("event_id", "user_id", "click_id")
 
 
 def call_result_pairing(spark, d):

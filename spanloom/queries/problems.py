@@ -41,14 +41,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     """All records cast to the union schema, as one row per record and held field."""
-    files, lines = table(spark, d, "transcript_files"), table(spark, d, "transcript_lines")
-    schema = drift.union_schema(drift.headers(files, lines))
-    rows = drift.consistent(files, lines, schema)
-    cols = F.map_from_arrays(F.array(*[F.lit(f.metadata["field"]) for f in schema.fields]), F.array(*[F.col(f"`{f.name}`").cast("string") for f in schema.fields]))
+    rows, _ = drift.one_table(table(spark, d, "transcript_files"), table(spark, d, "transcript_lines"))
+    fields = [f for f in rows.schema.fields if f.name not in ("file_id", "line_no")]
+    cols = F.map_from_arrays(F.array(*[F.lit(f.metadata["field"]) for f in fields]), F.array(*[F.col(f"`{f.name}`").cast("string") for f in fields]))
     return rows.select("file_id", "line_no", F.explode(cols).alias("field", "value")).where("value is not null")
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records}
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered report: each change with the field's types before and after."""
+    files = table(spark, d, "transcript_files")
+    return drift.changes(files, drift.headers(files, table(spark, d, "transcript_lines")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
 
 _P1_BASE = """
  tm as (select row_id, unnest(messages) as m, generate_subscripts(messages, 1) - 1 as mp from session_with_tools),

@@ -21,7 +21,7 @@ def tape_id_of(text: str) -> str:
 
 def read_text_files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, line_no, raw) of text files, compressed or not; line numbers count blank lines, a last newline makes no line."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
     parts = F.split("value", "\n", -1)
     lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return files.select("path", F.posexplode(lines).alias("line_no", "raw")).select("path", F.col("line_no").cast("bigint").alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw"))
@@ -83,8 +83,10 @@ def list_tapes(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 def span_variants(path: str, start: int, end: int) -> list[str]:
     """Two spellings of the lines start to end (from 1, inclusive) of a file: joined by newlines, and as they stand."""
-    text = Path(path).read_text(encoding="utf-8")
-    raw = text.splitlines(keepends=True)
+    text = Path(path).read_bytes().decode("utf-8")
+    raw = [x + "\n" for x in text.split("\n")]
+    raw[-1] = raw[-1][:-1]
+    raw = raw if raw[-1] else raw[:-1]
     if not 1 <= start <= end <= len(raw):
         raise ValueError(f"{path} has {len(raw)} lines; {start}-{end} is no span of it")
     part = raw[start - 1 : end]
