@@ -7,7 +7,7 @@ explains is the residual. A value is a secret if it is literal (no reference, pl
 strength of its context, has a residual, digits or symbols; bare hashes and ids count in strong contexts only.
 
 Defined results
-* Null and empty texts hold no secret. Spans of a text don't overlap; the first and longest of overlapping ones stays.
+* Null and empty texts hold no secret. Spans of a text don't overlap; the one of the most exact context, then the first and longest, stays.
 * Key blocks count with both their BEGIN and END line and some body; public keys and certificates don't.
 * Rows are scanned each, repeated ones too; whole texts are scanned whatever their length.
 """
@@ -137,11 +137,11 @@ def find(text: str | None, words: Dictionary) -> list[tuple[int, int]]:
     if not text:
         return []
     blocks = [(m.start(), m.end()) for m in _BLOCK.finditer(text) if len(re.findall(r"[A-Za-z0-9+/=]", m["body"])) >= 16 and not re.search(r"redacted|\*{3}|<", m["body"], re.IGNORECASE)]
-    spans = list(blocks)
+    spans = {b: 0 for b in blocks}  # span -> how exact its context is: key blocks, forms of their own, names
 
-    def add(m: re.Match, group: str, strong: bool, quoted: bool) -> None:
+    def add(m: re.Match, group: str, strong: bool, quoted: bool, rank: int = 2) -> None:
         if is_secret(m[group], strong, quoted, words):
-            spans.append(m.span(group))
+            spans[m.span(group)] = min(rank, spans.get(m.span(group), rank))
 
     for pattern in (_ASSIGN, _FLAG, _ENV):
         for m in pattern.finditer(text):
@@ -154,13 +154,13 @@ def find(text: str | None, words: Dictionary) -> list[tuple[int, int]]:
         add(m, "v", m["strong"] is not None, True)
     for pattern in _OTHERS:
         for m in pattern.finditer(text):
-            add(m, "v", True, True)
+            add(m, "v", True, True, 1)
     for m in _PGPASS.finditer(text):
-        add(m, "v", True, True)
+        add(m, "v", True, True, 1)
     for m in _FORMATS.finditer(text):
         add(m, "v", False, True)
     out: list[tuple[int, int]] = []
-    for s, e in sorted(set(spans), key=lambda x: (x not in blocks, x[0], -x[1])):
+    for s, e in sorted(spans, key=lambda x: (spans[x], x[0], -x[1])):
         if all(e <= a or s >= b for a, b in out):
             out.append((s, e))
     return sorted(out)
