@@ -64,8 +64,8 @@ _BREAK = re.compile(r"</?(?:br|p|li|ul|ol|div|h\d|tr|td|table|body|html|section|
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _PRICE = re.compile(r"[$€£¥]\s?\d+(?:[.,]\d+)*|\b\d+[.,]\d{2}\b(?:\s?(?:[$€£¥]|EUR|USD))?")
 _CODE = re.compile(
-    r"[{}]|\(\w*\)|\w\(\w|->|=>|::|==|\+=|^\s*(?:def|fn|let|const|return|if|for|import|class|self\.|use|pub|async|test)\b.*[:;({]?|;\s*$|^@@|^[+\-] {2,}\S|\w\.\w+\(|^\s*[A-Z_]{3,}=|^[MADR] \S+\.\w+|^-[rwx-]{9}|\[\d{4}-"
-    r"|^\s*\w+: \d+$|\b[\w/]+\.(?:rs|py|ts|md|go|sql|toml|yaml)\b|\b\w+_\w+_?\d*\b|\b[0-9a-f]{7,}\b|\b[a-z]+[A-Z]\w+\b|\bx[0-9]|^\$ |^>>> \S+\(|^\s*\|?[-:|\s]+\|?$|\.\.\. (?:ok|FAILED|ignored)"
+    r"[{}]|\(\)|\w\(\w|->|=>|::|==|\+=|^\s*(?:def|fn|let|const|return|if|for|import|class|self\.|use|pub|async|test)\b.*[:;({]?|;\s*$|^@@|^[+\-] {2,}\S|\w\.\w+\(|^\s*[A-Z_]{3,}=|^[MADR] \S+\.\w+|^-[rwx-]{9}|\[\d{4}-"
+    r"|^\s*\w+: \d+$|\b[\w/]+\.(?:rs|py|ts|md|go|sql|toml|yaml)\b|\b\w+_\w+_?\d*\b|\b[0-9a-f]{7,}\b|(?<![#\w])[A-Za-z][a-z]+[A-Z]\w+\b|\bx[0-9]|^\$ |^>>> \S+\(|^\s*\|?[-:|\s]+\|?$|\.\.\. (?:ok|FAILED|ignored)"
 )
 _MENU_SEP = re.compile(r"\s(?:[|›»>•·]|::|/)\s")
 _CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
@@ -139,7 +139,7 @@ def symbol(seg: Segment, overused: set[str]) -> str:
     text, content, rest = seg.text, seg.content, seg.rest
     seen, n = max(1, len(text.strip())), max(1, len(rest))
     functional = sum(map(_functional, rest))
-    if seg.linked and (seg.linked / seen >= 0.5 and functional < 4 or seg.linked / seen >= 0.25 and not functional):
+    if seg.linked and (seg.linked / seen >= 0.5 and functional < 4 or seg.linked / seen >= 0.25 and functional <= 1):
         return "links"
     own = Counter(content)
     over = sum(k for w, k in own.items() if w in overused) / max(1, len(content))
