@@ -49,9 +49,9 @@ FUNCTION_WORDS = frozenset(
     der die das den dem des ein eine einen einem ist sind und oder nicht mit von zu auf bei wenn weil wie ich wir nur noch aber im am für über jetzt früher waren es alle
     le la les un une des du de est sont et ou ne pas que qui dans sur avec pour par il je on tant si
     el los las una del es son y o no en con por para se lo al hasta cuando
-    um uma os as com não e di che gli per non и в не на что с для""".split()
+    um uma os as com não e di che gli per non и в не на что с для
+    的 了 在 是 我 把 到 这 有 个 为 会 而 不 请 先 再 应 该 如 果 后 没 其 么 从 就 都 和 与 被 让 能 很 过 还 吗""".split()
 )
-_ZH_FUNCTION = re.compile("[的了在是我把到这有个为会而不请先再应该如果后没其么从就都和与被让能很过还吗]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _URL = re.compile(
     r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w./@-])[a-z0-9-]+(?:\.[a-z0-9-]+)+/[^\s<>\"')\]]*"
@@ -68,6 +68,7 @@ _CODE = re.compile(
     r"|^\s*\w+: \d+$|\b[\w/]+\.(?:rs|py|ts|md|go|sql|toml|yaml)\b|\b\w+_\w+_?\d*\b|\b[0-9a-f]{7,}\b|(?<![#\w])[A-Za-z][a-z]+[A-Z]\w+\b|\bx[0-9]|^\$ |^>>> \S+\(|^\s*\|?[-:|\s]+\|?$|\.\.\. (?:ok|FAILED|ignored)"
 )
 _MENU_SEP = re.compile(r"\s(?:[|›»>•·]|::|/)\s")
+_ASCII_WORD, _ASCII_HUMP, _ASCII_CAMEL = re.compile(r"[a-z]+(?:'[a-z]+)?"), re.compile("[a-z][A-Z]"), re.compile("(?<=[a-z])(?=[A-Z])")
 _CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
 _NO_LETTER = re.compile(r"[\W_]+")
 _HREF = re.compile(r"href=[\"']([^\"']*)")
@@ -90,6 +91,8 @@ def segments(text: str) -> list[str]:
 
 def words_of(plain: str) -> list[str]:
     """Lower-case words of a text without links and markup; parts of joined names count each, and so does each ideograph."""
+    if plain.isascii():
+        return _ASCII_WORD.findall((_ASCII_CAMEL.sub(" ", plain) if _ASCII_HUMP.search(plain) else plain).lower())
     out = []
     for w in _WORD.findall(plain):
         if w.islower():
@@ -123,7 +126,7 @@ class Segment:
         else:
             self.words = words_of(self.plain)
             self.rest = self.words if outside == self.plain else words_of(outside)
-        self.content = [w for w in self.words if not _functional(w)]
+        self.content = [w for w in self.words if w not in FUNCTION_WORDS]
 
     def weight(self) -> int:
         """Letters and digits as seen on the page, links included."""
@@ -131,19 +134,15 @@ class Segment:
         return n + sum(map(len, _HREF.findall(self.text))) if "href" in self.text else n
 
 
-def _functional(word: str) -> bool:
-    return word in FUNCTION_WORDS or len(word) == 1 and bool(_ZH_FUNCTION.match(word))
-
-
 def symbol(seg: Segment, overused: set[str]) -> str:
     text, content, rest = seg.text, seg.content, seg.rest
     seen, n = max(1, len(text.strip())), max(1, len(rest))
-    functional = sum(map(_functional, rest))
+    functional = len(rest) - len(content) if rest is seg.words else sum(w in FUNCTION_WORDS for w in rest)
     if seg.linked and (seg.linked / seen >= 0.5 and functional < 4 or seg.linked / seen >= 0.25 and functional <= 1):
         return "links"
-    own = Counter(content)
-    over = sum(k for w, k in own.items() if w in overused) / max(1, len(content))
-    again = sum(k for k in own.values() if k > 1) / max(1, len(content))
+    size = max(1, len(content))
+    over = sum(w in overused for w in content) / size if overused else 0.0
+    again = sum(k for k in Counter(content).values() if k > 1) / size if len(set(content)) < len(content) else 0.0
     stuffed = (over >= 0.6 or again >= 0.5) and len(content) >= 2
     listed = _LISTED.match(text)
     if functional / n >= 0.16 and len(rest) >= 4 and not stuffed and not listed:
