@@ -21,8 +21,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -69,11 +69,21 @@ def fields_of(record: dict, claude: bool) -> Iterator[tuple[str, object]]:
 
 def shape(value: str) -> str:
     """A coarse picture of a text: classes of characters, runs shortened."""
-    if " " in value.strip() and len(value) > 20:
+    if len(value) > 20 and " " in value.strip():
         return "prose"
-    s = re.sub(r"[0-9a-f]{6,}", "h", value)
-    s = re.sub(r"[A-Za-z]+", "a", re.sub(r"\d+", "9", s))
-    return s[:40]
+    return _WORDS.sub("a", _DIGITS.sub("9", _HEX.sub("h", value[:200])))[:40]
+
+
+_HEX, _WORDS, _DIGITS = re.compile(r"[0-9a-f]{6,}"), re.compile(r"[A-Za-z]+"), re.compile(r"\d+")
+_TIMELIKE = re.compile(r"\s*(?:\d{4}|\d{1,2}[ \-/]|(?:mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))", re.IGNORECASE)
+_NUMBER = re.compile(r"-?\d{1,15}(\.\d+)?$")
+
+
+@lru_cache(1 << 15)
+def _describe_text(value: str) -> tuple[int, float | None, float | None, str]:
+    instant = parse_instant(value, "UTC") if len(value) < 60 and _TIMELIKE.match(value) else None
+    number = float(value) if _NUMBER.match(value) else None
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1, number, instant, shape(value)
 
 
 def describe(value: object) -> tuple[int | None, float | None, float | None, str]:
@@ -84,9 +94,7 @@ def describe(value: object) -> tuple[int | None, float | None, float | None, str
         instant = parse_instant(str(value), "UTC")
         return xxhash.xxh64_intdigest(repr(float(value))) >> 1, float(value), instant, "number"
     if isinstance(value, str):
-        instant = parse_instant(value, "UTC") if len(value) < 60 else None
-        number = float(value) if re.fullmatch(r"-?\d{1,15}(\.\d+)?", value) else None
-        return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1, number, instant, shape(value)
+        return _describe_text(value)
     text = json.dumps(value, sort_keys=True)
     kind = ",".join(sorted(value)) if isinstance(value, dict) else "array"
     return xxhash.xxh64_intdigest(text) >> 1, None, None, kind[:80]
@@ -184,16 +192,19 @@ def compare(before: list[dict], after: list[dict]) -> list[tuple[str, str, str]]
 
 
 _CHANGES = "file_id BIGINT, position INT, change STRING, old_field STRING, new_field STRING, old_types STRING, new_types STRING"
+_CHANGES_ARROW = pa.schema([("file_id", pa.int64()), ("position", pa.int32()), *[(n, pa.string()) for n in ("change", "old_field", "new_field", "old_types", "new_types")]])
 
 
-def _changes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one pair of files; the group's size is the number of their fields."""
-    file_id = int(pdf["pair"].iloc[0])
-    rows = pdf[pdf["field"].notna()].to_dict("records")
-    before, after = [r for r in rows if not r["is_new"]], [r for r in rows if r["is_new"]]
-    types = [{r["field"]: "|".join(r["types"]) for r in x} for x in (before, after)]
-    out = [(file_id, i, c, o, n, types[0].get(o, ""), types[1].get(n, "")) for i, (c, o, n) in enumerate(compare(before, after))]
-    return pd.DataFrame(out, columns=["file_id", "position", "change", "old_field", "new_field", "old_types", "new_types"])
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of files, each a row with the headers of both."""
+    for b in batches:
+        out: list[tuple] = []
+        for file_id, rows in zip(b.column("pair").to_pylist(), b.column("rows").to_pylist(), strict=True):
+            before, after = [r for r in rows if not r["is_new"]], [r for r in rows if r["is_new"]]
+            types = [{r["field"]: "|".join(r["types"]) for r in x} for x in (before, after)]
+            out += [(file_id, i, c, o, n, types[0].get(o, ""), types[1].get(n, "")) for i, (c, o, n) in enumerate(compare(before, after))]
+        cols = list(zip(*out, strict=True)) or [()] * len(_CHANGES_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CHANGES_ARROW.types, strict=True)], schema=_CHANGES_ARROW)
 
 
 def changes(files: DataFrame, head: DataFrame) -> DataFrame:
@@ -204,7 +215,9 @@ def changes(files: DataFrame, head: DataFrame) -> DataFrame:
     sides = pairs.select(F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("previous").alias("file_id"), F.lit(False).alias("is_new")), F.struct("file_id", F.lit(True).alias("is_new")))).alias("s"))
     sides = sides.select("pair", "s.*")
     both = sides.join(head, "file_id").drop("file_id")
-    return both.groupBy("pair").applyInPandas(_changes, _CHANGES)
+    # a pair has as many rows as its files have fields
+    rows = both.groupBy("pair").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "pair"])).alias("rows"))
+    return rows.mapInArrow(_changes, _CHANGES)
 
 
 def canonical_names(files: DataFrame, head: DataFrame, differences: DataFrame) -> DataFrame:
