@@ -18,7 +18,7 @@ from spanloom.operators import dispatch, index
 from spanloom.operators.events import parse_strict
 from spanloom.params import DEFAULT
 from spanloom.plans import explain as plans
-from spanloom.runtime import materialize
+from spanloom.runtime import materialize, ship
 from spanloom.sources import append, detect, discovery, tapes
 from spanloom.sources.stores import Store
 from spanloom.streaming.watch import watch
@@ -63,6 +63,7 @@ class Config:
 
 class Engine:
     def __init__(self, spark: SparkSession, cwd: str, home: str | None = None, config: Config | None = None):
+        ship(spark)
         self.spark, self.cwd = spark, str(Path(cwd).resolve())
         self.home = home or str(Path.home())
         self.config = config or Config.load(self.cwd, self.home)

@@ -118,11 +118,16 @@ def sent_marker(uuids: DataFrame, links: DataFrame) -> DataFrame:
     return uuids.join(top, "uuid", "left")
 
 
+_HOPS = "tape_id STRING, turn BIGINT, uuid STRING, received_turn BIGINT, parent_tape STRING, sent_turn BIGINT, hop INT"
+
+
 def climb(touches: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFrame:
     """All hops upstream from touches (tape_id, turn): tape, turn, uuid, received_turn, parent_tape, sent_turn and the hop's number.
 
     The frontier of a hop is the set of distinct (tape, turn) that the hop before reached for the first time, so loops end.
     """
+    if links.isEmpty():
+        return touches.sparkSession.createDataFrame([], _HOPS)
     links, _ = materialize(links.select("tape_id", "uuid", "first_turn_index", "direction"), "links")
     frontier, _ = materialize(touches.select("tape_id", "turn").distinct(), "frontier")
     hops: DataFrame | None = None

@@ -106,6 +106,9 @@ def chains(sessions: DataFrame, links: DataFrame) -> DataFrame:
     """
     ids = sessions.select("session_id")
     inside = links.join(ids.withColumnRenamed("session_id", "parent"), "parent", "left_semi").join(ids.withColumnRenamed("session_id", "child"), "child", "left_semi")
+    if links.isEmpty() or inside.isEmpty():
+        alone = [F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("children"), F.col("session_id").alias("root"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("chain_length")]
+        return sessions.select("*", *alone)
     parent = inside.groupBy("child").agg(F.max_by("parent", "position").alias("parent"))
     tree = hierarchy(parent.select("child", "parent"), ids.withColumnRenamed("session_id", "node"))
     loop = F.col("depth") < 0

@@ -11,12 +11,33 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that Python workers find it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spanloom-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/spanloom_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent).as_posix())
+    spark.sparkContext.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; a file or a folder of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,7 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, hint: str) -> str:
-    return f"{shared_dir(spark)}/spanloom/{hint}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}/{hint}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written to the shared folder; results that read them end with it."""
+    drop_path(spark, f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
