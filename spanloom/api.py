@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import subprocess
-import tempfile
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -156,7 +156,7 @@ class Engine:
         return self._index(df, dispatch.dispatch_links(df))
 
     def watch(self, folder: str, checkpoint: str | None = None, once: bool = False, pattern: str = "*.jsonl", tell=None):
-        return watch(self.spark, folder, self.ingest_lines, checkpoint or tempfile.mkdtemp(prefix="spanloom-watch-"), pattern, once, tell)
+        return watch(self.spark, folder, self.ingest_lines, checkpoint or f"{self.store.root}/watch-{hashlib.sha256(folder.encode()).hexdigest()[:16]}", pattern, once, tell, replace(DEFAULT, **{f"{k}_s": v for k, v in self.config.watch.items()}))
 
     # --- reading ---
 
@@ -180,7 +180,9 @@ class Engine:
         return self._answer("grep", plans.grep(self.stores, literal, plans.Options(**options)), literal)
 
     def peek(self, session_id: str, **options) -> dict:
-        return self._answer("peek", plans.peek(self.stores, session_id, **options), session_id)
+        given = {"lines": "peek_lines", "before": "peek_before", "after": "peek_after", "context": "grep_context"}
+        p = replace(DEFAULT, **{given[k]: v for k, v in self.config.peek.items()})
+        return self._answer("peek", plans.peek(self.stores, session_id, p=p, **options), session_id)
 
     def rate(self, result: str, outcome: str, note: str | None = None) -> None:
         self.store.rate(result, outcome, note, now())
@@ -200,7 +202,7 @@ class Engine:
         return {"kept": self.store.read("tapes").count(), "deleted": 0}
 
 
-#: Fields of a compact event.
+#: The fields of a compact event.
 COMPACT = ("t", "k", "role", "tool", "file", "range", "before_range", "after_range", "before_hash", "after_hash", "from_file", "from_range", "to_file", "to_range", "note", "exit")
 
 

@@ -116,6 +116,7 @@ def coverage(total: Column, emitted: Column) -> Column:
     return F.when((total == 0) | (emitted == total), "full").otherwise("partial")
 
 
+#: Names of tools that read and that edit files.
 TOOL_READS = ("read", "readfile", "read_file", "view", "cat")
 TOOL_EDITS = ("edit", "write", "multiedit", "apply", "apply_patch", "patch", "write_file")
 

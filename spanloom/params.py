@@ -67,7 +67,7 @@ TABLES = {
 }
 SCHEMA_VERSION = 3
 
-#: Names of the enumerations and what an unknown name is read as.
+#: The names of the enumerations and what an unknown name is read as.
 EVENT_KINDS = ("meta", "msg.in", "msg.out", "tool.call", "tool.result", "code.read", "code.edit", "span.link")
 EVIDENCE_KINDS = (("edit", "read", "tool", "message"), "read")
 LOCATION_DELTAS = (("same", "adjacent", "moved", "absent"), "absent")

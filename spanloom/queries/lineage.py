@@ -341,6 +341,8 @@ SQL = {
     "chain_metadata": f"""with recursive {_CHAIN} select root, count(*)::int as n_sessions, md5(string_agg(session_id, ',' order by depth, session_id)) as sessions_md5 from ch group by 1""",
     "grep_stats": f"with {_GREP} select *, coalesce(first_provenance_match, first_match) as anchor_offset from gs",
     "grep_top": f"with {_GREP} select tape_id, match_count, provenance_match_count, provenance_event_count, timestamp from gs order by provenance_match_count desc, match_count desc, provenance_event_count desc, timestamp desc, tape_id limit 10",
+    "date_filter": rf"""with {_LOG}, a as (select tape_id, case when regexp_matches(t, '^\d{{4}}-\d{{2}}-\d{{2}}[Tt ]\d{{2}}:\d{{2}}:\d{{2}}(\.\d+)?([Zz]|[+-]\d{{2}}:\d{{2}})$') then try_cast(upper(t) as timestamptz) end as x from claw)
+      select tape_id, count(*) as n, count(*) filter (x is null) as n_unread from a where x is null or (x >= '2025-06-01T00:00:00Z'::timestamptz and x <= '2025-06-30T23:59:59Z'::timestamptz) group by 1""",
     "event_neighbourhood": f"""with {_RAW}, pos as (select *, row_number() over (partition by tape_id order by line_no) - 1 as position from raw where trim(raw) <> '')
       select a.tape_id, a.line_no as touch_offset, b.position::int as position, b.line_no from pos a join pos b on a.tape_id = b.tape_id and abs(a.position - b.position) <= 2 where a.k = 'code.edit'""",
     "peek_windows": f"""with {_RAW}, a as (select tape_id, coalesce(min(line_no) filter (k = 'code.edit'), 0) + 1 as al, max(line_no) + 1 as total from raw group by 1), w as (select tape_id, greatest(al - 22, 1) as s, total from a)

@@ -145,3 +145,53 @@ def test_two_stores_and_rebuild(engine, spark, tmp_path):
         assert b.read("evidence").count() == n
 
     assert rebuild(other, build, validate).read("evidence").count() == n
+
+
+def test_fingerprint_folder_of_tapes(engine, spark, tmp_path):
+    from spanloom.sources import tapes
+
+    folder = str(tmp_path / "tapes")
+    tapes.export_tapes(engine.store.read("tape_lines"), folder).collect()
+    other = Engine(spark, str(tmp_path), str(tmp_path), Config(store=str(tmp_path / "s"))).init()
+    n = engine.gc()["kept"]
+    assert other.fingerprint(folder) == {"imported": n, "skipped_existing": 0}
+    assert other.fingerprint(folder) == {"imported": 0, "skipped_existing": n}
+    assert other.explain(CODE)["total"] == engine.explain(CODE)["total"]
+
+
+def test_hand_offs_are_climbed(spark, tmp_path):
+    """A tells B by a marker, B edits: explaining B's edit shows A upstream; a sibling of B stays out."""
+    root = tmp_path / "r"
+    root.mkdir()
+    tag = f'<dispatch-src id="{UUID}"/>'
+    msg = lambda t, role, content: line(type="message", timestamp=t, message={"role": role, "content": content})
+    head = lambda s: line(type="session", id=s, timestamp="2025-01-01T00:00:00Z")
+    text = lambda x: [{"type": "text", "text": x}]
+    (root / "a.jsonl").write_text("\n".join([head("A"), msg("2025-01-01T00:00:01Z", "user", text("start the work")), msg("2025-01-01T00:00:02Z", "assistant", [{"type": "toolCall", "id": "x", "name": "spawn", "arguments": {"prompt": "do it " + tag}}])]) + "\n")
+    edit = {"type": "toolCall", "id": "w", "name": "write", "arguments": {"file_path": "f.rs", "content": CODE}}
+    done = line(type="message", timestamp="2025-01-01T00:01:03Z", message={"role": "toolResult", "toolCallId": "w", "toolName": "write", "content": text("ok")})
+    (root / "b.jsonl").write_text("\n".join([head("B"), msg("2025-01-01T00:01:01Z", "user", text("please " + tag)), msg("2025-01-01T00:01:02Z", "assistant", [edit]), done]) + "\n")
+    (root / "c.jsonl").write_text("\n".join([head("C"), msg("2025-01-01T00:02:01Z", "user", text("also " + tag)), msg("2025-01-01T00:02:02Z", "assistant", text("nothing to do here"))]) + "\n")
+    e = Engine(spark, str(root), str(tmp_path), Config(store=str(tmp_path / "s"))).init()
+    assert e.ingest()["imported"] == 3
+    assert {(r["direction"], r["first_turn_index"]) for r in e.store.read("dispatch_links").collect()} == {("sent", 1), ("received", 0)}
+    out = e.explain(CODE)
+    assert out["total"] == 2 and [s["depth"] for s in out["sessions"]] == [0, 1]
+    a, b = out["sessions"]
+    assert a["touches"] == [] and a["refs_down"] == 1 and b["parent"] == a["session_id"] and b["refs_up"] == 1 and b["chain_length"] == 2 and a["children"] == [b["session_id"]]
+    assert len(out["dispatch_lineage"]) == 1 and out["chains"] == [{"root": a["session_id"], "sessions": [a["session_id"], b["session_id"]], "length": 2}]
+
+
+def test_configuration_cascade(tmp_path):
+    from spanloom.api import error_payload
+
+    home, repo = tmp_path, tmp_path / "x" / "repo"
+    for folder, value in ((home, {"store": "far", "metrics": True, "peek": {"lines": 5, "before": 2}}), (repo, {"peek": {"lines": 9}})):
+        (folder / ".spanloom").mkdir(parents=True)
+        (folder / ".spanloom" / "config.json").write_text(json.dumps(value))
+    c = Config.load(str(repo), str(home))
+    assert c.store == str(home / ".spanloom" / "far") and c.metrics and c.peek == {"lines": 9}
+    (repo / ".spanloom" / "config.json").write_text('{"odd": 1}')
+    with pytest.raises(ValueError):
+        Config.load(str(repo), str(home))
+    assert error_payload(NoResults("x"))["error"]["code"] == "no_results"

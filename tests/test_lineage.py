@@ -129,6 +129,12 @@ def test_bounded_bfs_matches_sequential(spark, fanout, most, depth):
     assert [tuple(e.values()) for e in graph.bounded_bfs(df, ["n1", "n5"], p)] == bfs_brute(list(edges), ["n1", "n5"], p)
 
 
+def test_reach(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("a", "a"), ("x", "y")], "from_anchor STRING, to_anchor STRING")
+    got = {(r["anchor"], r["depth"]) for r in graph.reach(edges, spark.createDataFrame([("a",)], "anchor STRING"), 9).collect()}
+    assert got == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+
+
 def test_climb_and_chains(spark):
     u = [f"{i}0000000-0000-0000-0000-000000000000" for i in range(4)]
     links = spark.createDataFrame([("A", u[0], 1, "sent"), ("B", u[0], 0, "received"), ("B", u[1], 3, "sent"), ("C", u[1], 1, "received"), ("S", u[0], 0, "received"), ("C", u[2], 5, "received"), ("B", u[2], 9, "sent")], "tape_id STRING, uuid STRING, first_turn_index BIGINT, direction STRING")
