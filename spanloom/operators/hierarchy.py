@@ -6,8 +6,8 @@ summed along the same exact doubling steps (after round k a node has counted eve
 it), so no ancestor-descendant pairs are needed for it. Depths of a tree are contiguous: when a round resolves no
 further node, what is left lies on a loop or below one.
 
-Every round is one join on the node key and one pre-aggregated sum on the ancestor key; nodes whose pointer has
-reached a root drop out. Rounds are cut by tables in the shared folder, of which the older ones are deleted.
+A round moves only the nodes that are deeper than its step; their targets are looked up among all, in one join, and the sums are
+pre-aggregated on the ancestor key. Each round is one table in the shared folder, which cuts lineage.
 
 Defined results
 * Links with a null or blank end are no links; repeated links count once; a node linked to itself is a loop.
@@ -58,38 +58,34 @@ def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = Fa
     if nodes is not None:
         every = every.unionByName(nodes.select(*k, "node"))
     every = every.groupBy(*k, "node").agg(F.lit(1).alias("one")).drop("one")
-    up = parent.withColumnRenamed("child", "node")
-    start = every.join(up, [*k, "node"], "left").select(
-        *k, "node",
-        F.coalesce("parent", "node").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"),
-        F.lit(1).cast("long").alias("below"), F.col("parent").isNull().alias("done"),
+    start = every.join(parent.withColumnRenamed("child", "node"), [*k, "node"], "left").select(
+        *k, "node", F.coalesce("parent", "node").alias("anc"), F.when(F.col("parent").isNull(), 0).cast("long").alias("depth"), F.lit(1).cast("long").alias("below"),
         (F.col("node") if paths else F.lit(None).cast("string")).alias("path"),
     )
-    state, path = materialize(start, "pointers")
-    step, left = 1, state.where("not done").count()
+    table, path = materialize(start, "pointers")
+    # nodes less deep than the step, with their root, and the others with their ancestor at exactly the step
+    found, far = table.where("depth is not null"), table.where("depth is null")
+    sums, step, left = [far.select(*k, "anc", "below")], 1, far.count()
     while left:
-        # what lies at exactly `step` below each node, with all that those nodes have counted themselves
-        gain = state.where(F.col("dist") == step).groupBy(*k, F.col("anc").alias("node")).agg(F.sum("below").alias("gain"))
-        jump = state.select(*k, F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("path").alias("path2"))
-        counted = state.join(gain, [*k, "node"], "left").withColumn("below", F.col("below") + F.coalesce("gain", F.lit(0))).drop("gain")
-        moved = counted.where("not done").join(jump, [*k, "anc"], "left").select(
-            *k, "node", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), "below",
-            (F.col("dist2") < step).alias("done"),
-            (F.when(F.col("dist2") >= 0, F.concat_ws(SEPARATOR, "path2", "path")) if paths else F.col("path")).alias("path"),
+        gain = far.groupBy(*k, F.col("anc").alias("node")).agg(F.sum("below").alias("gain"))
+        target = found.unionByName(far).select(*k, F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+        jumped = far.drop("depth").join(target, [*k, "anc"]).join(gain, [*k, "node"], "left").select(
+            *k, "node", F.col("anc2").alias("anc"), (F.col("depth2") + step).alias("depth"), (F.col("below") + F.coalesce("gain", F.lit(0))).alias("below"),
+            (F.concat_ws(SEPARATOR, "path2", "path") if paths else F.col("path")).alias("path"),
         )
-        rest = counted.where("done").select(*moved.columns)
-        state, newer = materialize(rest.unionByName(moved), "pointers")
-        drop_path(state.sparkSession, path)
-        path, step = newer, step * 2
-        now = state.where("not done").count()
-        if now == left and step > 2:
+        table, _ = materialize(jumped, "pointers")
+        far, now = table.where("depth is null"), table.where("depth is null").count()
+        if now == left:
             break
-        left = now
-    loop = ~F.col("done")
-    out = state.select(
-        *k, "node", F.when(loop, "").otherwise(F.col("anc")).alias("root"), F.when(loop, -1).otherwise(F.col("dist")).cast("int").alias("depth"),
-        F.when(loop, -1).otherwise(F.col("below") - 1).cast("int").alias("n_descendants"), F.when(~loop, F.col("path")).alias("path"),
-    )
+        found, step, left = found.unionByName(table.where("depth is not null")), step * 2, now
+        sums.append(far.select(*k, "anc", "below"))
+    counted = sums[0]
+    for x in sums[1:]:
+        counted = counted.unionByName(x)
+    counted = counted.groupBy(*k, F.col("anc").alias("node")).agg(F.sum("below").alias("n"))
+    known = found.join(counted, [*k, "node"], "left").select(*k, "node", F.col("anc").alias("root"), F.col("depth").cast("int").alias("depth"), F.coalesce("n", F.lit(0)).cast("int").alias("n_descendants"), "path")
+    loop = far.select(*k, "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(-1).alias("n_descendants"), F.lit(None).cast("string").alias("path"))
+    out = known.unionByName(loop) if left else known
     return out if paths else out.drop("path")
 
 
