@@ -1,12 +1,13 @@
 """Schemas that drift between the files of a stream.
 
-1. Headers: each file's lines are read once and folded to one row per field: its types, how many records hold it and
-   a bounded description of its values (the smallest value hashes, the range of numbers or instants, the shapes).
+1. Headers: each file's lines are read once and folded to its distinct values, and those to one row per field: its types,
+   how many records hold it, the range of numbers or instants and how many values and shapes it has.
    The fold is a monoid, so it runs as partial aggregation; a huge file is no single task.
 2. Lattice: the types of a field over all files are promoted to the narrowest type that holds them all
    (boolean and number to string, array and object to JSON text), which gives the union schema.
 3. Changes: neighbouring files of a stream are compared; fields that went away and fields that came are matched as
-   renames if the values go on: shared values, a sequence or clock that continues, or texts of the same kind.
+   renames if the values go on: shared values, a sequence or clock that continues, or texts of the same kind. What two
+   such fields share is counted over all their values, by a join on the value.
 4. Cast: records are read into the union schema; a field that was renamed goes on in the column of its first name.
 
 Defined results
@@ -37,8 +38,6 @@ from spanloom.operators.running import position_bucket, running_sum
 from spanloom.operators.timestamps import parse_instant
 from spanloom.runtime import materialize
 
-#: Value hashes kept of each field of a file.
-SKETCH = 64
 CLAUDE = ("claude_adapter_input", "claude_adapter_multiedit_input")
 
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
@@ -117,36 +116,47 @@ def _read_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row per file and field: types, number of records and the bounded description of its values."""
+def distinct_values(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """The distinct values of each field of each file, described, with the number of records that hold them."""
     dialect = files.select("file_id", F.col("dialect").isin(*CLAUDE).alias("claude"))
     rows = lines.select("file_id", "raw").join(dialect, "file_id").select("file_id", "claude", "raw")
     values = rows.mapInArrow(_read_fields, _HEADER)
-    # distinct values first, so that the sketch below is a bounded aggregate of few rows per file and field
     values = values.groupBy("file_id", "field", "type", "hash").agg(F.min("number").alias("number"), F.min("instant").alias("instant"), F.min("shape").alias("shape"), F.sum("n").alias("n"))
-    values, _ = materialize(values, "values")
-    stats = values.groupBy("file_id", "field").agg(
-        F.array_sort(F.collect_set("type")).alias("types"), F.sum("n").alias("n_records"), F.count("*").alias("n_values"),
-        F.min("number").alias("low"), F.max("number").alias("high"), F.min("instant").alias("first"), F.max("instant").alias("last"),
-        F.count("number").alias("n_numbers"), F.count("instant").alias("n_instants"),
+    return materialize(values, "values")[0]
+
+
+def headers_of(values: DataFrame) -> DataFrame:
+    """One row per file and field: types, number of records and what holds for all of its values."""
+    has = lambda t: F.max(F.col("type") == t).alias(f"is_{t}")
+    shapes = values.groupBy("file_id", "field", "shape").agg(
+        *[has(t) for t in _ORDER], F.sum("n").alias("n"), F.count("*").alias("n_values"), F.min("number").alias("low"), F.max("number").alias("high"),
+        F.min("instant").alias("first"), F.max("instant").alias("last"), F.count("number").alias("n_numbers"), F.count("instant").alias("n_instants"),
+    )
+    return shapes.groupBy("file_id", "field").agg(
+        F.array_sort(F.array_compact(F.array(*[F.when(F.max(f"is_{t}"), F.lit(t)) for t in _ORDER]))).alias("types"), F.sum("n").alias("n_records"), F.sum("n_values").alias("n_values"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum("n_numbers").alias("n_numbers"), F.sum("n_instants").alias("n_instants"), F.count("*").alias("n_shapes"), F.max(F.col("shape") == "prose").alias("prose"),
     )
-    # the limit by rank is applied before the exchange, so a file with very many values sends few of them
-    top = values.withColumn("rank", F.row_number().over(W.partitionBy("file_id", "field").orderBy("hash"))).where(F.col("rank") <= SKETCH)
-    sketch = top.groupBy("file_id", "field").agg(F.array_sort(F.collect_list("hash")).alias("sketch"), F.array_sort(F.collect_set("shape")).alias("shapes"))
-    return stats.join(sketch, ["file_id", "field"])
+
+
+def headers(files: DataFrame, lines: DataFrame) -> DataFrame:
+    return headers_of(distinct_values(files, lines))
 
 
 def _words(name: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", name.rsplit(".", 1)[-1])}
 
 
-def continues(a: dict, b: dict) -> float:
-    """How well the values of field ``b`` go on those of field ``a`` of the file before: 0 (not at all) to 3."""
+def continues(a: dict, b: dict, common: int, common_shapes: int) -> float:
+    """How well the values of field ``b`` go on those of field ``a`` of the file before: 0 (not at all) to 3.
+
+    ``common`` and ``common_shapes`` count the distinct values and shapes that both have.
+    """
     if list(a["types"]) != list(b["types"]) or a["field"].startswith("message.") != b["field"].startswith("message."):
         return 0.0
     names = _words(a["field"]), _words(b["field"])
     alike = len(names[0] & names[1]) / max(1, len(names[0] | names[1]))
-    shared = len(set(a["sketch"]) & set(b["sketch"])) / max(1, min(len(a["sketch"]), len(b["sketch"])))
+    shared = common / max(1, min(a["n_values"], b["n_values"]))
     kind, all_a, all_b = list(a["types"])[0], a["n_values"], b["n_values"]
     if kind == "boolean":
         return 1 + alike if alike >= 0.5 else 0.0
@@ -165,21 +175,23 @@ def continues(a: dict, b: dict) -> float:
         if dense and a["high"] <= b["low"] and b["low"] - a["high"] <= 4 * span + 50:
             return 2 + alike
         return 1 + alike if alike >= 0.5 else 0.0
-    prose = ["prose" in list(x["shapes"]) for x in (a, b)]
-    if kind == "string" and all(prose):
+    if kind == "string" and a["prose"] and b["prose"]:
         return 1.5 + alike
-    if list(a["shapes"]) == list(b["shapes"]) and kind in ("array", "object"):
+    if common_shapes == a["n_shapes"] == b["n_shapes"] and kind in ("array", "object"):
         return 1 + alike
-    if kind == "string" and alike > 0 and set(a["shapes"]) & set(b["shapes"]):
+    if kind == "string" and alike > 0 and common_shapes:
         return 1 + alike
     return 0.0
 
 
-def compare(before: list[dict], after: list[dict]) -> list[tuple[str, str, str]]:
-    """(change, old_field, new_field) between the headers of two files, in order of the field names."""
+def compare(before: list[dict], after: list[dict], common: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, str]]:
+    """(change, old_field, new_field) between the headers of two files, in order of the field names.
+
+    ``common`` has the values and shapes that a removed and an added field share, where there are any.
+    """
     a, b = {x["field"]: x for x in before}, {x["field"]: x for x in after}
     gone, came = sorted(a.keys() - b.keys()), sorted(b.keys() - a.keys())
-    scored = sorted(((s, g, c) for g in gone for c in came if (s := continues(a[g], b[c])) >= 1), key=lambda x: (-x[0], x[1], x[2]))
+    scored = sorted(((s, g, c) for g in gone for c in came if (s := continues(a[g], b[c], *common.get((g, c), (0, 0)))) >= 1), key=lambda x: (-x[0], x[1], x[2]))
     old_to_new: dict[str, str] = {}
     for _, g, c in scored:
         if g not in old_to_new and c not in old_to_new.values():
@@ -196,28 +208,50 @@ _CHANGES_ARROW = pa.schema([("file_id", pa.int64()), ("position", pa.int32()), *
 
 
 def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of files, each a row with the headers of both."""
+    """Of pairs of files, each a row with the headers of both and what their fields share."""
     for b in batches:
         out: list[tuple] = []
-        for file_id, rows in zip(b.column("pair").to_pylist(), b.column("rows").to_pylist(), strict=True):
+        for file_id, rows, shared in zip(*[b.column(c).to_pylist() for c in ("pair", "rows", "shared")], strict=True):
+            common = {(x["old_field"], x["new_field"]): (x["common"], x["common_shapes"]) for x in shared or []}
             before, after = [r for r in rows if not r["is_new"]], [r for r in rows if r["is_new"]]
             types = [{r["field"]: "|".join(r["types"]) for r in x} for x in (before, after)]
-            out += [(file_id, i, c, o, n, types[0].get(o, ""), types[1].get(n, "")) for i, (c, o, n) in enumerate(compare(before, after))]
+            out += [(file_id, i, c, o, n, types[0].get(o, ""), types[1].get(n, "")) for i, (c, o, n) in enumerate(compare(before, after, common))]
         cols = list(zip(*out, strict=True)) or [()] * len(_CHANGES_ARROW)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CHANGES_ARROW.types, strict=True)], schema=_CHANGES_ARROW)
 
 
-def changes(files: DataFrame, head: DataFrame) -> DataFrame:
+def _common(both: DataFrame, values: DataFrame) -> DataFrame:
+    """(pair, old_field, new_field, common, common_shapes) of the removed and added fields that share a value or a shape.
+
+    Only fields are joined whose likeness depends on it. A value stands once for each file, field and type, so a key joins as
+    many rows as two files have such fields.
+    """
+    one = both.groupBy("pair", "field").agg(
+        F.count("*").alias("sides"), F.first("is_new").alias("is_new"), F.first("file_id").alias("file_id"), F.first("types").alias("types"),
+        F.first(F.col("n_instants") == F.col("n_values")).alias("clock"),
+    ).where("sides = 1 and types[0] <> 'boolean'").withColumn("member", F.col("field").startswith("message."))
+    side = lambda new, name: one.where(F.col("is_new") == new).select("pair", "types", "member", F.col("field").alias(name), F.col("file_id").alias(f"{name}_file"), F.col("clock").alias(f"{name}_clock"))
+    candidates = side(False, "old_field").join(side(True, "new_field"), ["pair", "types", "member"]).where("not (old_field_clock and new_field_clock)")
+    items = values.select("file_id", "field", "type", "hash", F.lit("").alias("shape"))
+    shapes = values.groupBy("file_id", "field", "shape").agg(F.lit("shape").alias("type"), F.lit(0).cast("bigint").alias("hash"))
+    items = items.unionByName(shapes)
+    held = lambda name: items.withColumnsRenamed({"file_id": f"{name}_file", "field": name}).join(candidates.select("pair", f"{name}_file", name).distinct(), [f"{name}_file", name]).drop(f"{name}_file")
+    shared = held("old_field").join(held("new_field"), ["pair", "type", "hash", "shape"])
+    return shared.groupBy("pair", "old_field", "new_field").agg(F.count_if(F.col("type") != "shape").alias("common"), F.count_if(F.col("type") == "shape").alias("common_shapes"))
+
+
+def changes(files: DataFrame, head: DataFrame, values: DataFrame) -> DataFrame:
     """The ordered differences of each file against the one before it in its stream."""
     placed = files.select("stream", "file_id", F.struct("seq", "file_id").alias("at"))
     before = placed.select("stream", F.col("at").alias("before_at"), F.col("file_id").alias("previous"))
     pairs = asof_backward(placed, before, ["stream"], "at", "before_at", ["previous"], bucket=lambda c: position_bucket(c["seq"])).where("previous is not null")
     sides = pairs.select(F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("previous").alias("file_id"), F.lit(False).alias("is_new")), F.struct("file_id", F.lit(True).alias("is_new")))).alias("s"))
     sides = sides.select("pair", "s.*")
-    both = sides.join(head, "file_id").drop("file_id")
+    both, _ = materialize(sides.join(head, "file_id"), "pairs")
     # a pair has as many rows as its files have fields
-    rows = both.groupBy("pair").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "pair"])).alias("rows"))
-    return rows.mapInArrow(_changes, _CHANGES)
+    rows = both.groupBy("pair").agg(F.collect_list(F.struct(*[c for c in both.columns if c not in ("pair", "file_id")])).alias("rows"))
+    shared = _common(both, values).groupBy("pair").agg(F.collect_list(F.struct("old_field", "new_field", "common", "common_shapes")).alias("shared"))
+    return rows.join(shared, "pair", "left").mapInArrow(_changes, _CHANGES)
 
 
 def canonical_names(files: DataFrame, head: DataFrame, differences: DataFrame) -> DataFrame:
@@ -289,11 +323,18 @@ def consistent(files: DataFrame, lines: DataFrame, schema: T.StructType, names:
 
 def one_table(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the consistent table, the ordered differences)."""
-    head, _ = materialize(headers(files, lines), "headers")
-    differences, _ = materialize(changes(files, head), "changes")
+    values = distinct_values(files, lines)
+    head, _ = materialize(headers_of(values), "headers")
+    differences, _ = materialize(changes(files, head, values), "changes")
     names, _ = materialize(canonical_names(files, head, differences), "names")
     return consistent(files, lines, union_schema(head, names), names), differences
 
 
+def report(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """The ordered differences with the types before and after."""
+    values = distinct_values(files, lines)
+    return changes(files, headers_of(values), values)
+
+
 def found(files: DataFrame, lines: DataFrame) -> DataFrame:
-    return changes(files, headers(files, lines)).select("file_id", "change", "old_field", "new_field")
+    return report(files, lines).select("file_id", "change", "old_field", "new_field")

@@ -49,8 +49,7 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     """The ordered report: each change with the field's types before and after."""
-    files = table(spark, d, "transcript_files")
-    return drift.changes(files, drift.headers(files, table(spark, d, "transcript_lines")))
+    return drift.report(table(spark, d, "transcript_files"), table(spark, d, "transcript_lines"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}

@@ -160,6 +160,23 @@ def test_drift_nulls_order_and_members(spark):
     assert drift_of(spark, one, [], two, dialect="logs") == [(1, "removed", "message", ""), (1, "removed", "type", ""), (2, "added", "", "message"), (2, "added", "", "type")]
 
 
+def test_drift_rename_into_many_more_values(spark):
+    """The old values are a tenth of the new ones, both far more than a few dozen."""
+    old = [{"host": f"{n}-q"} for n in range(300)]
+    new = [{"label": f"{n}-q"} for n in range(3000)]
+    assert drift_of(spark, old, new) == [(1, "renamed", "host", "label")]
+    assert set(drift_of(spark, old, [{"label": f"{n}-q"} for n in range(280, 3000)])) == {(1, "removed", "host", ""), (1, "added", "", "label")}
+
+
+def test_drift_shapes_of_all_values(spark):
+    """One object of another shape among hundreds; names without a common word."""
+    old = [{"opts": {"a": n}} for n in range(300)]
+    new = [{"extra": {"a": n + 1000}} for n in range(300)]
+    odd = [{"extra": {"b": 4}}]
+    assert drift_of(spark, old, new) == [(1, "renamed", "opts", "extra")]
+    assert set(drift_of(spark, old, new + odd)) == {(1, "removed", "opts", ""), (1, "added", "", "extra")}
+
+
 def test_drift_union_table(spark):
     files = spark.createDataFrame([(0, "s", "logs", 0, None, None), (1, "s", "logs", 1, None, None)], FILES)
     lines = spark.createDataFrame([(0, 0, '{"a": 1, "Id": "x"}'), (1, 0, '{"a": "2", "ID": true, "o": {"k": 1}}'), (1, 1, "bad")], "file_id BIGINT, line_no BIGINT, raw STRING")
