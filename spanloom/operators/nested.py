@@ -1,15 +1,17 @@
 """Deeply nested transcript records to related flat tables.
 
 One pass over each source emits tagged rows: a depth-first visitor walks a record and gives, for every entity
-below it, the table's tag, the positions that form its primary key, the key of its parent and a payload (the
-entity's own scalar fields as JSON). ``write_tables`` stores the rows partitioned by tag, ``read_table`` applies
+below it, the table's tag, the positions that form its primary key, the key of its parent and a payload (all of the
+entity's own fields as JSON; objects as JSON text). ``write_tables`` stores the rows partitioned by tag, ``read_table`` applies
 the schema of a tag. Records of Parquet structs are walked by nested higher-order functions inside the JVM;
 messages kept as JSON text are walked by one Arrow-batched visitor.
 
 Defined results
 * Null or missing arrays, structs and elements emit nothing, but an element keeps its position.
 * Empty tables give empty tables; repeated rows are separate records (the key starts with ``row_id``).
-* A message that isn't valid JSON (RFC 8259, so no NaN) emits its record row only.
+* A message that isn't valid JSON (RFC 8259, so no NaN) emits its record row only; ``raw`` holds every message that is no object.
+* Of a JSON entity, fields that its schema doesn't name or has in another type stand in ``other`` as one JSON object.
+  ``content`` is left out where rows below the entity hold all of it.
 * Columns that the walk doesn't name are ignored, also such that clash with names of the output.
 """
 
@@ -26,16 +28,16 @@ TOOLS, EXPORT, LOG = "session_with_tools", "session_export", "session_log"
 
 #: Payload schemas of the flat tables, by tag.
 SCHEMAS = {
-    "tools_session": "session_id STRING, project_hash STRING, start_time STRING, last_updated STRING",
+    "tools_session": "session_id STRING, project_hash STRING, host_tz STRING, start_time STRING, last_updated STRING",
     "tools_message": "id STRING, timestamp STRING, type STRING, model STRING, content STRING",
     "tools_call": "id STRING, name STRING, status STRING, timestamp STRING, file_path STRING, command STRING, pattern STRING, old_string STRING, new_string STRING, content STRING, result_display STRING",
     "tools_result": "id STRING, name STRING, output STRING, error STRING",
-    "export_session": "id STRING, title STRING, created STRING",
+    "export_session": "host_tz STRING, id STRING, title STRING, created STRING",
     "export_message": "id STRING, role STRING, created STRING",
-    "export_part": "id STRING, type STRING, text STRING, call_id STRING, tool STRING, status STRING, file_path STRING, output STRING, error STRING",
-    "log_message": "role STRING, toolCallId STRING, toolName STRING, isError BOOLEAN, model STRING",
-    "log_block": "type STRING, text STRING, thinking STRING, id STRING, name STRING, toolCallId STRING",
-    "log_subblock": "type STRING, text STRING, mime STRING",
+    "export_part": "id STRING, type STRING, text STRING, call_id STRING, tool STRING, status STRING, file_path STRING, offset BIGINT, limit BIGINT, old_string STRING, new_string STRING, content STRING, patch_text STRING, output STRING, error STRING, time_start BIGINT, time_end BIGINT",
+    "log_message": "session_id STRING, line_no BIGINT, host_tz STRING, row_type STRING, row_entry STRING, timestamp STRING, row_model STRING, level STRING, raw STRING, role STRING, toolCallId STRING, toolName STRING, isError BOOLEAN, model STRING, content STRING, usage STRING, other STRING",
+    "log_block": "type STRING, text STRING, thinking STRING, id STRING, name STRING, toolCallId STRING, arguments STRING, source STRING, content STRING, other STRING",
+    "log_subblock": "type STRING, text STRING, mime STRING, other STRING",
 }
 PARENTS = {
     "tools_message": "tools_session", "tools_call": "tools_message", "tools_result": "tools_call",
@@ -102,7 +104,7 @@ def tools_nodes(df: DataFrame, payload: bool = True) -> DataFrame:
         fields = p(id=m["id"], timestamp=m["timestamp"], type=m["type"], model=m["model"], content=m["content"])
         return F.concat(F.array(_node("tools_message", i, -1, -1, F.lit(True), fields)), _elements(m["toolCalls"], call(i)))
 
-    top = _node("tools_session", -1, -1, -1, F.lit(True), p(session_id=F.col("sessionId"), project_hash=F.col("projectHash"), start_time=F.col("startTime"), last_updated=F.col("lastUpdated")))
+    top = _node("tools_session", -1, -1, -1, F.lit(True), p(session_id=F.col("sessionId"), project_hash=F.col("projectHash"), host_tz=F.col("host_tz"), start_time=F.col("startTime"), last_updated=F.col("lastUpdated")))
     return _emit(df, TOOLS, F.concat(F.array(top), _elements(F.col("messages"), message)))
 
 
@@ -112,10 +114,11 @@ def export_nodes(df: DataFrame, payload: bool = True) -> DataFrame:
 
     def part(i: Column):
         def visit(x: Column, j: Column) -> Column:
-            s = x["state"]
+            s, a = x["state"], x["state"]["input"]
             fields = p(
-                id=x["id"], type=x["type"], text=x["text"], call_id=x["callID"], tool=x["tool"], status=s["status"], file_path=s["input"]["filePath"], output=s["output"], error=s["error"]
-            )
+                id=x["id"], type=x["type"], text=x["text"], call_id=x["callID"], tool=x["tool"], status=s["status"], file_path=a["filePath"], offset=a["offset"], limit=a["limit"],
+                old_string=a["oldString"], new_string=a["newString"], content=a["content"], patch_text=a["patchText"], output=s["output"], error=s["error"], time_start=s["time"]["start"], time_end=s["time"]["end"],
+            )
             return F.array(_node("export_part", i, j, -1, s["output"].isNotNull(), fields))
 
         return visit
@@ -125,7 +128,7 @@ def export_nodes(df: DataFrame, payload: bool = True) -> DataFrame:
         return F.concat(F.array(_node("export_message", i, -1, -1, F.lit(True), fields)), _elements(m["parts"], part(i)))
 
     info = F.col("info")
-    top = _node("export_session", -1, -1, -1, F.lit(True), p(id=info["id"], title=info["title"], created=info["time"]["created"]))
+    top = _node("export_session", -1, -1, -1, F.lit(True), p(host_tz=F.col("host_tz"), id=info["id"], title=info["title"], created=info["time"]["created"]))
     return _emit(df, EXPORT, F.concat(F.array(top), _elements(F.col("messages"), message)))
 
 
@@ -171,25 +174,54 @@ _LOG_TYPE = "tag STRING, row_id BIGINT, item_pos INT, sub_pos INT, linked BOOLEA
 _LOG_ARROW = pa.schema([("tag", pa.string()), ("row_id", pa.int64()), ("item_pos", pa.int32()), ("sub_pos", pa.int32()), ("linked", pa.bool_()), ("payload", pa.string())])
 
 
-def _kept(entity: dict | None, tag: str) -> str | None:
-    if entity is None:
-        return None
-    names = [x.split()[0] for x in SCHEMAS[tag].split(", ")]
-    return json.dumps({n: entity[n] for n in names if isinstance(entity.get(n), (str, bool))})
+#: Columns of session_log beside the message, by their names in the payload.
+_LOG_ROW = {"session_id": "session_id", "line_no": "line_no", "host_tz": "host_tz", "row_type": "type", "row_entry": "id", "timestamp": "timestamp", "row_model": "model", "level": "level"}
+#: Fields of a JSON entity that the walk may take from its message, by tag: those of the schema that no column and no rest gives.
+_LOG_FIELDS = {t: dict(x.split() for x in SCHEMAS[t].split(", ") if x.split()[0] not in {*_LOG_ROW, "raw", "other"}) for t in ("log_message", "log_block", "log_subblock")}
+#: Fields that stand as JSON text unless they are text themselves.
+_OBJECTS = {"arguments", "source", "usage"}
+
+
+def _kept(entity: dict, tag: str) -> dict:
+    """All fields of an entity in the types of its tag; what doesn't fit them stands in ``other``."""
+    out, other = {}, {}
+    for name, value in entity.items():
+        kind = _LOG_FIELDS[tag].get(name)
+        if name == "content" and tag != "log_subblock":
+            blocks = _as_blocks(value)
+            if blocks and all(isinstance(x, dict) for x in blocks):
+                continue
+            if value is not None:
+                out[name] = value if isinstance(value, str) else json.dumps(value)
+        elif kind == "STRING" and name in _OBJECTS and isinstance(value, (dict, list)):
+            out[name] = json.dumps(value)
+        elif (kind == "STRING" and name not in _OBJECTS and isinstance(value, str)) or (kind == "BOOLEAN" and isinstance(value, bool)):
+            out[name] = value
+        elif value is not None or kind is None:
+            other[name] = value
+    if other:
+        out["other"] = json.dumps(other)
+    return out
 
 
 def log_nodes(df: DataFrame, payload: bool = True) -> DataFrame:
     """session_log: messages, content blocks and the blocks inside a block. A block is linked if it has a string type."""
+    row = _LOG_ROW if payload else {}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for row_id, text in zip(batch.column("row_id").to_pylist(), batch.column("message").to_pylist(), strict=True):
-                out += [(tag, row_id, i, j, linked, _kept(e, tag) if payload else None) for tag, i, j, linked, e in visit_message(text)]
+            rows = zip(*[batch.column(c).to_pylist() for c in ("row_id", "message", *row.values())], strict=True)
+            for row_id, text, *rest in rows:
+                for tag, i, j, linked, e in visit_message(text):
+                    fields = _kept(e, tag) if payload and e is not None else {}
+                    if payload and tag == "log_message":
+                        fields |= {n: v for n, v in zip(row, rest, strict=True) if v is not None} | ({"raw": text} if e is None and text is not None else {})
+                    out.append((tag, row_id, i, j, linked, json.dumps(fields) if payload else None))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _LOG_ARROW.types, strict=True)], schema=_LOG_ARROW)
 
-    rows = df.select("row_id", "message").mapInArrow(walk, _LOG_TYPE)
+    rows = df.select("row_id", "message", *row.values()).mapInArrow(walk, _LOG_TYPE)
     return rows.select("tag", F.lit(LOG).alias("src"), "row_id", F.lit(0).alias("msg_pos"), "item_pos", "sub_pos", "linked", "payload")
 
 
@@ -225,8 +257,21 @@ def write_tables(nodes: DataFrame, path: str) -> None:
 
 def read_table(spark, path: str, tag: str) -> DataFrame:
     """One flat table: keys, parent key and the fields of the tag's schema."""
+    return _typed(spark, path, tag).drop("linked").select("*", "f.*").drop("f")
+
+
+def _typed(spark, path: str, tag: str) -> DataFrame:
     rows = spark.read.parquet(path).where(F.col("tag") == tag)
-    return rows.select("src", "row_id", "msg_pos", "item_pos", "sub_pos", "node_id", "parent_id", F.from_json("payload", SCHEMAS[tag]).alias("f")).select("*", "f.*").drop("f")
+    return rows.select("src", "row_id", "msg_pos", "item_pos", "sub_pos", "node_id", "parent_id", "linked", F.from_json("payload", SCHEMAS[tag]).alias("f"))
+
+
+def read_all(spark, path: str) -> DataFrame:
+    """The rows of all flat tables, each read by the schema of its tag; the typed fields stand in ``fields`` as JSON."""
+    parts = [_typed(spark, path, tag).select(F.lit(tag).alias("tag"), *COLUMNS[1:-1], F.to_json("f").alias("fields")) for tag in SCHEMAS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def found(tools: DataFrame, export: DataFrame, log: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import drift, hierarchy, nested, timestamps
-from spanloom.runtime import table
+from spanloom.runtime import new_path, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("tag").agg(F.count("*").alias("n_rows"), F.sum(orphan.cast("int")).alias("n_orphans"), F.sum(F.col("linked").cast("int")).alias("n_linked"))
 
 
+def p1_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all flat tables with their fields: written partitioned by tag and read back by each tag's schema."""
+    nodes = nested.flatten_sessions(table(spark, d, nested.TOOLS), table(spark, d, nested.EXPORT), table(spark, d, nested.LOG))
+    path = new_path(spark, "tables")
+    nested.write_tables(nodes, path)
+    return nested.read_all(spark, path)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.found(table(spark, d, "edges"), table(spark, d, "dispatch_links"))
 
@@ -52,7 +60,7 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return drift.report(table(spark, d, "transcript_files"), table(spark, d, "transcript_lines"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_rows": p1_rows, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
 
 _P1_BASE = """
  tm as (select row_id, unnest(messages) as m, generate_subscripts(messages, 1) - 1 as mp from session_with_tools),

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.operators import drift, hierarchy, nested, timestamps
+from spanloom.queries import problems
 
 TOOLS = (
     "row_id BIGINT, sessionId STRING, projectHash STRING, host_tz STRING, startTime STRING, lastUpdated STRING, messages ARRAY<STRUCT<id: STRING, timestamp: STRING, type: STRING, model: STRING, content: STRING, "
@@ -63,6 +64,27 @@ def test_nested_tables_keep_links(sessions, spark, tmp_path):
     assert nested.read_table(spark, str(tmp_path / "t"), "log_block").where("type = 'a'").count() == 1
 
 
+def test_nested_rows_hold_all_fields(spark, tmp_path):
+    """The registered query gives every field of each entity back."""
+    state = ("done", ("f.rs", 3, 40, "old", "new", "text", "patch"), "out", None, (5, 9))
+    export = spark.createDataFrame([(1, "UTC", ("i", "t", ("c",)), [(("m", "user", ("c2",)), [("p", "tool", None, "k", "edit", state)])])], EXPORT)
+    tools = spark.createDataFrame([(1, "s", "h", "UTC", "a", "b", [])], TOOLS)
+    blocks = [{"type": "toolCall", "arguments": {"x": [1]}, "n": 7}, {"type": "image", "source": {"kind": "b"}, "content": [None, {"type": 4, "size": 2.5}]}]
+    log = spark.createDataFrame([(1, "s", 8, "UTC", "message", "e", "t", json.dumps({"role": "r", "usage": {"in": 3}, "cost": 0.5, "content": blocks}), "mo", "info"), (2, "s", 9, None, None, None, None, "{bad", None, None)], LOG)
+    for name, df in (("session_with_tools", tools), ("session_export", export), ("session_log", log)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r["tag"], r["row_id"], r["item_pos"]): json.loads(r["fields"]) for r in problems.p1_rows(spark, str(tmp_path)).collect()}
+    assert len(got) == 9 and got["tools_session", 1, -1]["host_tz"] == "UTC"
+    part = {"file_path": "f.rs", "offset": 3, "limit": 40, "old_string": "old", "new_string": "new", "content": "text", "patch_text": "patch", "time_start": 5, "time_end": 9, "output": "out", "status": "done"}
+    assert got["export_part", 1, 0] == part | {"id": "p", "type": "tool", "call_id": "k", "tool": "edit"}
+    top = got["log_message", 1, -1]
+    assert (top["line_no"], json.loads(top["usage"]), json.loads(top["other"]), "content" in top) == (8, {"in": 3}, {"cost": 0.5}, False)
+    assert got["log_message", 2, -1] == {"session_id": "s", "line_no": 9, "raw": "{bad"}
+    first, second, sub = got["log_block", 1, 0], got["log_block", 1, 1], got["log_subblock", 1, 1]
+    assert json.loads(first["arguments"]) == {"x": [1]} and json.loads(first["other"]) == {"n": 7}
+    assert json.loads(second["source"]) == {"kind": "b"} and json.loads(second["content"]) == blocks[1]["content"] and json.loads(sub["other"]) == {"type": 4, "size": 2.5}
+
+
 def test_nested_empty(spark):
     empty = [spark.createDataFrame([], s) for s in (TOOLS, EXPORT, LOG)]
     assert nested.found(*empty).count() == 0
