@@ -89,20 +89,22 @@ def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = Fa
     return out if paths else out.drop("path")
 
 
-def closure(links: DataFrame) -> DataFrame:
-    """(ancestor, node, distance) of all pairs above one another; loops and what is below them left out.
+def closure(links: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """(ancestor, node, distance) of all pairs above one another, by ``key``; loops and what is below them left out.
 
     The pairs at distance d up to 2^k join the exact jumps of 2^k, so each pair is made once. The result has as many
     rows as the sum of all depths.
     """
-    base = hierarchy(links)
-    trees = links.distinct().join(base.where("depth > 0").select(F.col("node").alias("child")), "child", "left_semi")
-    pairs, path = materialize(trees.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).cast("int").alias("distance")), "closure")
+    k = list(key)
+    base = hierarchy(links, key=key)
+    single = links.groupBy(*k, "child").agg(F.min("parent").alias("parent"))
+    trees = single.join(base.where("depth > 0").select(*k, F.col("node").alias("child")), [*k, "child"], "left_semi")
+    pairs, path = materialize(trees.select(*k, F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).cast("int").alias("distance")), "closure")
     exact, exact_path = pairs, None
     step = 1
     while exact.limit(1).count():
-        far = pairs.withColumnRenamed("ancestor", "mid").join(exact.select(F.col("node").alias("mid"), "ancestor", F.col("distance").alias("more")), "mid")
-        far = far.select("ancestor", "node", (F.col("distance") + F.col("more")).alias("distance"))
+        far = pairs.withColumnRenamed("ancestor", "mid").join(exact.select(*k, F.col("node").alias("mid"), "ancestor", F.col("distance").alias("more")), [*k, "mid"])
+        far = far.select(*k, "ancestor", "node", (F.col("distance") + F.col("more")).alias("distance"))
         grown, newer = materialize(pairs.unionByName(far), "closure")
         jumps, jumps_path = materialize(grown.where(F.col("distance") == 2 * step), "jumps")
         for old in (path, exact_path):
@@ -112,7 +114,21 @@ def closure(links: DataFrame) -> DataFrame:
     return pairs
 
 
-def found(edges: DataFrame, links: DataFrame) -> DataFrame:
+def both_links(edges: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes) of both tables, kept apart by ``src``."""
     both = edge_links(edges).withColumn("src", F.lit(EDGES)).unionByName(dispatch_parents(links).withColumn("src", F.lit(LINKS)))
-    nodes = links.where("tape_id is not null").select(F.lit(LINKS).alias("src"), F.col("tape_id").alias("node"))
+    return both, links.where("tape_id is not null").select(F.lit(LINKS).alias("src"), F.col("tape_id").alias("node"))
+
+
+def found(edges: DataFrame, links: DataFrame) -> DataFrame:
+    both, nodes = both_links(edges, links)
     return hierarchy(both, nodes, key=("src",)).select("src", "node", "root", "depth", "n_descendants")
+
+
+def full_paths(edges: DataFrame, links: DataFrame) -> DataFrame:
+    both, nodes = both_links(edges, links)
+    return hierarchy(both, nodes, paths=True, key=("src",)).select("src", "node", "root", "depth", "path")
+
+
+def descendants(edges: DataFrame, links: DataFrame) -> DataFrame:
+    return closure(both_links(edges, links)[0], key=("src",)).select("src", "ancestor", "node", "distance")

@@ -39,6 +39,16 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(hierarchy.edge_links(table(spark, d, "edges")), paths=True).select("node", "depth", "path")
 
 
+def p2_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Root, depth and full path of each node of both tables."""
+    return hierarchy.full_paths(table(spark, d, "edges"), table(spark, d, "dispatch_links"))
+
+
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of each node of both tables, with their distance."""
+    return hierarchy.descendants(table(spark, d, "edges"), table(spark, d, "dispatch_links"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.found(table(spark, d, "session_export"), table(spark, d, "session_with_tools"), table(spark, d, "session_log"))
 
@@ -60,7 +70,7 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return drift.report(table(spark, d, "transcript_files"), table(spark, d, "transcript_lines"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_rows": p1_rows, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_rows": p1_rows, "p2_found": p2_found, "p2_paths": p2_paths, "p2_all_paths": p2_all_paths, "p2_descendants": p2_descendants, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
 
 _P1_BASE = """
  tm as (select row_id, unnest(messages) as m, generate_subscripts(messages, 1) - 1 as mp from session_with_tools),

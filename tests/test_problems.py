@@ -126,6 +126,21 @@ def test_hierarchy_paths_closure_and_empty(spark):
     assert hierarchy.hierarchy(df.limit(0)).count() == 0
 
 
+def test_paths_and_descendants_of_both_tables(spark, tmp_path):
+    """The same names stand in both tables; their forests stay apart, and of two parents the least counts."""
+    spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d"), ("c", "d"), ("x", "x")], "from_anchor STRING, to_anchor STRING").write.parquet(str(tmp_path / "edges.parquet"))
+    rows = [("a", "u1", 1, "sent"), ("c", "u1", 2, "received"), ("c", "u2", 3, "sent"), ("b", "u2", 1, "received"), ("alone", None, 0, "sent")]
+    spark.createDataFrame(rows, "tape_id STRING, uuid STRING, first_turn_index BIGINT, direction STRING").write.parquet(str(tmp_path / "dispatch_links.parquet"))
+    got = {(r["src"], r["node"]): (r["root"], r["depth"], r["path"]) for r in problems.p2_all_paths(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("edges", "a"): ("a", 0, "a"), ("edges", "b"): ("a", 1, "a > b"), ("edges", "c"): ("a", 2, "a > b > c"), ("edges", "d"): ("a", 2, "a > b > d"), ("edges", "x"): ("", -1, None),
+        ("dispatch_links", "a"): ("a", 0, "a"), ("dispatch_links", "c"): ("a", 1, "a > c"), ("dispatch_links", "b"): ("a", 2, "a > c > b"), ("dispatch_links", "alone"): ("alone", 0, "alone"),
+    }
+    pairs = sorted(tuple(r) for r in problems.p2_descendants(spark, str(tmp_path)).collect())
+    edges = [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
+    assert pairs == sorted([("edges", *x) for x in edges] + [("dispatch_links", *x) for x in [("a", "c", 1), ("c", "b", 1), ("a", "b", 2)]])
+
+
 def test_hierarchy_found_spellings(spark):
     edges = spark.createDataFrame([(" A", "b "), ("a", "B"), ("b", "C"), (None, "z"), ("  ", "z"), ("a", None)], "from_anchor STRING, to_anchor STRING").withColumn("node", F.lit("clash"))
     links = spark.createDataFrame([("t1", " U1", 1, "sent"), ("t2", "u1", 2, "received"), ("t2", "u1", 2, "received"), ("t3", None, 0, "received"), ("t4", "u9", 0, "sent")], "tape_id STRING, uuid STRING, first_turn_index BIGINT, direction STRING")
