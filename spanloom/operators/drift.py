@@ -258,6 +258,8 @@ def canonical_names(files: DataFrame, head: DataFrame, differences: DataFrame) -
     """(file_id, field, name): the first name of each field of each file, found by following renames back by pointer doubling.
 
     A field's life begins where it was added or renamed to; each life is a node, and a rename links it to the one before.
+    A name that is added again after n renames away from it begins the column ``name#n+1``, since the column of the first goes
+    on under another name. A first name that itself ends so gets ``#1``, so no two names meet.
     """
     order = running_sum(files.select("file_id", "stream", "seq"), ["stream"], ["seq", "file_id"], position_bucket(F.col("seq")), F.lit(1), "at")
     changed = differences.where(F.col("change").isin("added", "renamed")).join(order.select("file_id", "stream", "at"), "file_id")
@@ -268,8 +270,15 @@ def canonical_names(files: DataFrame, head: DataFrame, differences: DataFrame) -
     renamed = changed.where("change = 'renamed'").select("stream", F.col("old_field").alias("field"), (F.col("at") - 1).alias("at"), "new_field", F.col("at").alias("new_born"))
     olds = asof_backward(renamed, births, ["stream", "field"], "at", "born_at", ["born"], strict=False, bucket=position_bucket)
     links = olds.select(node(F.col("new_field"), F.col("new_born")).alias("child"), node(F.col("field"), F.col("born")).alias("parent"))
-    roots = hierarchy(links).where("depth >= 0").select("node", F.element_at(F.split("root", "\x1f"), -1).alias("first_name"))
-    return lives.join(roots, "node", "left").select("file_id", "field", F.coalesce("first_name", "field").alias("name"))
+    away = renamed.select("stream", "field", F.col("new_born").alias("left_at"))
+    away = running_sum(away, ["stream", "field"], ["left_at"], position_bucket(F.col("left_at")), F.lit(1), "away")
+    again = asof_backward(changed.where("change = 'added'").select("stream", F.col("new_field").alias("field"), F.col("at").alias("born")), away, ["stream", "field"], "born", "left_at", ["away"])
+    again = again.where("away is not null").select(node(F.col("field"), F.col("born")).alias("root"), "away")
+    roots = hierarchy(links).where("depth >= 0").select("node", "root")
+    first = lives.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(again, "root", "left")
+    name = F.element_at(F.split("root", "\x1f"), -1)
+    number = F.coalesce("away", F.lit(0)) + 1
+    return first.select("file_id", "field", F.when((number > 1) | name.rlike("#[0-9]+$"), F.concat(name, F.lit("#"), number.cast("string"))).otherwise(name).alias("name"))
 
 
 def union_schema(head: DataFrame, names: DataFrame | None = None) -> T.StructType:

@@ -223,6 +223,21 @@ def test_drift_union_table(spark):
     assert rows[0][names["a"]] == "1" and rows[1][names["a"]] == "2" and rows[0][names["Id"]] == "x" and rows[1][names["ID"]] is True and json.loads(rows[1][names["o"]]) == {"k": 1}
 
 
+def test_drift_name_added_again_beside_its_successor(spark):
+    """a goes on as b, then a new a comes: no value is lost, and each life has its own column. A name that only paused keeps its column."""
+    content = [[{"a": "k-17", "p": 1}], [{"b": "k-17"}], [{"b": "k-17", "a": [1], "p": 2}], [{"b": "k-17", "c": [1], "p": 3}], [{"b": "k-17", "c": [1], "a": {"z": 0}, "a#2": True}]]
+    files = spark.createDataFrame([(i, "s", "logs", i, None, None) for i in range(len(content))], FILES)
+    lines = spark.createDataFrame([(i, n, json.dumps(x)) for i, f in enumerate(content) for n, x in enumerate(f)], "file_id BIGINT, line_no BIGINT, raw STRING")
+    rows, differences = drift.one_table(files, lines)
+    assert {tuple(r)[:1] + tuple(r)[2:5] for r in differences.where("change = 'renamed'").collect()} == {(1, "renamed", "a", "b"), (3, "renamed", "a", "c")}
+    names = {f.name: f.metadata["field"] for f in rows.schema.fields[2:]}
+    got = {r["file_id"]: {names[k]: v for k, v in r.asDict().items() if k in names and v is not None} for r in rows.collect()}
+    assert got == {
+        0: {"a": "k-17", "p": 1.0}, 1: {"a": "k-17"}, 2: {"a": "k-17", "a#2": "[1]", "p": 2.0}, 3: {"a": "k-17", "a#2": "[1]", "p": 3.0},
+        4: {"a": "k-17", "a#2": "[1]", "a#3": '{"z": 0}', "a#2#1": True},
+    }
+
+
 @given(st.sets(st.sampled_from(["string", "number", "boolean", "array", "object"]), min_size=1))
 @settings(max_examples=40)
 def test_promotion_is_a_lattice(types):
