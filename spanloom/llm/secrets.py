@@ -65,7 +65,7 @@ _FORMATS = re.compile(
 )
 _BLOCK = re.compile(r"-----BEGIN (?P<kind>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?P<body>.*?)-----END (?P=kind)-----", re.DOTALL)
 
-_TRIGGER = r"(?i)pass|pwd|secret|token|key|auth|credential|login|sig|contrase|clave|parola|senha|密码|口令|://[^\s/]*@|mysql|maria|curl|wget|AKIA|gh[pousr]_|glpat|xox|npm_|AIza|sk-|eyJ|\d:[\w*-]+:[\w.-]+:"
+_TRIGGER = r"(?iuU)pass|pwd|secret|token|key|auth|credential|login|account (?:for|to|at) |http\b|sig|contrase|clave|parola|senha|密码|口令|://[^\s/]*@|mysql|maria|curl|wget|AKIA|gh[pousr]_|glpat|xox|npm_|AIza|sk-|eyJ|\d:[\w*-]+:[\w.-]+:"
 
 _REFERENCE = re.compile(
     r"^(?:\$\{|\$\(|\$[A-Za-z_]\w*$|%\(|%[A-Z_]+%$|\{\{|\{|!(?:secret|vault|ref|env|sub)\b|<|\[|os\.|env[.(\[]|process\.|vault[.:/(]|getenv|config[.\[]|settings\.|self\.|secrets?[.:/\[]|ssm:|arn:|kms:|ref\+|file:"

@@ -202,6 +202,19 @@ def test_secrets(words, text, found):
         assert masked.replace(secrets.MASK, found[0], 1) == text and found[0] not in masked
 
 
+def test_secrets_found_and_masked_agree(spark):
+    """A text for each pattern, most without the words of the others."""
+    v = "q7ZkX2vB9tLm4R"
+    texts = [
+        f'apikey = "{v}"', f"--pwd {v}", f"ENV DB_SECRET {v}", f"<signature>{v}</signature>", f"Authorization: Bearer {v}", f"ftp://bob:{v}@h.io/x", f"http GET h.io/x --user bob:{v}", f"http -u bob:{v} h.io",
+        f"curl -u bob:{v} h.io", f"mysql -h h.io -p{v}", f"machine h.io login bob password {v}", f"account for h.io: bob / {v}", f"Account at h.io: bob / {v}", f"credentials for h.io: bob / {v}",
+        f"contraseña de h.io: {v}", f"h.io:5432:db:bob:{v}", f"h.io:5432:dé:bob:{v}", "AKIA" + "Q7ZKX2VB9TLM4R5W", f"-----BEGIN PRIVATE KEY-----{v * 3}-----END PRIVATE KEY-----",
+    ]
+    rows = spark.createDataFrame([("s", i, "f", t) for i, t in enumerate(texts)], "src STRING, row_id BIGINT, field STRING, text STRING")
+    found = Counter(r["row_id"] for r in secrets.scan(rows).collect())
+    assert found == {r["row_id"]: r["n_secrets"] for r in secrets.masked(rows).collect()} and min(found.values()) >= 1
+
+
 def test_secrets_rows(spark):
     paths = spark.createDataFrame([(1, ('pwd = "q8Zk2mVw91"', None)), (2, None), (3, (None, "nothing"))], "row_id BIGINT, payload STRUCT<arguments: STRING, output: STRING>").withColumn("field", F.lit("clash"))
     claw = spark.createDataFrame([(1, "é🙂 passwd=q8Zk2mVw91"), (2, None), (1, "é🙂 passwd=q8Zk2mVw91")], "row_id BIGINT, stdout STRING")
