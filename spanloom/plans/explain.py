@@ -125,17 +125,16 @@ def explain(stores: list[Store], target: str, o: Options = Options()) -> dict:
     page, told = _page(chained, [F.asc("depth"), F.desc("score"), F.desc("timestamp"), F.desc("touch_count"), F.asc("tape_id")], o, p)
     if not page:
         raise NoResults(target)
-    ids = [r["tape_id"] for r in page]
     roots: dict[str, list] = {}
     for i, r in enumerate(page):
         roots.setdefault(r["root"], []).append((r["depth"], i, r["tape_id"]))
-    dead = lookup.evidence_for(table("tombstones"), anchors).orderBy("anchor", "event_offset", "tape_id").collect()
+    dead = lookup.evidence_for(table("tombstones"), touched).orderBy("anchor", "event_offset", "tape_id").collect()
     payload = {
         "query": {"target": target, "anchors": anchors, "limit": o.limit, "offset": o.offset, "since": o.since, "until": o.until, "grep_filter": o.grep_filter, "min_confidence": o.min_confidence, "forensics": o.forensics, "count": o.count},
         "sessions": [_session(r) for r in page],
         "chains": [{"root": root, "sessions": [x[2] for x in sorted(v)], "length": len(v)} for root, v in roots.items()],
         "lineage": [{**e, "stored_class": "location_only" if not e["agent_link"] and e["confidence"] < p.link_threshold else "lineage"} for e in lineage],
-        "dispatch_lineage": [r.asDict() for r in hops.where(F.col("tape_id").isin(ids)).orderBy("hop", "tape_id", "turn").limit(p.max_edges).collect()],
+        "dispatch_lineage": [r.asDict() for r in hops.orderBy("hop", "tape_id", "turn").toLocalIterator()],
         "tombstones": [{k: v for k, v in r.asDict().items() if k != "store_rank"} for r in dead],
         "stores_queried": sum(s.exists() for s in stores),
         **told,
