@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -121,7 +122,7 @@ def sent_marker(uuids: DataFrame, links: DataFrame) -> DataFrame:
 _HOPS = "tape_id STRING, turn BIGINT, uuid STRING, received_turn BIGINT, parent_tape STRING, sent_turn BIGINT, hop INT"
 
 
-def climb(touches: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFrame:
+def climb(touches: DataFrame, links: DataFrame) -> DataFrame:
     """All hops upstream from touches (tape_id, turn): tape, turn, uuid, received_turn, parent_tape, sent_turn and the hop's number.
 
     The frontier of a hop is the set of distinct (tape, turn) that the hop before reached for the first time, so loops end.
@@ -132,7 +133,7 @@ def climb(touches: DataFrame, links: DataFrame, max_hops: int = 64) -> DataFrame
     frontier, _ = materialize(touches.select("tape_id", "turn").distinct(), "frontier")
     hops: DataFrame | None = None
     seen = frontier
-    for hop in range(max_hops):
+    for hop in itertools.count():
         step = sent_marker(latest_received(frontier, links).where("uuid is not null"), links)
         step, _ = materialize(step.select("tape_id", "turn", "uuid", "received_turn", "parent_tape", "sent_turn", F.lit(hop).alias("hop")), "hops")
         hops = step if hops is None else hops.unionByName(step)
