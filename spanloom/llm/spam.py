@@ -1,10 +1,11 @@
 """Keyword-stuffed and link-list pages by a hidden Markov model over lines.
 
-A page is cut into segments: its lines, and long lines at list marks and ends of sentences. Each segment becomes one of
+A page is cut into segments: its lines, and long lines at ends of sentences and then at list marks or blanks, so that no
+segment is longer than ``LONG_LINE`` and each has a vote of about its size. Each segment becomes one of
 a few symbols (see ``SYMBOLS``) from what it holds: links, prices, separators, code, function words, and the share of
 its words that the page overuses. A hidden Markov model with the states prose, link list, tag list and menu labels the
 segments by Viterbi, so that a short or odd line takes the label of its surroundings. A page is flagged if the
-segments that aren't prose hold more than half of its words, by letters.
+segments that aren't prose hold more than half of its words; the words of link addresses count, and so does each ideograph.
 
 The symbols' odds and the transitions are the parameters of the model, the same for all pages.
 
@@ -70,25 +71,35 @@ _CODE = re.compile(
 _MENU_SEP = re.compile(r"\s(?:[|›»>•·]|::|/)\s")
 _ASCII_WORD, _ASCII_HUMP, _ASCII_CAMEL = re.compile(r"[a-z]+(?:'[a-z]+)?"), re.compile("[a-z][A-Z]"), re.compile("(?<=[a-z])(?=[A-Z])")
 _CAMEL = re.compile(r"(?<=[^\W\dA-Z_])(?=[A-Z])")
-_NO_LETTER = re.compile(r"[\W_]+")
+_COUNTED = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 _HREF = re.compile(r"href=[\"']([^\"']*)")
 _HASHTAG = re.compile(r"#[^\W\d_]\w*")
 _LINK_SIGN = re.compile(r"://|www\.|\.[a-z]+/|\.(?:com|org|net|info|biz|io|dev|co|eu|de|fr|es|it|uk|cn|jp|ru|local|example|test|invalid)\b", re.IGNORECASE)
 _LISTED = re.compile(r"\s*(?:[-*•]\s*)?(?:tags?|keywords?|stichwörter|schlagwörter|etiquetas?|étiquettes?|mots[- ]clés|palabras clave|标签|关键词)\s*[:：]", re.IGNORECASE)
 _LINE_END = re.compile("[\r\n\x0b\x0c\x85\u2028\u2029]+")
-_PIECE = re.compile(r".{1,160}(?:\s|$)|\S{1,160}", re.DOTALL)
+#: Pieces of a long stretch: up to a list mark, else to a blank, else of full length.
+_PIECE = re.compile(rf".{{1,{LONG_LINE - 1}}}[,;|•·、，；\t]\s*|.{{1,{LONG_LINE}}}(?:\s+|$)|.{{1,{LONG_LINE}}}", re.DOTALL)
+_MARKS = " \t,;|•·、，；"
 _SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 
 
-def segments(text: str) -> list[str]:
-    """Lines, cut at block tags, and long ones at ends of sentences."""
+def segments(text: str) -> list[tuple[str, bool]]:
+    """Lines, cut at block tags, and the pieces of long ones; true for whole lines."""
     out = []
-    for line in re.split(r"[\r\n  \x0b\x0c]+", _BREAK.sub("\n", text)):
-        parts = [line] if len(line) <= LONG_LINE else _SENTENCE_END.split(line)
-        out += [p for p in parts if p.strip()]
+    for line in _LINE_END.split(_BREAK.sub("\n", text)):
+        if len(line) <= LONG_LINE:
+            if line.strip():
+                out.append((line, True))
+            continue
+        for part in _SENTENCE_END.split(line):
+            out += [(p, False) for p in ([part] if len(part) <= LONG_LINE else _PIECE.findall(part)) if p.strip()]
     return out
 
 
+def _count(plain: str) -> int:
+    return len(_COUNTED.findall(plain))
+
+
 def words_of(plain: str) -> list[str]:
     """Lower-case words of a text without links and markup; parts of joined names count each, and so does each ideograph."""
     if plain.isascii():
@@ -109,8 +120,8 @@ def words_of(plain: str) -> list[str]:
 class Segment:
     """What a segment holds: words outside links, words outside anchors, and the length of what is linked."""
 
-    def __init__(self, text: str):
-        self.text, self.plain, self.linked = text, text, 0
+    def __init__(self, text: str, whole: bool = True):
+        self.text, self.plain, self.linked, self.whole = text, text, 0, whole
         outside = text
         if "<" in text:
             anchors = [m.group(0) for m in _ANCHOR.finditer(text)]
@@ -129,9 +140,13 @@ class Segment:
         self.content = [w for w in self.words if w not in FUNCTION_WORDS]
 
     def weight(self) -> int:
-        """Letters and digits as seen on the page, links included."""
-        n = len(_NO_LETTER.sub("", self.plain))
-        return n + sum(map(len, _HREF.findall(self.text))) if "href" in self.text else n
+        """Words as seen on the page, those of links and addresses included."""
+        n = len(self.words) if self.plain is self.text and not self.linked else _count(self.plain)
+        return n + sum(map(_count, _HREF.findall(self.text))) if "href" in self.text else n
+
+    def is_code(self) -> bool:
+        """The signs at the ends of a line hold for whole lines only, not where a long line was cut."""
+        return bool(_CODE.search(self.outside if self.whole else "\0" + self.outside.strip(_MARKS)))
 
 
 def symbol(seg: Segment, overused: set[str]) -> str:
@@ -149,7 +164,7 @@ def symbol(seg: Segment, overused: set[str]) -> str:
         return "sentence"
     if listed or "#" in text and len(_HASHTAG.findall(text)) * 2 > len(text.split()):
         return "keywords"
-    code = bool(_CODE.search(seg.outside))
+    code = seg.is_code()
     if not code and functional / n < 0.15 and _PRICE.search(text):
         return "product"
     if not code and functional / n < 0.2 and len(_MENU_SEP.findall(text)) >= 2:
@@ -189,7 +204,7 @@ def viterbi(symbols: list[str]) -> list[int]:
 
 def label(text: str) -> list[tuple[str, int, int]]:
     """(segment, state, weight) of a page."""
-    parts = [Segment(p) for p in segments(html.unescape(text) if "&" in text else text)]
+    parts = [Segment(*p) for p in segments(html.unescape(text) if "&" in text else text)]
     if not parts:
         return []
     counts = Counter(w for p in parts for w in p.content)

@@ -246,6 +246,33 @@ def test_spam(text, flagged):
     assert (spam.spam_share(text) > spam.FLAG_SHARE) == flagged
 
 
+_LIST = {
+    "latin": (["cheap", "theme", "offer", "plugin", "licence", "download", "bundle", "course"], SENTENCES[1]),
+    "cyrillic": (["дешёвый", "тема", "скидка", "плагин", "лицензия", "загрузка", "пакет", "курс"], "Мы не знаем, что на этой машине с очередью и как это было для всех в прошлый раз."),
+    "han": (["便宜", "主题", "优惠", "插件", "许可", "下载", "套餐", "课程"], "我们不知道这个队列为什么会在昨天的版本里停住，请先把它的日志从服务器上取下来，再看有没有别的原因。"),
+}
+
+
+@pytest.mark.parametrize("script", _LIST)
+@pytest.mark.parametrize("join", [", ", " | ", ",", "; ", "  ", " #"])
+@pytest.mark.parametrize("order", [0, 1])
+def test_one_long_list_line_beside_one_sentence(script, join, order):
+    """A line of 1,000 characters has the votes of its length, whatever separates its keywords."""
+    words, sentence = _LIST[script]
+    rng, line = random.Random(3), join.strip(" ,|;")
+    while len(line) < 1000:
+        line += rng.choice(words) + join
+    page = [sentence, line] if order else [line, sentence]
+    assert spam.spam_share("\n".join(page)) > spam.FLAG_SHARE
+    assert spam.spam_share("\n\n".join([PROSE, sentence, line[:150]])) < spam.FLAG_SHARE
+
+
+def test_pieces_of_long_lines_keep_the_text():
+    for line in ("a" * 1000, "word " * 200, "a,b;" * 300, "漢字" * 300, "x" * 161, " " * 500):
+        pieces = spam.segments(line)
+        assert "".join(p for p, _ in pieces).strip() == line.strip() and all(len(p) <= spam.LONG_LINE + 40 for p, _ in pieces)
+
+
 def test_spam_rows(spark):
     rows = [(1, "cheap plugin deal, best theme offer, " * 12, "share"), (2, None, None), (3, PROSE, None)]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, share STRING")
