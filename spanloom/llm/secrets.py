@@ -4,7 +4,11 @@ Candidates are the values of assignment contexts: names of credentials with a va
 environment, command-line flags), authorization headers, user info and query parameters of URLs, login lines, key blocks, and
 a few published token formats. Each candidate is segmented into dictionary words by Viterbi; what no word
 explains is the residual. A value is a secret if it is literal (no reference, placeholder or mask) and, by the
-strength of its context, has a residual, digits or symbols; bare hashes and ids count in strong contexts only.
+strength of its context, has a residual, digits or symbols; bare hashes and ids count in strong contexts only. Values
+with blanks and short ones count where they are quoted in a strong context.
+
+Every pattern reads a text in linear time: names are found by their last word, never by a prefix that could begin
+anywhere; words that open a context (commands, BEGIN lines) are kept as a state of one pass.
 
 Defined results
 * Null and empty texts hold no secret. Spans of a text don't overlap; the one of the most exact context, then the first and longest, stays.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +35,7 @@ WORDS = "word_bpe_49k.json"
 MASK = "[REDACTED]"
 #: Least residual characters of a value in a weak context.
 WEAK_RESIDUAL = 6
+#: A shorter value counts only quoted in a strong context and with both letters and digits or symbols.
 LEAST_LENGTH = 6
 
 _Q = r"""(?P<q>\\?["'`])"""
@@ -42,7 +48,8 @@ _STRONG = (
     r"|(?:api|access|auth|refresh|deploy|private|session|bearer|client|signing|encryption|master|secret|account|admin)[_\-]?(?:token|key|secret|pass(?:word|wd)?)"
 )
 _WEAK = r"token|key|sig(?:nature)?|auth"
-_NAME = rf"(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.\-]*?(?:(?P<strong>{_STRONG})|(?P<weak>{_WEAK})))"
+#: The end of a name; whatever stands before it belongs to the name.
+_NAME = rf"(?:(?P<strong>{_STRONG})|(?P<weak>{_WEAK}))"
 _SEP = r"""(?:\s*:\s*(?:&\s*(?:'\w+\s+)?)?(?:str|String|string)\s*=\s*|\s*:\s*String::from\(\s*|\\?["'`]?\s*(?::=|=>|=|:)[ \t]*)"""
 
 _ASSIGN = re.compile(_NAME + _SEP + _VALUE, re.IGNORECASE)
@@ -50,20 +57,22 @@ _FLAG = re.compile(r"(?<![\w-])--?(?P<name>[a-z\-]*(?:(?P<strong>pass(?:word|wd|
 _ENV = re.compile(r"\bENV[ \t]+\w*?(?:(?P<strong>" + _STRONG + r")|(?P<weak>" + _WEAK + r"))[ \t]+" + _VALUE, re.IGNORECASE)
 _XML = re.compile(r"<(?P<tag>[\w\-]*?(?:(?P<strong>" + _STRONG + r")|(?P<weak>" + _WEAK + r")))>(?P<v>[^<>\n]*)</(?P=tag)>", re.IGNORECASE)
 _OTHERS = [  # contexts that are strong whatever the name
-    re.compile(r"authorization\\?[\"']?\s*[:=]\s*\\?[\"']?(?:bearer|basic|token|apikey|digest)\s+(?P<v>[^\s\"'`\\,;<>]+)", re.IGNORECASE),
-    re.compile(r"\b[a-z][a-z0-9+.\-]*://[^\s/:@\"'\\<>]*:(?P<v>[^\s/@\"'\\<>]+)@", re.IGNORECASE),
-    re.compile(r"\b(?:curl|wget|http)\b[^\n\"']*?\s(?:-u|--user)[ =]\\?[\"']?[\w.\-@]+:(?P<v>[^\s\"'\\]+)"),
-    re.compile(r"\b(?:mysql|mysqldump|mariadb|mysqladmin)\b[^\n\"']*?\s-p(?P<v>[^\s\"'\\]+)"),
+    re.compile(r"authorization\\?[\"']?\s*+[:=]\s*+\\?[\"']?(?:bearer|basic|token|apikey|digest)\s+(?P<v>[^\s\"'`\\,;<>]+)", re.IGNORECASE),
+    re.compile(r"(?<=[a-z0-9+.\-])://[^\s/:@\"'\\<>]*:(?P<v>[^\s/@\"'\\<>]+)@", re.IGNORECASE),
     re.compile(r"\blogin\s+\S+\s+(?:password|passwd)\s+(?P<v>[^\s\"'\\]+)", re.IGNORECASE),
-    re.compile(r"\b(?:login|credentials?|account) (?:for|to|at) \S+?\s*:\s*\S+ / (?P<v>[^\s\"'\\]+)", re.IGNORECASE),
-    re.compile(r"(?:pass(?:wort|word|phrase|e)|contraseña|clave|parola|senha|密码|口令)\s*(?:für|for|of|to|de|para|pour|di|von|zu)?\s*[\w.\-]+\.[\w\-]+(?::\d+)?\s*[:：]\s*(?P<v>[^\s\"'\\，。]+)", re.IGNORECASE),
+    re.compile(r"\b(?:login|credentials?|account) (?:for|to|at) (?:\S++(?:(?<=:)|\s*+:)\s*+\S++|[^\s:]++:\S++) / (?P<v>[^\s\"'\\]+)", re.IGNORECASE),
+    re.compile(r"(?:pass(?:wort|word|phrase|e)|contraseña|clave|parola|senha|密码|口令)\s*+(?:(?<=\s)(?:für|for|of|to|de|para|pour|di|von|zu)\s++)?(?:(?<=\s)|(?<=[码令]))[a-z0-9_.\-]+\.[a-z0-9_\-]+(?::\d+)?\s*+[:：]\s*+(?P<v>[^\s\"'\\，。]+)", re.IGNORECASE),
 ]
+#: Commands with a credential among their options; a line end or a quote ends the command.
+_COMMAND = re.compile(
+    r"(?P<end>[\n\"'])|\b(?P<web>curl|wget|http)\b|(?i:\b(?P<sql>mysql|mysqldump|mariadb|mysqladmin)\b)|\s(?:-u|--user)[ =]\\?[\"']?[\w.\-@]+:(?P<user>[^\s\"'\\]+)|\s-p(?P<p>[^\s\"'\\]+)"
+)
 _PGPASS = re.compile(r"(?<![\w/@.:\-])[\w\-]+(?:\.[\w\-]+)+:\d{2,5}:[\w*\-]+:[\w.\-]+:(?P<v>[^\s:\"'\\]+)(?=[\s\"'\\]|$)")
 _FORMATS = re.compile(
     r"(?<![\w\-+/=.])(?P<v>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-[\w\-]{18,}|xox[abprs]-[\w\-]{10,}|npm_[A-Za-z0-9]{30,}|AIza[\w\-]{30,}"
     r"|sk-(?:live-|proj-|test-)?[A-Za-z0-9]{20,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![\w\-+/=])"
 )
-_BLOCK = re.compile(r"-----BEGIN (?P<kind>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?P<body>.*?)-----END (?P=kind)-----", re.DOTALL)
+_BLOCK = re.compile(r"-----(?P<side>BEGIN|END) (?P<kind>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 
 _TRIGGER = r"(?iuU)pass|pwd|secret|token|key|auth|credential|login|account (?:for|to|at) |http\b|sig|contrase|clave|parola|senha|密码|口令|://[^\s/]*@|mysql|maria|curl|wget|AKIA|gh[pousr]_|glpat|xox|npm_|AIza|sk-|eyJ|\d:[\w*-]+:[\w.-]+:"
 
@@ -118,13 +127,17 @@ def dictionary(path: str) -> Dictionary:
     return Dictionary.load(path)
 
 
-def is_secret(value: str, strong: bool, quoted: bool, words: Dictionary) -> bool:
-    """Whether the value of a context is a literal secret."""
-    if len(value) < LEAST_LENGTH or " " in value or _REFERENCE.search(value) or _MASKED.search(value) or _PLACEHOLDER.search(value):
+def is_secret(value: str, strong: bool, quoted: bool, words: Dictionary, hashes: bool = False) -> bool:
+    """Whether the value of a context is a literal secret. ``hashes``: bare hashes and ids count although the name is weak."""
+    if not value or _REFERENCE.search(value) or _MASKED.search(value) or _PLACEHOLDER.search(value):
         return False
-    if re.fullmatch(r"[\d.,:\-+eE%]+", value):
+    if re.fullmatch(r"[\d.,:\-+eE%]+", value) or not (strong or hashes) and _HASH.match(value):
         return False
+    if len(value) < LEAST_LENGTH:
+        return strong and quoted and bool(re.search(r"[A-Za-z]", value)) and bool(re.search(r"[^A-Za-z_\-./: ]", value))
     residual = words.residual(value)
+    if " " in value:
+        return strong and quoted and residual >= WEAK_RESIDUAL and residual * 2 >= sum(map(str.isalnum, value))
     if not strong:
         return residual >= WEAK_RESIDUAL and bool(re.search(r"\d", value)) and not (_IDENTIFIER.match(value) and residual < len(value) // 2)
     if quoted:
@@ -132,15 +145,48 @@ def is_secret(value: str, strong: bool, quoted: bool, words: Dictionary) -> bool
     return bool(re.search(r"[^A-Za-z_\-./:]", value)) and not re.fullmatch(r"[a-z]+(?:_[a-z]+)*_\d{1,5}", value) or residual >= 8
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Key blocks from a BEGIN line to the first END line of the same kind."""
+    begun: dict[str, re.Match] = {}
+    for m in _BLOCK.finditer(text):
+        if m["side"] == "BEGIN":
+            begun.setdefault(m["kind"], m)
+        elif b := begun.pop(m["kind"], None):
+            body = text[b.end() : m.start()]
+            if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 16 and not re.search(r"redacted|\*{3}|<", body, re.IGNORECASE):
+                yield b.start(), m.end()
+
+
+def _commands(text: str) -> Iterator[tuple[re.Match, str]]:
+    """(match, group) of credentials among the options of a command."""
+    web = sql = False
+    for m in _COMMAND.finditer(text):
+        kind = m.lastgroup
+        if kind == "end":
+            web = sql = False
+        elif kind == "web":
+            web = True
+        elif kind == "sql":
+            sql = True
+        elif kind == "user" and web or kind == "p" and sql:
+            yield m, kind
+
+
+def _in_query(text: str, at: int) -> bool:
+    """Whether the name before ``at`` is one of a query's parameters: what signs or opens an address is no checksum."""
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+        at -= 1
+    return at > 0 and text[at - 1] in "?&"
+
+
 def find(text: str | None, words: Dictionary) -> list[tuple[int, int]]:
     """Spans of the secrets of a text."""
     if not text:
         return []
-    blocks = [(m.start(), m.end()) for m in _BLOCK.finditer(text) if len(re.findall(r"[A-Za-z0-9+/=]", m["body"])) >= 16 and not re.search(r"redacted|\*{3}|<", m["body"], re.IGNORECASE)]
-    spans = {b: 0 for b in blocks}  # span -> how exact its context is: key blocks, forms of their own, names
+    spans = dict.fromkeys(_blocks(text), 0)  # span -> how exact its context is: key blocks, forms of their own, names
 
     def add(m: re.Match, group: str, strong: bool, quoted: bool, rank: int = 2) -> None:
-        if is_secret(m[group], strong, quoted, words):
+        if is_secret(m[group], strong, quoted, words, not strong and _in_query(text, m.start())):
             spans[m.span(group)] = min(rank, spans.get(m.span(group), rank))
 
     for pattern in (_ASSIGN, _FLAG, _ENV):
@@ -155,15 +201,18 @@ def find(text: str | None, words: Dictionary) -> list[tuple[int, int]]:
     for pattern in _OTHERS:
         for m in pattern.finditer(text):
             add(m, "v", True, True, 1)
+    for m, group in _commands(text):
+        add(m, group, True, True, 1)
     for m in _PGPASS.finditer(text):
         add(m, "v", True, True, 1)
     for m in _FORMATS.finditer(text):
         add(m, "v", False, True)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int]] = []  # sorted, apart from one another
     for s, e in sorted(spans, key=lambda x: (spans[x], x[0], -x[1])):
-        if all(e <= a or s >= b for a, b in out):
-            out.append((s, e))
-    return sorted(out)
+        i = bisect_left(out, (s, e))
+        if (i == 0 or out[i - 1][1] <= s) and (i == len(out) or e <= out[i][0]):
+            out.insert(i, (s, e))
+    return out
 
 
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
