@@ -1,11 +1,12 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-A text is encoded as a tree: pieces of a bounded length are encoded on their own, and neighbours are joined in a
-monoid. The pre-tokenizer reads from left to right without memory, so a piece that starts where one of its matches
-starts is read the same way whatever stands before it, and a match is settled once the text after it is known
-(three characters from its start, for contractions). A join therefore encodes again only a window around the seam,
-from a settled match of the left side to a match start that the right side has as well; if the window has none it grows. The
-result is exactly that of the whole text, and no call of the tokenizer sees more than a piece or a window.
+Every text is encoded as a tree: it is halved down to leaves of a few hundred characters, the leaves are encoded on
+their own, and neighbours are joined in a monoid on the way up. The pre-tokenizer reads from left to right without
+memory, and none of its matches holds two neighbouring characters of different kinds (white space, letters, numbers,
+others), but for a blank before a word and the apostrophe of a contraction. So between two such characters a match
+starts whatever stands around: a fixed point. A join encodes again only the window from the last fixed point of the
+left side to the first of the right side; the search for both grows from the seam, and tokens outside can't change. The
+result is exactly that of the whole text, and no call of the tokenizer sees more than a leaf or a window.
 
 Defined results: null and empty texts have the empty list of ids; strings of special tokens are ordinary text;
 repeated rows are encoded each; other columns of the input are ignored.
@@ -14,7 +15,6 @@ repeated rows are encoded each; other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,9 +29,10 @@ TOKENIZERS_DIR = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: The published pre-tokenizer of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LOOKAHEAD = 3
-LEAF_CHARS = 16_384
-FIRST_WINDOW = 8
+#: Between these two characters a match ends and another starts, whatever else the text holds.
+FIXED = r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{White_Space}\p{L}])|(?<=\p{N})(?=[^\p{White_Space}\p{N}])|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+LEAF_CHARS = 512
+FIRST_WINDOW = 24
 
 
 def tokenizer_path(spark: SparkSession, name: str = BYTE_BPE) -> str:
@@ -39,15 +40,13 @@ def tokenizer_path(spark: SparkSession, name: str = BYTE_BPE) -> str:
     return f"{spark.conf.get(TOKENIZERS_KEY, TOKENIZERS_DIR)}/{name}"
 
 
-@dataclass(frozen=True)
+@dataclass
 class Piece:
-    """An encoded stretch of a text: ids, the characters at which matches start and the first token of each match."""
+    """The ids of a stretch of a text, encoded on its own."""
 
     start: int
     end: int
-    ids: np.ndarray
-    starts: list[int]
-    tokens: list[int]
+    ids: list[int]
 
 
 class ByteBpe:
@@ -57,67 +56,63 @@ class ByteBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(PATTERN)
-        self.leaf_chars = leaf_chars
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.bytes_of = [b""] * len(self.width)
+        self.leaf = self.encoding._core_bpe.encode_ordinary if hasattr(self.encoding, "_core_bpe") else self.encoding.encode_ordinary
+        self.fixed = regex.compile(FIXED)
+        self.leaf_chars, self.joins = leaf_chars, 0
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
-            self.width[i], self.bytes_of[i] = len(b), b
+            self.bytes_of[i] = b
+        self.width = list(map(len, self.bytes_of))
 
-    def encode(self, text: str | None) -> list[int] | np.ndarray:
-        if not text:
-            return []
-        if len(text) <= self.leaf_chars:
-            return self.encoding.encode_ordinary(text)
-        return self._tree(text, 0, len(text)).ids
+    def encode(self, text: str | None) -> list[int]:
+        return self._tree(text, 0, len(text)).ids if text else []
 
     def decode(self, ids) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8")
 
     def _tree(self, text: str, start: int, end: int) -> Piece:
         if end - start <= self.leaf_chars:
-            return self._leaf(text, start, end)
+            return Piece(start, end, self.leaf(text[start:end]))
         mid = (start + end) // 2
         return self.join(text, self._tree(text, start, mid), self._tree(text, mid, end))
 
-    def _leaf(self, text: str, start: int, end: int) -> Piece:
-        part = text[start:end]
-        ids = np.asarray(self.encoding.encode_ordinary(part), np.int32)
-        starts = [m.start() for m in self.pattern.finditer(part)]
-        points = np.frombuffer(part.encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-        tokens = np.searchsorted(np.concatenate([[0], np.cumsum(self.width[ids])]), at[starts])
-        return Piece(start, end, ids, [start + s for s in starts], tokens.tolist())
-
     def join(self, text: str, a: Piece, b: Piece) -> Piece:
-        """The encoding of both stretches together."""
-        if not a.starts or not b.starts:
-            return b if not a.starts else a
-        # the matches of the left side that its end can't change: settled if they and the look-ahead lie inside
-        i = max(0, bisect_left(a.starts, a.end - LOOKAHEAD + 1) - 1)
-        n = FIRST_WINDOW
-        while True:
-            whole = n >= len(b.starts)
-            window = self._leaf(text, a.starts[i], b.end if whole else b.starts[n])
-            for k, s in enumerate(window.starts):
-                if k and (window.starts[k - 1] + LOOKAHEAD > window.end or s >= window.end) and not whole:
-                    break
-                if s >= b.start:
-                    j = bisect_left(b.starts, s)
-                    if j < len(b.starts) and b.starts[j] == s:
-                        return self._cut(a, i, window, k, b, j)
-            if whole:
-                return self._cut(a, i, window, len(window.starts), b, len(b.starts))
-            n *= 2
-
-    @staticmethod
-    def _cut(a: Piece, i: int, w: Piece, k: int, b: Piece, j: int) -> Piece:
-        """Matches of ``a`` before i, of the window before k, of ``b`` from j."""
-        ta, tw, tb = a.tokens[i], w.tokens[k] if k < len(w.tokens) else len(w.ids), b.tokens[j] if j < len(b.tokens) else len(b.ids)
-        return Piece(
-            a.start, b.end, np.concatenate([a.ids[:ta], w.ids[:tw], b.ids[tb:]]), a.starts[:i] + w.starts[:k] + b.starts[j:],
-            a.tokens[:i] + [ta + t for t in w.tokens[:k]] + [ta + tw - tb + t for t in b.tokens[j:]],
-        )
+        """The encoding of both stretches together; the left side's list is used up."""
+        self.joins += 1
+        if a.start == a.end:
+            return b
+        p = self._last_fixed(text, a)
+        r = self._first_fixed(text, b) if p < b.start else b.start
+        ids = a.ids
+        if p < r:
+            n = len(text[p : a.end].encode())
+            while n > 0:
+                n -= self.width[ids.pop()]
+            ids += self.leaf(text[p:r])
+        k, n = 0, len(text[b.start : r].encode())
+        while n > 0:
+            n -= self.width[b.ids[k]]
+            k += 1
+        ids += b.ids[k:] if k else b.ids
+        return Piece(a.start, b.end, ids)
+
+    def _last_fixed(self, text: str, a: Piece) -> int:
+        """The last fixed point of the left side, the seam included; its start if it has none."""
+        if self.fixed.match(text, a.end):
+            return a.end
+        high, n = a.end, FIRST_WINDOW
+        while high > a.start:
+            low = max(a.start, high - n)
+            points = [m.start() for m in self.fixed.finditer(text, max(low, a.start + 1), high)]
+            if points:
+                return points[-1]
+            high, n = low, n * 2
+        return a.start
+
+    def _first_fixed(self, text: str, b: Piece) -> int:
+        """The first fixed point inside the right side; its end if it has none."""
+        m = self.fixed.search(text, b.start + 1, b.end)
+        return m.start() if m and m.start() < b.end else b.end
 
 
 @lru_cache(4)

@@ -21,7 +21,7 @@ def bpes():
     return [tokens.ByteBpe(PATH, n) for n in (1, 3, 11, 50)]
 
 
-@given(st.lists(st.sampled_from(["'", "'l", "l", "ll", "'re", " ", "  ", "\n", "\t", "word", " Word", "12", "!", "?!", "é", "漢字", "🙂", " ", "s", "ve", "́", "'"]), max_size=60).map("".join))
+@given(st.lists(st.sampled_from(["'", "'l", "l", "ll", "'re", " ", "  ", "\n", "\t", "word", " Word", "12", "!", "?!", "é", "漢字", "🙂", " ", "s", "ve", "́", "'", "\x1c", "\x85", "\u3000", "\u200b", "_", "¹", "'D", "。"]), max_size=60).map("".join))
 @settings(max_examples=150, deadline=None)
 def test_joins_give_the_whole_encoding(bpes, text):
     want = bpes[0].encoding.encode_ordinary(text)
@@ -36,6 +36,19 @@ def test_long_uniform_texts(bpes):
         assert b.decode(b.encode(t)) == t and list(b.encode(t)) == b.encoding.encode_ordinary(t)
 
 
+def test_most_documents_are_joined():
+    """The tree is the way of ordinary documents, not of long ones only."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pydict()["text"] if t]
+    b, joined = tokens.ByteBpe(PATH), 0
+    for t in texts:
+        before = b.joins
+        assert b.encode(t) == b.encoding.encode_ordinary(t)
+        joined += b.joins > before
+    assert joined > 0.7 * len(texts)
+
+
 def test_encode_rows(spark):
     rows = [(1, "hello world", None, None, "clash", None), (2, "", None, None, None, None), (3, None, None, None, None, None), (1, "hello world", None, None, None, None), (4, "<|endoftext|>", None, None, None, None)]
     got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode(spark.createDataFrame(rows, DOCS)).collect())
