@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import drift, hierarchy, nested, timestamps
-from spanloom.runtime import new_path, table
+from spanloom.runtime import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.found(table(spark, d, nested.TOOLS), table(spark, d, nested.EXPORT), table(spark, d, nested.LOG))
 
 
+def _sources(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in (nested.TOOLS, nested.EXPORT, nested.LOG)]
+
+
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows and distinct keys of each flat table, and how many rows lack their parent (none should)."""
-    nodes = nested.flatten_sessions(table(spark, d, nested.TOOLS), table(spark, d, nested.EXPORT), table(spark, d, nested.LOG), payload=False)
+    nodes = nested.flatten_sessions(*_sources(spark, d)).drop("payload")
     keys = nodes.select(F.col("node_id").alias("key")).distinct()
     joined = nodes.join(keys, nodes["parent_id"] == keys["key"], "left")
     orphan = F.col("parent_id").isNotNull() & F.col("key").isNull()
@@ -24,10 +28,23 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of all flat tables with their fields: written partitioned by tag and read back by each tag's schema."""
-    nodes = nested.flatten_sessions(table(spark, d, nested.TOOLS), table(spark, d, nested.EXPORT), table(spark, d, nested.LOG))
-    path = new_path(spark, "tables")
-    nested.write_tables(nodes, path)
-    return nested.read_all(spark, path)
+    return nested.read_all(spark, *nested.tables(*_sources(spark, d))).drop("path")
+
+
+def p1_results(spark: SparkSession, d: str) -> DataFrame:
+    """Tool results beside the call each belongs to: two of the flat tables, joined on the parent's key."""
+    path, schemas = nested.tables(*_sources(spark, d))
+    calls = nested.read_table(spark, path, "tools_call", schemas["tools_call"]).select(F.col("node_id").alias("call_id"), "name", "args_file_path")
+    results = nested.read_table(spark, path, "tools_result", schemas["tools_result"])
+    fields = {"output": "functionResponse_response_output", "error": "functionResponse_response_error"}
+    return results.join(calls, results["parent_id"] == calls["call_id"]).select("node_id", "parent_id", "name", F.col("args_file_path").alias("file_path"), *[F.col(c).alias(n) for n, c in fields.items()])
+
+
+def p1_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of export parts."""
+    path, schemas = nested.tables(*_sources(spark, d))
+    parts = nested.read_table(spark, path, "export_part", schemas["export_part"])
+    return parts.select("node_id", "parent_id", "type", "callID", "tool", "text", F.col("state_input_offset").alias("input_offset"), F.col("state_input_oldString").alias("old_string"), F.col("state_output").alias("output"), F.col("state_time_end").alias("time_end"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +87,7 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return drift.report(table(spark, d, "transcript_files"), table(spark, d, "transcript_lines"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_rows": p1_rows, "p2_found": p2_found, "p2_paths": p2_paths, "p2_all_paths": p2_all_paths, "p2_descendants": p2_descendants, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_rows": p1_rows, "p1_results": p1_results, "p1_parts": p1_parts, "p2_found": p2_found, "p2_paths": p2_paths, "p2_all_paths": p2_all_paths, "p2_descendants": p2_descendants, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p5_changes": p5_changes}
 
 _P1_BASE = """
  tm as (select row_id, unnest(messages) as m, generate_subscripts(messages, 1) - 1 as mp from session_with_tools),
@@ -95,7 +112,8 @@ union all select 'session_log', row_id, 0, ip::int, sp::int from ls where json_t
 """
 
 _P1_TABLES = f"""
-with {_P1_BASE}
+with recursive {_P1_BASE},
+ lx as (select s from ls union all select unnest(json_extract(s, '$.content[*]')) from lx where json_type(s) = 'OBJECT' and json_type(s, '$.content') = 'ARRAY')
 select tag, count(*) as n_rows, 0::bigint as n_orphans, sum(linked)::bigint as n_linked from (
  select 'tools_session' as tag, 1 as linked from session_with_tools
  union all select 'tools_message', 1 from tm where m is not null
@@ -106,10 +124,24 @@ select tag, count(*) as n_rows, 0::bigint as n_orphans, sum(linked)::bigint as n
  union all select 'export_part', (p.state.output is not null)::int from ep where p is not null
  union all select 'log_message', coalesce(json_type(j) = 'OBJECT', false)::int from lm
  union all select 'log_block', coalesce(json_type(b, '$.type') = 'VARCHAR', false)::int from lb where json_type(b) = 'OBJECT'
- union all select 'log_subblock', coalesce(json_type(s, '$.type') = 'VARCHAR', false)::int from ls where json_type(s) = 'OBJECT'
+ union all select 'log_subblock', coalesce(json_type(s, '$.type') = 'VARCHAR', false)::int from lx where json_type(s) = 'OBJECT'
 ) group by tag
 """
 
+_P1_RESULTS = f"""
+with {_P1_BASE}
+select 'session_with_tools/' || tc.row_id || '/' || tc.mp || '/' || tc.ip || '/' || tr.sp as node_id, 'session_with_tools/' || tc.row_id || '/' || tc.mp || '/' || tc.ip as parent_id, tc.c.name as name, tc.c.args.file_path as file_path,
+  tr.r.functionResponse.response.output as output, tr.r.functionResponse.response.error as error
+from tc join tr using (row_id, mp, ip) where tr.r is not null
+"""
+
+_P1_PARTS = f"""
+with {_P1_BASE}
+select 'session_export/' || row_id || '/' || mp || '/' || ip as node_id, 'session_export/' || row_id || '/' || mp as parent_id, p.type as type, p.callID as "callID", p.tool as tool, p.text as text,
+  p.state.input."offset" as input_offset, p.state.input.oldString as old_string, p.state.output as output, p.state.time."end" as time_end
+from ep where p is not null
+"""
+
 _P2_LINKS = r"""
  e as (select distinct lower(regexp_replace(to_anchor, '^\s+|\s+$', '', 'g')) as child, lower(regexp_replace(from_anchor, '^\s+|\s+$', '', 'g')) as parent from edges),
  s as (select distinct lower(trim(uuid)) as u, tape_id from dispatch_links where direction = 'sent' and trim(uuid) <> ''),
@@ -138,4 +170,4 @@ with recursive {_P2_LINKS},
 select y.node, coalesce(up.d, -1)::int as depth, up.path from y left join up on up.node = y.node
 """
 
-SQL = {"p1_found": _P1, "p1_tables": _P1_TABLES, "p2_found": _P2, "p2_paths": _P2_PATHS}
+SQL = {"p1_found": _P1, "p1_tables": _P1_TABLES, "p1_results": _P1_RESULTS, "p1_parts": _P1_PARTS, "p2_found": _P2, "p2_paths": _P2_PATHS}

@@ -59,9 +59,35 @@ def test_nested_tables_keep_links(sessions, spark, tmp_path):
     keys = {r["node_id"] for r in nodes.collect()}
     assert len(keys) == nodes.count() and all(r["parent_id"] in keys for r in nodes.collect() if r["parent_id"])
     nested.write_tables(nodes, str(tmp_path / "t"))
-    calls = nested.read_table(spark, str(tmp_path / "t"), "tools_call")
-    assert sorted((r["item_pos"], r["file_path"]) for r in calls.collect()) == [(1, " a.rs "), (2, "  "), (3, "b"), (4, None)] or calls.count() == 4
-    assert nested.read_table(spark, str(tmp_path / "t"), "log_block").where("type = 'a'").count() == 1
+    schemas = nested.schemas_of(*sessions)
+    calls = nested.read_table(spark, str(tmp_path / "t"), "tools_call", schemas["tools_call"])
+    assert {(r["path"][1], r["args_file_path"]) for r in calls.collect()} == {(1, " a.rs "), (2, "  "), (3, "b"), (4, None)}
+    assert nested.read_table(spark, str(tmp_path / "t"), "log_block", schemas["log_block"]).where("type = 'a'").count() == 1
+    top = nested.read_table(spark, str(tmp_path / "t"), "tools_session", schemas["tools_session"]).where("row_id = 1").first()
+    assert (top["sessionId"], top["tag"], top["tools_session_node_id"]) == ("s", "clash", 7)
+
+
+def test_shape_of_any_schema(spark):
+    """Three levels of arrays, structs between them, arrays of scalars and maps as fields."""
+    kind = "id BIGINT, a STRUCT<x: INT, list: ARRAY<STRUCT<y: STRING, deep: STRUCT<more: ARRAY<STRUCT<z: ARRAY<INT>, last: ARRAY<STRUCT<w: DOUBLE>>>>>>>>, m MAP<STRING, INT>"
+    df = spark.createDataFrame([(5, (1, [None, ("q", ([([1, None], [(0.5,), None, (1.5,)])],))]), {"k": 3}), (6, None, None)], kind)
+    shape = nested.Shape("t", df.schema, key="id")
+    assert shape.parents == {"t": None, "t_a_list": "t", "t_a_list_deep_more": "t_a_list", "t_a_list_deep_more_last": "t_a_list_deep_more"}
+    got = {(r["tag"], r["node_id"], r["parent_id"], r["payload"]) for r in nested.with_keys(shape.nodes(df)).collect()}
+    assert got == {
+        ("t", "t/5", None, '{"a_x":1,"m":{"k":3}}'), ("t", "t/6", None, "{}"), ("t_a_list", "t/5/1", "t/5", '{"y":"q"}'), ("t_a_list_deep_more", "t/5/1/0", "t/5/1", '{"z":[1,null]}'),
+        ("t_a_list_deep_more_last", "t/5/1/0/0", "t/5/1/0", '{"w":0.5}'), ("t_a_list_deep_more_last", "t/5/1/0/2", "t/5/1/0", '{"w":1.5}'),
+    }
+    assert shape.schemas["t_a_list_deep_more"].simpleString() == "struct<z:array<int>>"
+
+
+def test_blocks_of_any_depth(spark):
+    block = {"type": "leaf"}
+    for _ in range(30):
+        block = {"type": "box", "content": [None, block]}
+    rows = spark.createDataFrame([(1, "s", 1, None, "message", None, None, json.dumps({"content": [block]}), None, None)], LOG)
+    nodes = nested.flatten_sessions(log=rows).collect()
+    assert len(nodes) == 32 and max(len(r["path"]) for r in nodes) == 31 and all(r["parent_id"] == r["node_id"].rpartition("/")[0] for r in nodes if r["path"])
 
 
 def test_nested_rows_hold_all_fields(spark, tmp_path):
@@ -73,10 +99,11 @@ def test_nested_rows_hold_all_fields(spark, tmp_path):
     log = spark.createDataFrame([(1, "s", 8, "UTC", "message", "e", "t", json.dumps({"role": "r", "usage": {"in": 3}, "cost": 0.5, "content": blocks}), "mo", "info"), (2, "s", 9, None, None, None, None, "{bad", None, None)], LOG)
     for name, df in (("session_with_tools", tools), ("session_export", export), ("session_log", log)):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = {(r["tag"], r["row_id"], r["item_pos"]): json.loads(r["fields"]) for r in problems.p1_rows(spark, str(tmp_path)).collect()}
+    last = lambda key: int(key.split("/")[2 if "log" in key else 3]) if key.count("/") > (1 if "log" in key else 2) else -1
+    got = {(r["tag"], r["row_id"], last(r["node_id"])): json.loads(r["fields"]) for r in problems.p1_rows(spark, str(tmp_path)).collect()}
     assert len(got) == 9 and got["tools_session", 1, -1]["host_tz"] == "UTC"
-    part = {"file_path": "f.rs", "offset": 3, "limit": 40, "old_string": "old", "new_string": "new", "content": "text", "patch_text": "patch", "time_start": 5, "time_end": 9, "output": "out", "status": "done"}
-    assert got["export_part", 1, 0] == part | {"id": "p", "type": "tool", "call_id": "k", "tool": "edit"}
+    part = {"input_filePath": "f.rs", "input_offset": 3, "input_limit": 40, "input_oldString": "old", "input_newString": "new", "input_content": "text", "input_patchText": "patch", "time_start": 5, "time_end": 9, "output": "out", "status": "done"}
+    assert got["export_part", 1, 0] == {f"state_{k}": v for k, v in part.items()} | {"id": "p", "type": "tool", "callID": "k", "tool": "edit"}
     top = got["log_message", 1, -1]
     assert (top["line_no"], json.loads(top["usage"]), json.loads(top["other"]), "content" in top) == (8, {"in": 3}, {"cost": 0.5}, False)
     assert got["log_message", 2, -1] == {"session_id": "s", "line_no": 9, "raw": "{bad"}
