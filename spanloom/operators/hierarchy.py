@@ -6,8 +6,10 @@ summed along the same exact doubling steps (after round k a node has counted eve
 it), so no ancestor-descendant pairs are needed for it. Depths of a tree are contiguous: when a round resolves no
 further node, what is left lies on a loop or below one.
 
-A round moves only the nodes that are deeper than its step; their targets are looked up among all, in one join, and the sums are
-pre-aggregated on the ancestor key. Each round is one table in the shared folder, which cuts lineage.
+Only nodes that have children take part in the rounds: leaves are most nodes of a tree and take root and depth from their parent
+in one join at the end. A round moves only the nodes that are deeper than its step; their targets are looked up among all,
+in one join, and the sums are pre-aggregated on the ancestor key. Each round is one table in the shared folder, which cuts
+lineage; what is left to do is counted while it is written.
 
 Defined results
 * Links with a null or blank end are no links; repeated links count once; a node linked to itself is a loop.
@@ -18,7 +20,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.runtime import drop_path, materialize
@@ -42,7 +44,8 @@ def dispatch_parents(links: DataFrame) -> DataFrame:
     """(child, parent) tapes: the tape that sent a uuid is the parent of those that received it."""
     side = lambda d: links.where(F.lower(F.trim("direction")) == d).select(canonical(F.col("uuid")).alias("uuid"), "tape_id").where("uuid is not null and tape_id is not null").distinct()
     sent, received = side("sent").withColumnRenamed("tape_id", "parent"), side("received").withColumnRenamed("tape_id", "child")
-    return received.join(sent, "uuid").select("child", "parent")
+    # all senders of a uuid but the least lose against it anyway, so a uuid of many senders and receivers makes no pairs
+    return received.join(sent.groupBy("uuid").agg(F.min("parent").alias("parent")), "uuid").select("child", "parent")
 
 
 def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = False, key: tuple[str, ...] = ()) -> DataFrame:
@@ -53,28 +56,34 @@ def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = Fa
     all depths, so it is left out by default.
     """
     k = list(key)
-    parent = links.groupBy(*k, "child").agg(F.min("parent").alias("parent"))
-    every = links.select(*k, F.col("parent").alias("node")).unionByName(links.select(*k, F.col("child").alias("node")))
+    no = F.lit(None).cast("string")
+    ends = [links.select(*k, F.col("child").alias("node"), "parent", F.lit(False).alias("inner")), links.select(*k, F.col("parent").alias("node"), no.alias("parent"), F.lit(True).alias("inner"))]
     if nodes is not None:
-        every = every.unionByName(nodes.select(*k, "node"))
-    every = every.groupBy(*k, "node").agg(F.lit(1).alias("one")).drop("one")
-    start = every.join(parent.withColumnRenamed("child", "node"), [*k, "node"], "left").select(
-        *k, "node", F.coalesce("parent", "node").alias("anc"), F.when(F.col("parent").isNull(), 0).cast("long").alias("depth"), F.lit(1).cast("long").alias("below"),
-        (F.col("node") if paths else F.lit(None).cast("string")).alias("path"),
+        ends.append(nodes.select(*k, "node", no.alias("parent"), F.lit(False).alias("inner")))
+    every = ends[0]
+    for e in ends[1:]:
+        every = every.unionByName(e)
+    every, _ = materialize(every.groupBy(*k, "node").agg(F.min("parent").alias("parent"), F.max("inner").alias("inner")), "nodes")
+    leaves = every.where("not inner and parent is not null")
+    few = leaves.groupBy(*k, F.col("parent").alias("node")).agg(F.count("*").alias("leaves"))
+    alone = every.where("not inner and parent is null")
+    start = every.where("inner").join(few, [*k, "node"], "left").select(
+        *k, "node", F.coalesce("parent", "node").alias("anc"), F.when(F.col("parent").isNull(), 0).cast("long").alias("depth"), F.coalesce("leaves", F.lit(0)).alias("leaves"), (F.coalesce("leaves", F.lit(0)) + 1).alias("below"),
+        (F.col("node") if paths else no).alias("path"),
     )
-    table, path = materialize(start, "pointers")
+    table, left = _counted(start)
     # nodes less deep than the step, with their root, and the others with their ancestor at exactly the step
     found, far = table.where("depth is not null"), table.where("depth is null")
-    sums, step, left = [far.select(*k, "anc", "below")], 1, far.count()
+    sums, step = [far.select(*k, "anc", "below")], 1
     while left:
         gain = far.groupBy(*k, F.col("anc").alias("node")).agg(F.sum("below").alias("gain"))
         target = found.unionByName(far).select(*k, F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
         jumped = far.drop("depth").join(target, [*k, "anc"]).join(gain, [*k, "node"], "left").select(
-            *k, "node", F.col("anc2").alias("anc"), (F.col("depth2") + step).alias("depth"), (F.col("below") + F.coalesce("gain", F.lit(0))).alias("below"),
+            *k, "node", F.col("anc2").alias("anc"), (F.col("depth2") + step).alias("depth"), "leaves", (F.col("below") + F.coalesce("gain", F.lit(0))).alias("below"),
             (F.concat_ws(SEPARATOR, "path2", "path") if paths else F.col("path")).alias("path"),
         )
-        table, _ = materialize(jumped, "pointers")
-        far, now = table.where("depth is null"), table.where("depth is null").count()
+        table, now = _counted(jumped)
+        far = table.where("depth is null")
         if now == left:
             break
         found, step, left = found.unionByName(table.where("depth is not null")), step * 2, now
@@ -83,12 +92,26 @@ def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = Fa
     for x in sums[1:]:
         counted = counted.unionByName(x)
     counted = counted.groupBy(*k, F.col("anc").alias("node")).agg(F.sum("below").alias("n"))
-    known = found.join(counted, [*k, "node"], "left").select(*k, "node", F.col("anc").alias("root"), F.col("depth").cast("int").alias("depth"), F.coalesce("n", F.lit(0)).cast("int").alias("n_descendants"), "path")
-    loop = far.select(*k, "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(-1).alias("n_descendants"), F.lit(None).cast("string").alias("path"))
-    out = known.unionByName(loop) if left else known
+    known = found.join(counted, [*k, "node"], "left").select(*k, "node", F.col("anc").alias("root"), "depth", (F.coalesce("n", F.lit(0)) + F.col("leaves")).alias("n_descendants"), "path")
+    lost = lambda df: df.select(*k, "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(-1).alias("n_descendants"), no.alias("path"))
+    inner = known.unionByName(lost(far)) if left else known
+    up = inner.select(*k, F.col("node").alias("parent"), "root", F.col("depth").alias("above"), F.col("path").alias("path2"))
+    below = leaves.join(up, [*k, "parent"]).select(
+        *k, "node", "root", F.when(F.col("above") < 0, -1).otherwise(F.col("above") + 1).alias("depth"), F.when(F.col("above") < 0, -1).otherwise(0).alias("n_descendants"),
+        (F.when(F.col("path2").isNotNull(), F.concat_ws(SEPARATOR, "path2", "node")) if paths else no).alias("path"),
+    )
+    single = alone.select(*k, "node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(0).alias("n_descendants"), (F.col("node") if paths else no).alias("path"))
+    out = inner.unionByName(below).unionByName(single).withColumns({c: F.col(c).cast("int") for c in ("depth", "n_descendants")})
     return out if paths else out.drop("path")
 
 
+def _counted(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """The written table and how many of its nodes have no depth yet."""
+    seen = Observation()
+    table, _ = materialize(pointers.observe(seen, F.count_if(F.col("depth").isNull()).alias("far")), "pointers")
+    return table, seen.get["far"]
+
+
 def closure(links: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
     """(ancestor, node, distance) of all pairs above one another, by ``key``; loops and what is below them left out.
 
