@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -70,7 +71,12 @@ def shape(value: str) -> str:
     """A coarse picture of a text: classes of characters, runs shortened."""
     if len(value) > 20 and " " in value.strip():
         return "prose"
-    return _WORDS.sub("a", _DIGITS.sub("9", _HEX.sub("h", value[:200])))[:40]
+    return _short(_WORDS.sub("a", _DIGITS.sub("9", _HEX.sub("h", value))))
+
+
+def _short(picture: str) -> str:
+    """A long picture goes by its hash."""
+    return picture if len(picture) <= 40 else xxhash.xxh64_hexdigest(picture.encode("utf-8", "surrogatepass"))
 
 
 _HEX, _WORDS, _DIGITS = re.compile(r"[0-9a-f]{6,}"), re.compile(r"[A-Za-z]+"), re.compile(r"\d+")
@@ -80,23 +86,31 @@ _NUMBER = re.compile(r"-?\d{1,15}(\.\d+)?$")
 
 @lru_cache(1 << 15)
 def _describe_text(value: str) -> tuple[int, float | None, float | None, str]:
-    instant = parse_instant(value, "UTC") if len(value) < 60 and _TIMELIKE.match(value) else None
+    instant = parse_instant(value, "UTC") if _TIMELIKE.match(value) else None
     number = float(value) if _NUMBER.match(value) else None
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1, number, instant, shape(value)
 
 
+@lru_cache(1 << 15)
+def _describe_number(value: float) -> tuple[int, float | None, float | None, str]:
+    try:
+        number = float(value)
+    except OverflowError:  # an integer beyond all doubles
+        number = math.copysign(math.inf, value)
+    return xxhash.xxh64_intdigest(repr(number)) >> 1, number, parse_instant(str(value), "UTC"), "number"
+
+
 def describe(value: object) -> tuple[int | None, float | None, float | None, str]:
     """(hash, number, instant, shape) of a value."""
     if isinstance(value, bool):
         return xxhash.xxh64_intdigest(str(value)) >> 1, None, None, "bool"
     if isinstance(value, (int, float)):
-        instant = parse_instant(str(value), "UTC")
-        return xxhash.xxh64_intdigest(repr(float(value))) >> 1, float(value), instant, "number"
+        return _describe_number(value)
     if isinstance(value, str):
         return _describe_text(value)
     text = json.dumps(value, sort_keys=True)
     kind = ",".join(sorted(value)) if isinstance(value, dict) else "array"
-    return xxhash.xxh64_intdigest(text) >> 1, None, None, kind[:80]
+    return xxhash.xxh64_intdigest(text) >> 1, None, None, _short(kind)
 
 
 _HEADER = "file_id BIGINT, field STRING, type STRING, hash BIGINT, number DOUBLE, instant DOUBLE, shape STRING, n BIGINT"
@@ -220,16 +234,14 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CHANGES_ARROW.types, strict=True)], schema=_CHANGES_ARROW)
 
 
-def _common(both: DataFrame, values: DataFrame) -> DataFrame:
+def _common(differing: DataFrame, values: DataFrame) -> DataFrame:
     """(pair, old_field, new_field, common, common_shapes) of the removed and added fields that share a value or a shape.
 
     Only fields are joined whose likeness depends on it. A value stands once for each file, field and type, so a key joins as
     many rows as two files have such fields.
     """
-    one = both.groupBy("pair", "field").agg(
-        F.count("*").alias("sides"), F.first("is_new").alias("is_new"), F.first("file_id").alias("file_id"), F.first("types").alias("types"),
-        F.first(F.col("n_instants") == F.col("n_values")).alias("clock"),
-    ).where("sides = 1 and types[0] <> 'boolean'").withColumn("member", F.col("field").startswith("message."))
+    one = differing.where("size(sides) = 1").select("pair", "field", F.col("sides")[0].alias("s"))
+    one = one.select("pair", "field", "s.is_new", "s.file_id", "s.types", (F.col("s.n_instants") == F.col("s.n_values")).alias("clock"), F.col("field").startswith("message.").alias("member")).where("types[0] <> 'boolean'")
     side = lambda new, name: one.where(F.col("is_new") == new).select("pair", "types", "member", F.col("field").alias(name), F.col("file_id").alias(f"{name}_file"), F.col("clock").alias(f"{name}_clock"))
     candidates = side(False, "old_field").join(side(True, "new_field"), ["pair", "types", "member"]).where("not (old_field_clock and new_field_clock)")
     items = values.select("file_id", "field", "type", "hash", F.lit("").alias("shape"))
@@ -246,11 +258,12 @@ def changes(files: DataFrame, head: DataFrame, values: DataFrame) -> DataFrame:
     before = placed.select("stream", F.col("at").alias("before_at"), F.col("file_id").alias("previous"))
     pairs = asof_backward(placed, before, ["stream"], "at", "before_at", ["previous"], bucket=lambda c: position_bucket(c["seq"])).where("previous is not null")
     sides = pairs.select(F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("previous").alias("file_id"), F.lit(False).alias("is_new")), F.struct("file_id", F.lit(True).alias("is_new")))).alias("s"))
-    sides = sides.select("pair", "s.*")
-    both, _ = materialize(sides.join(head, "file_id"), "pairs")
-    # a pair has as many rows as its files have fields
-    rows = both.groupBy("pair").agg(F.collect_list(F.struct(*[c for c in both.columns if c not in ("pair", "file_id")])).alias("rows"))
-    shared = _common(both, values).groupBy("pair").agg(F.collect_list(F.struct("old_field", "new_field", "common", "common_shapes")).alias("shared"))
+    both = sides.select("pair", "s.*").join(head, "file_id")
+    # a field that both files hold alike is no change: of a pair of files only the others are kept, each once or twice
+    fields = both.groupBy("pair", "field").agg(F.collect_list(F.struct(*[c for c in both.columns if c != "pair"])).alias("sides"))
+    differing, _ = materialize(fields.where("size(sides) = 1 or sides[0].types <> sides[1].types"), "differing")
+    rows = differing.groupBy("pair").agg(F.flatten(F.collect_list("sides")).alias("rows"))
+    shared = _common(differing, values).groupBy("pair").agg(F.collect_list(F.struct("old_field", "new_field", "common", "common_shapes")).alias("shared"))
     return rows.join(shared, "pair", "left").mapInArrow(_changes, _CHANGES)
 
 

@@ -150,40 +150,56 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _place(path: str, low_year: int, high_year: int) -> str:
+    """What an epoch number means depends on the years asked for, so each range has a dictionary of its own."""
+    return f"{path}/years-{low_year}-{high_year}"
+
+
+def read_dictionary(spark: SparkSession, path: str, low_year: int = LOW_YEAR, high_year: int = HIGH_YEAR) -> DataFrame:
+    """(raw, zone, utc_us); a pair that two writers stored at the same time stands once."""
+    known = spark.read.schema(_DICT).parquet(_place(path, low_year, high_year))
+    return known.groupBy("raw", "zone").agg(F.max("utc_us").alias("utc_us"))
+
+
 def update_dictionary(values: DataFrame, path: str, low_year: int = LOW_YEAR, high_year: int = HIGH_YEAR) -> DataFrame:
     """Adds the pairs (raw, zone) of ``values`` that the dictionary at ``path`` lacks; gives the dictionary."""
-    spark = values.sparkSession
+    spark, place = values.sparkSession, _place(path, low_year, high_year)
     new = values.where(F.col("raw").isNotNull()).select("raw", F.coalesce("zone", F.lit("")).alias("zone")).distinct()
-    if _exists(spark, path):
-        new = new.join(spark.read.schema(_DICT).parquet(path), ["raw", "zone"], "left_anti")
-    new.mapInArrow(_parse(low_year, high_year), _DICT).write.mode("append").option("compression", "zstd").parquet(path)
-    return spark.read.schema(_DICT).parquet(path)
+    if _exists(spark, place):
+        new = new.join(spark.read.schema(_DICT).parquet(place).select("raw", "zone"), ["raw", "zone"], "left_anti")
+    new.mapInArrow(_parse(low_year, high_year), _DICT).write.mode("append").option("compression", "zstd").parquet(place)
+    return read_dictionary(spark, path, low_year, high_year)
 
 
-def normalise(values: DataFrame, dictionary: str | None = None) -> DataFrame:
+def normalise(values: DataFrame, dictionary: str | None = None, updated: bool = False) -> DataFrame:
     """Adds ``utc_us`` to rows with columns ``raw`` and ``zone``; rows without instant keep null.
 
     ``dictionary`` is the path of a dictionary that is kept between runs; by default a new one in the shared folder.
+    ``updated`` tells that it holds all pairs already.
     """
-    known = update_dictionary(values, dictionary or new_path(values.sparkSession, "instants"))
+    spark = values.sparkSession
+    known = read_dictionary(spark, dictionary) if updated else update_dictionary(values, dictionary or new_path(spark, "instants"))
     known = known.where(F.col("utc_us").isNotNull()).select(F.col("raw").alias("_raw"), F.col("zone").alias("_zone"), "utc_us")
     return values.join(known, (F.col("raw") == F.col("_raw")) & (F.coalesce("zone", F.lit("")) == F.col("_zone")), "left").drop("_raw", "_zone")
 
 
-def session_times(export: DataFrame, tools: DataFrame, log: DataFrame) -> DataFrame:
-    """(src, row_id, msg_pos, raw, zone) of every timestamp of the three session tables."""
+def session_times(export: DataFrame, tools: DataFrame, log: DataFrame) -> list[DataFrame]:
+    """(src, row_id, msg_pos, raw, zone) of every timestamp of each of the three session tables."""
+    zone = F.col("host_tz").alias("zone")
+    own = export.select(F.lit("session_export").alias("src"), "row_id", F.lit(-1).alias("msg_pos"), F.col("info.time.created").alias("raw"), zone)
     parts = [
-        export.select(F.lit("session_export").alias("src"), "row_id", F.lit(-1).alias("msg_pos"), F.col("info.time.created").alias("raw"), F.col("host_tz").alias("zone")),
-        export.select(F.lit("session_export").alias("src"), "row_id", F.posexplode("messages.info.time.created").alias("msg_pos", "raw"), F.col("host_tz").alias("zone")),
-        tools.select(F.lit("session_with_tools").alias("src"), "row_id", F.posexplode("messages.timestamp").alias("msg_pos", "raw"), F.col("host_tz").alias("zone")),
-        log.select(F.lit("session_log").alias("src"), "row_id", F.lit(-1).alias("msg_pos"), F.col("timestamp").alias("raw"), F.col("host_tz").alias("zone")),
+        own.unionByName(export.select(F.lit("session_export").alias("src"), "row_id", F.posexplode("messages.info.time.created").alias("msg_pos", "raw"), zone)),
+        tools.select(F.lit("session_with_tools").alias("src"), "row_id", F.posexplode("messages.timestamp").alias("msg_pos", "raw"), zone),
+        log.select(F.lit("session_log").alias("src"), "row_id", F.lit(-1).alias("msg_pos"), F.col("timestamp").alias("raw"), zone),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("raw").isNotNull())
+    return [p.where(F.col("raw").isNotNull()) for p in parts]
 
 
 def found(export: DataFrame, tools: DataFrame, log: DataFrame, dictionary: str | None = None) -> DataFrame:
-    rows = normalise(session_times(export, tools, log), dictionary)
+    """One table after the other adds what the dictionary lacks; then all rows are joined with it."""
+    dictionary = dictionary or new_path(export.sparkSession, "instants")
+    parts = session_times(export, tools, log)
+    for p in parts:
+        update_dictionary(p, dictionary)
+    rows = normalise(parts[0].unionByName(parts[1]).unionByName(parts[2]), dictionary, updated=True)
     return rows.where(F.col("utc_us").isNotNull()).select("src", "row_id", "msg_pos", "utc_us")

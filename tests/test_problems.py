@@ -270,3 +270,23 @@ def test_drift_name_added_again_beside_its_successor(spark):
 def test_promotion_is_a_lattice(types):
     joined = drift.promote(types)
     assert joined == drift.promote(set(types)) and drift.promote({joined}) == joined
+
+
+def test_dictionary_grows_and_tolerates_two_writers(spark, tmp_path):
+    place = str(tmp_path / "d")
+    rows = lambda *x: spark.createDataFrame(x, "raw STRING, zone STRING")
+    first = rows(("2025-01-01T00:00:00Z", None), ("2025-01-01 00:00:00", "Europe/Berlin"), (None, "UTC"))
+    assert timestamps.update_dictionary(first, place).count() == 2
+    assert timestamps.update_dictionary(first.unionByName(rows(("bad", ""))), place).count() == 3
+    stored = spark.read.parquet(timestamps._place(place, timestamps.LOW_YEAR, timestamps.HIGH_YEAR))
+    assert stored.count() == 3
+    stored.limit(2).write.mode("append").parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(timestamps._place(place, timestamps.LOW_YEAR, timestamps.HIGH_YEAR))
+    assert timestamps.normalise(first, place).count() == 3
+
+
+def test_shapes_see_whole_values():
+    long = "a/" * 60
+    assert drift.shape(long + "x-1.9.h-1_" * 10) != drift.shape(long + "x-1.9.h-1_" * 11) and len(drift.shape(long)) <= 40
+    assert drift.describe({f"k{i}": 1 for i in range(90)})[3] != drift.describe({f"k{i}": 1 for i in range(91)})[3]
+    assert drift.describe(10**400)[1] == float("inf")
