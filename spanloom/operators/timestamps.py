@@ -150,20 +150,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _place(path: str, low_year: int, high_year: int) -> str:
+def dictionary_place(path: str, low_year: int, high_year: int) -> str:
     """What an epoch number means depends on the years asked for, so each range has a dictionary of its own."""
-    return f"{path}/years-{low_year}-{high_year}"
+    return f"{path}/years={low_year}-{high_year}"
 
 
 def read_dictionary(spark: SparkSession, path: str, low_year: int = LOW_YEAR, high_year: int = HIGH_YEAR) -> DataFrame:
     """(raw, zone, utc_us); a pair that two writers stored at the same time stands once."""
-    known = spark.read.schema(_DICT).parquet(_place(path, low_year, high_year))
+    known = spark.read.schema(_DICT).parquet(dictionary_place(path, low_year, high_year))
     return known.groupBy("raw", "zone").agg(F.max("utc_us").alias("utc_us"))
 
 
 def update_dictionary(values: DataFrame, path: str, low_year: int = LOW_YEAR, high_year: int = HIGH_YEAR) -> DataFrame:
     """Adds the pairs (raw, zone) of ``values`` that the dictionary at ``path`` lacks; gives the dictionary."""
-    spark, place = values.sparkSession, _place(path, low_year, high_year)
+    spark, place = values.sparkSession, dictionary_place(path, low_year, high_year)
     new = values.where(F.col("raw").isNotNull()).select("raw", F.coalesce("zone", F.lit("")).alias("zone")).distinct()
     if _exists(spark, place):
         new = new.join(spark.read.schema(_DICT).parquet(place).select("raw", "zone"), ["raw", "zone"], "left_anti")

@@ -278,10 +278,10 @@ def test_dictionary_grows_and_tolerates_two_writers(spark, tmp_path):
     first = rows(("2025-01-01T00:00:00Z", None), ("2025-01-01 00:00:00", "Europe/Berlin"), (None, "UTC"))
     assert timestamps.update_dictionary(first, place).count() == 2
     assert timestamps.update_dictionary(first.unionByName(rows(("bad", ""))), place).count() == 3
-    stored = spark.read.parquet(timestamps._place(place, timestamps.LOW_YEAR, timestamps.HIGH_YEAR))
+    stored = spark.read.parquet(timestamps.dictionary_place(place, timestamps.LOW_YEAR, timestamps.HIGH_YEAR))
     assert stored.count() == 3
     stored.limit(2).write.mode("append").parquet(str(tmp_path / "again"))
-    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(timestamps._place(place, timestamps.LOW_YEAR, timestamps.HIGH_YEAR))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(timestamps.dictionary_place(place, timestamps.LOW_YEAR, timestamps.HIGH_YEAR))
     assert timestamps.normalise(first, place).count() == 3
 
 
