@@ -91,12 +91,17 @@ def _describe_text(value: str) -> tuple[int, float | None, float | None, str]:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1, number, instant, shape(value)
 
 
+def _double(value: float) -> float:
+    """Integers beyond all doubles count as infinite."""
+    try:
+        return float(value)
+    except OverflowError:
+        return math.inf if value > 0 else -math.inf
+
+
 @lru_cache(1 << 15)
 def _describe_number(value: float) -> tuple[int, float | None, float | None, str]:
-    try:
-        number = float(value)
-    except OverflowError:  # an integer beyond all doubles
-        number = math.copysign(math.inf, value)
+    number = _double(value)
     return xxhash.xxh64_intdigest(repr(number)) >> 1, number, parse_instant(str(value), "UTC"), "number"
 
 
@@ -323,7 +328,7 @@ def consistent(files: DataFrame, lines: DataFrame, schema: T.StructType, names:
         if value is None:
             return None
         if isinstance(to, T.DoubleType):
-            return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+            return _double(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
         if isinstance(to, T.BooleanType):
             return value if isinstance(value, bool) else None
         return value.encode("utf-8", "replace").decode() if isinstance(value, str) else json.dumps(value)
