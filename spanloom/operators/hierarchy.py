@@ -29,10 +29,13 @@ EDGES, LINKS = "edges", "dispatch_links"
 SEPARATOR = " > "
 
 
+#: White space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def canonical(c: Column) -> Column:
     """Trimmed (any white space) and in lower case; blank becomes null."""
-    t = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    return F.when(t != "", t)
+    return F.nullif(F.lower(F.btrim(c, F.lit(BLANKS))), F.lit(""))
 
 
 def edge_links(edges: DataFrame) -> DataFrame:
@@ -57,12 +60,11 @@ def hierarchy(links: DataFrame, nodes: DataFrame | None = None, paths: bool = Fa
     """
     k = list(key)
     no = F.lit(None).cast("string")
-    ends = [links.select(*k, F.col("child").alias("node"), "parent", F.lit(False).alias("inner")), links.select(*k, F.col("parent").alias("node"), no.alias("parent"), F.lit(True).alias("inner"))]
+    end = lambda node, parent, inner: F.struct(node.alias("node"), parent.alias("parent"), F.lit(inner).alias("inner"))
+    # both ends of a link from one reading of it
+    every = links.select(*k, F.inline(F.array(end(F.col("child"), F.col("parent"), False), end(F.col("parent"), no, True))))
     if nodes is not None:
-        ends.append(nodes.select(*k, "node", no.alias("parent"), F.lit(False).alias("inner")))
-    every = ends[0]
-    for e in ends[1:]:
-        every = every.unionByName(e)
+        every = every.unionByName(nodes.select(*k, "node", no.alias("parent"), F.lit(False).alias("inner")))
     every, _ = materialize(every.groupBy(*k, "node").agg(F.min("parent").alias("parent"), F.max("inner").alias("inner")), "nodes")
     leaves = every.where("not inner and parent is not null")
     few = leaves.groupBy(*k, F.col("parent").alias("node")).agg(F.count("*").alias("leaves"))
