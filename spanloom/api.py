@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import subprocess
+import sys
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import Path
@@ -18,10 +19,10 @@ from spanloom.operators import dispatch, index
 from spanloom.operators.events import parse_strict
 from spanloom.params import DEFAULT
 from spanloom.plans import explain as plans
-from spanloom.runtime import materialize, ship
+from spanloom.runtime import drop_path, materialize, ship
 from spanloom.sources import append, detect, discovery, tapes
 from spanloom.sources.stores import Store
-from spanloom.streaming.watch import watch
+from spanloom.streaming.watch import WatchSource, watch, watch_sources
 
 CONFIG = "config.json"
 
@@ -30,6 +31,10 @@ def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def now_exact() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings; the nearest file from the working folder up to the home wins, key by key, but ``peek`` and ``watch`` go as a whole."""
@@ -41,13 +46,19 @@ class Config:
     watch: dict = field(default_factory=dict)
 
     @classmethod
-    def load(cls, cwd: str, home: str) -> Config:
+    def load(cls, cwd: str, home: str, override: str | None = None) -> Config:
+        """``override`` is a file that goes before all others."""
         here, top = Path(cwd).resolve(), Path(home).resolve()
         folders = [here, *here.parents]
         folders = folders[: folders.index(top) + 1] if top in folders else [here, top]
+        places = [(f / discovery.STORE_DIR / CONFIG, f) for f in folders]
+        if override:
+            given = Path(cwd, override)
+            if not given.is_file():
+                raise ValueError(f"{override}: no such file")
+            places.insert(0, (given, given.resolve().parent.parent if given.resolve().parent.name == discovery.STORE_DIR else here))
         values: dict = {}
-        for folder in folders:
-            path = folder / discovery.STORE_DIR / CONFIG
+        for path, folder in places:
             if path.is_file():
                 given = json.loads(path.read_text())
                 unknown = set(given) - set(cls.__dataclass_fields__)
@@ -79,31 +90,24 @@ class Engine:
 
     # --- writing ---
 
-    def _cursors(self) -> dict:
-        path = Path(self.store.root, "cursors.json")
-        return json.loads(path.read_text()) if path.is_file() else {}
-
-    def _save_cursors(self, cursors: dict) -> None:
-        tapes.atomic_write(str(Path(self.store.root, "cursors.json")), json.dumps(cursors, sort_keys=True).encode())
-
     def ingest(self, paths: list[str] | None = None) -> dict:
-        """Reads what is new in the given files, or in all that can be found; counts outcomes."""
+        """Reads what is new in the given files, or in all that can be found; counts outcomes.
+
+        The driver only lists files. What is new in each is found and read on the executors and written once; cursors are stored
+        after the facts, so what is interrupted is read again and found to be known.
+        """
         files, failures = discovery.discover(self.cwd, self.home, paths)
-        cursors, rows, told = self._cursors(), [], {"scanned": len(files), "imported": 0, "skipped_unchanged": 0, "skipped_unknown": 0, "skipped_existing": 0}
-        for f in files:
-            if Path(f).suffix.lower() not in discovery.EXTENSIONS:
-                continue
-            state = append.state_of(f, cursors.get(f))
-            part = append.new_part(f, cursors.get(f), state) if state else None
-            if part is None:
-                told["skipped_unchanged"] += 1
-                continue
-            rows += [(f"{f}@{part[0]}", no, raw) for no, raw in append.lines_between(f, *part)]
-            cursors[f] = state
-        if rows:
-            lines, _ = materialize(self.spark.createDataFrame(rows, "tape_id STRING, line_no BIGINT, raw STRING"), "incoming")
-            told |= self.ingest_lines(lines)
-        self._save_cursors(cursors)
+        told = {"scanned": len(files), "imported": 0, "skipped_unchanged": 0, "skipped_unknown": 0, "skipped_existing": 0}
+        files = [f for f in files if Path(f).suffix.lower() in discovery.EXTENSIONS]
+        if files:
+            rows, path = materialize(append.read_new(append.offered(self.spark, files, self.store.cursors())), "incoming")
+            heads = rows.where("line_no = -1")
+            n_new = heads.count()
+            told["skipped_unchanged"] = len(files) - n_new
+            if n_new:
+                told |= self.ingest_lines(rows.where("line_no >= 0").select(F.concat_ws("@", "path", F.col("start").cast("string")).alias("tape_id"), "line_no", "raw"))
+                self.store.commit({"cursors": heads.select("path", "cursor", "guard", F.lit(now_exact()).alias("read_at"))})
+            drop_path(self.spark, path)
         return {**told, "failures": [{"path": p, "reason": r} for p, r in failures], "status": "partial" if failures else "ok"}
 
     def ingest_lines(self, lines: DataFrame) -> dict:
@@ -155,8 +159,32 @@ class Engine:
         df, _ = materialize(df, "record")
         return self._index(df, dispatch.dispatch_links(df))
 
-    def watch(self, folder: str, checkpoint: str | None = None, once: bool = False, pattern: str = "*.jsonl", tell=None):
-        return watch(self.spark, folder, self.ingest_lines, checkpoint or f"{self.store.root}/watch-{hashlib.sha256(folder.encode()).hexdigest()[:16]}", pattern, once, tell, replace(DEFAULT, **{f"{k}_s": v for k, v in self.config.watch.items()}))
+    def _checkpoint(self, *parts: str) -> str:
+        return f"{self.store.root}/watch-{hashlib.sha256(chr(0).join(parts).encode()).hexdigest()[:16]}"
+
+    def _watch_params(self):
+        given = {"debounce": "debounce_s", "ingest_timeout": "ingest_timeout_s"}
+        return replace(DEFAULT, **{given[k]: v for k, v in self.config.watch.items() if k in given})
+
+    def watch(self, folder: str, checkpoint: str | None = None, once: bool = False, pattern: str = "*.jsonl", tell=None, glob: str | None = None):
+        """Indexes what is appended to the files of one folder, until the query is stopped."""
+        source = WatchSource(folder, pattern, glob)
+        return watch(self.spark, source, self.ingest_lines, checkpoint or self._checkpoint(folder), once, tell, self._watch_params())
+
+    def watch_configured(self, once: bool = False) -> list:
+        """One query for each source of the configuration (path, pattern and maybe glob); missing folders are told in the log and left out."""
+        given = self.config.watch.get("sources") or []
+        if not given:
+            raise ValueError("watch.sources must name at least one source")
+        log = self.config.watch.get("log") or str(Path(self.cwd, discovery.STORE_DIR, "watch.log"))
+        Path(log).parent.mkdir(parents=True, exist_ok=True)
+
+        def tell(text: str) -> None:
+            with open(log, "a", encoding="utf-8") as f:
+                f.write(f"{now()} {text}\n")
+
+        sources = [WatchSource(str(Path(self.cwd, Path(s["path"]).expanduser())) if "://" not in s["path"] else s["path"], s.get("pattern", "*.jsonl"), s.get("glob")) for s in given]
+        return watch_sources(self.spark, sources, self.ingest_lines, lambda s: self._checkpoint(s.folder, s.pattern, s.glob or ""), once, tell, self._watch_params())
 
     # --- reading ---
 
@@ -166,15 +194,14 @@ class Engine:
         if self.config.metrics:
             page = (payload.get("sessions") or [payload.get("session")] or [None])[0] or {}
             row = {"ts": now(), "command": command, "target": target, "session_id": page.get("session_id"), "window_start": page.get("window_start"), "window_lines": (page.get("window_end") or 0) - (page.get("window_start") or 0) + 1, "total_lines": page.get("total_lines")}
-            try:
-                with open(Path(self.store.root, "metrics.jsonl"), "a", encoding="utf-8") as f:
-                    f.write(json.dumps(row) + "\n")
-            except OSError:
+            try:  # a query's answer doesn't depend on its metrics
+                self.store.files.write(f"metrics/{now_exact()}-{out['result_id']}.json".replace(":", ""), json.dumps(row))
+            except Exception:  # noqa: BLE001, S110
                 pass
         return out
 
     def explain(self, target: str, **options) -> dict:
-        return self._answer("explain", plans.explain(self.stores, target, plans.Options(**options)), target)
+        return self._answer("explain", plans.explain(self.stores, target, plans.Options(**options), self.cwd), target)
 
     def grep(self, literal: str, **options) -> dict:
         return self._answer("grep", plans.grep(self.stores, literal, plans.Options(**options)), literal)
@@ -215,37 +242,71 @@ def error_payload(e: Exception) -> dict:
     return {"error": {"code": getattr(e, "code", "other"), "message": str(e)}}
 
 
-def main(argv: list[str] | None = None) -> int:
-    """Command line: init, ingest, record, explain, grep, peek, rate, tapes, show, gc, fingerprint."""
+_EXPLAIN = {"limit": int, "offset": int, "since": str, "until": str, "grep_filter": str, "min_confidence": float, "max_fanout": int, "max_edges": int, "depth": int, "count": None, "anchor": None, "include_deleted": None, "forensics": None, "pretty": None}
+_GREP = {k: _EXPLAIN[k] for k in ("limit", "offset", "since", "until", "count")}
+_PEEK = {"start": int, "lines": int, "before": int, "after": int, "grep_filter": str}
+#: Commands with their positional arguments (``*`` any number of them) and flags (None: without value).
+COMMANDS = {
+    "init": ([], {}), "ingest": (["paths*"], {}), "watch": ([], {"config": str, "once": None}), "fingerprint": (["folder"], {}), "record": (["argv*"], {"stdin": None}), "explain": (["target"], _EXPLAIN), "grep": (["literal"], _GREP),
+    "peek": (["session"], _PEEK), "rate": (["result"], {"outcome": str, "note": str}), "tapes": ([], {}), "show": (["tape"], {"raw": None}), "gc": ([], {}),
+}
+
+
+def parser():
     import argparse
 
-    ap = argparse.ArgumentParser(prog="spanloom")
+    ap = argparse.ArgumentParser(prog="spanloom", description="Which sessions made or mention a text, and what stands in them.")
     sub = ap.add_subparsers(dest="command", required=True)
-    for name, args in {"init": [], "ingest": ["paths*"], "record": ["argv*"], "explain": ["target"], "grep": ["literal"], "peek": ["session"], "rate": ["result", "outcome"], "tapes": [], "show": ["tape"], "gc": [], "fingerprint": ["folder"]}.items():
+    for name, (args, flags) in COMMANDS.items():
         p = sub.add_parser(name)
         for a in args:
-            p.add_argument(a.rstrip("*"), nargs="*" if a.endswith("*") else None)
-        if name in ("explain", "grep"):
-            p.add_argument("--limit", type=int, default=DEFAULT.default_limit)
-            p.add_argument("--offset", type=int, default=0)
-            p.add_argument("--since")
-            p.add_argument("--until")
-            p.add_argument("--grep-filter", dest="grep_filter")
-            p.add_argument("--count", action="store_true")
-    a = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("spanloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    e = Engine(spark, ".").init()
+            p.add_argument(a.rstrip("*"), nargs=("..." if name == "record" else "*") if a.endswith("*") else None)
+        for flag, kind in flags.items():
+            how = {"action": "store_true"} if kind is None else {"type": kind, "required": flag == "outcome"}
+            p.add_argument("--" + flag.replace("_", "-"), dest=flag, **how)
+    return ap
+
+
+def run(e: Engine, a, stdin=None) -> object:
+    """The answer of a parsed command."""
+    flags = {k: v for k in COMMANDS[a.command][1] if (v := getattr(a, k)) not in (None, False)}
+    if a.command == "explain":
+        show = flags.pop("pretty", False)
+        out = e.explain(a.target, **{{"depth": "max_depth"}.get(k, k): v for k, v in flags.items()})
+        return plans.pretty(out) if show else out
+    if a.command == "grep":
+        return e.grep(a.literal, **flags)
+    if a.command == "peek":
+        return e.peek(a.session, **{{"grep_filter": "literal"}.get(k, k): v for k, v in flags.items()})
+    if a.command == "record":
+        if a.stdin == bool(a.argv):
+            raise ValueError("record takes either --stdin or a command")
+        return e.record(lines=[x for x in (stdin or sys.stdin).read().splitlines()]) if a.stdin else e.record(command=a.argv[1:] if a.argv[:1] == ["--"] else a.argv)
+    if a.command == "watch":
+        queries = e.watch_configured(a.once)
+        for q in queries:
+            q.awaitTermination()
+        return {"watched": len(queries)}
+    return {
+        "init": lambda: {"store": e.store.root}, "ingest": lambda: e.ingest(a.paths), "fingerprint": lambda: e.fingerprint(a.folder), "rate": lambda: e.rate(a.result, a.outcome, a.note),
+        "tapes": lambda: [r.asDict() for r in e.tapes().toLocalIterator()], "show": lambda: e.show(a.tape, a.raw), "gc": e.gc,
+    }[a.command]()
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, cwd: str = ".", home: str | None = None) -> int:
+    """The command line; see ``COMMANDS``. Errors are one JSON object on the error stream and exit code 1."""
+    a = parser().parse_args(argv)
     try:
-        if a.command in ("explain", "grep"):
-            o = {k: getattr(a, k) for k in ("limit", "offset", "since", "until", "grep_filter", "count")}
-            out = e.explain(a.target, **o) if a.command == "explain" else e.grep(a.literal, **o)
-        else:
-            out = {
-                "init": lambda: {"store": e.store.root}, "ingest": lambda: e.ingest(a.paths), "record": lambda: e.record(command=a.argv), "peek": lambda: e.peek(a.session), "rate": lambda: e.rate(a.result, a.outcome),
-                "tapes": lambda: [r.asDict() for r in e.tapes().toLocalIterator()], "show": lambda: e.show(a.tape), "gc": e.gc, "fingerprint": lambda: e.fingerprint(a.folder),
-            }[a.command]()
-    except (LookupError, ValueError) as x:
-        print(json.dumps(error_payload(x)))
+        config = Config.load(cwd, home or str(Path.home()), getattr(a, "config", None))
+        spark = spark or SparkSession.builder.appName("spanloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        out = run(Engine(spark, cwd, home, config).init(), a)
+    except (LookupError, ValueError, OSError) as x:
+        print(json.dumps(error_payload(x)), file=sys.stderr)
         return 1
-    print(json.dumps(out, default=str))
+    for x in out if a.command == "show" and a.raw else [out]:
+        print(x if isinstance(x, str) else json.dumps(x, default=str))
     return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -56,11 +56,11 @@ def to_events(acts: DataFrame, dialect: Dialect) -> DataFrame:
 
     Results are paired with the latest earlier call of their id by one sorted window.
     """
-    pos = F.col("line_no") * 1_000_000 + F.col("item")
-    acts = acts.withColumn("pos", pos)
+    acts = acts.withColumn("pos", F.struct("line_no", "item"))
+    of_line = lambda c: position_bucket(c["line_no"])
     calls = acts.where("act = 'call' and call_id is not null").select("tape_id", "call_id", "pos", F.col("tool").alias("call_tool"), F.col("reads").alias("call_reads"), F.col("edits").alias("call_edits"))
     results = acts.where("act = 'result'").drop("reads", "edits")
-    paired = pair_latest(calls.select("tape_id", "call_id", "pos"), results, ["tape_id", "call_id"], "pos", consume=dialect.one_shot, bucket=lambda c: position_bucket(c, 33))
+    paired = pair_latest(calls.select("tape_id", "call_id", "pos"), results, ["tape_id", "call_id"], "pos", consume=dialect.one_shot, bucket=of_line)
     paired = paired.join(calls.withColumnRenamed("pos", "call_at"), ["tape_id", "call_id", "call_at"], "left")
     none = lambda *names: [F.lit(None).cast("int" if n == "exit" else "array<int>" if n == "range" else "string").alias(n) for n in names]
 
@@ -94,7 +94,7 @@ def to_events(acts: DataFrame, dialect: Dialect) -> DataFrame:
     facts = acts.groupBy("tape_id").agg(first("t").alias("t"), first("session_id").alias("session_id"), first("model").alias("model"), first("repo_head").alias("repo_head"))
     counted = lambda want, got: F.when(F.coalesce(want, F.lit(0)) == F.coalesce(got, F.lit(0)), "full").otherwise("partial")
     read, edit, tool = dialect.coverage
-    stats = facts.join(wanted, "tape_id").join(told, "tape_id", "left").withColumn("pos", F.lit(-1).cast("bigint")).withColumn("t", F.coalesce("t", F.lit("1970-01-01T00:00:00Z")))
+    stats = facts.join(wanted, "tape_id").join(told, "tape_id", "left").withColumn("pos", F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.lit(0).alias("item"))).withColumn("t", F.coalesce("t", F.lit("1970-01-01T00:00:00Z")))
     meta = event(
         stats, "meta", 0, model=F.col("model"), repo_head=F.col("repo_head"),
         **{
@@ -106,7 +106,7 @@ def to_events(acts: DataFrame, dialect: Dialect) -> DataFrame:
     known = facts.select("tape_id", F.col("session_id").alias("_session"))
     rows = meta.unionByName(body).join(known, "tape_id", "left")
     source = F.struct(F.lit(dialect.harness).alias("harness"), F.col("_session").alias("session_id"))
-    numbered = running_sum(rows, ["tape_id"], ["pos", "rank", "sub"], position_bucket(F.col("pos"), 33), F.lit(1), "event_offset", before=True)
+    numbered = running_sum(rows, ["tape_id"], ["pos", "rank", "sub"], of_line(F.col("pos")), F.lit(1), "event_offset", before=True)
     return numbered.withColumn("event_offset", F.col("event_offset").cast("bigint")).select("tape_id", "event_offset", *[F.col(f"`{c}`") for c in EVENT], source.alias("source"))
 
 

@@ -161,10 +161,8 @@ def features_py(text: str | None, p: Params = DEFAULT) -> list[str]:
     return _winnow(_gram_hashes(tokens_py(text), p), p) if text else []
 
 
-def window_features_py(text: str | None, p: Params = DEFAULT) -> list[list[str]]:
-    """Features of each window of lines. A token never crosses a line, so a window's k-grams are a slice of the text's."""
-    if not text:
-        return []
+def _gram_lines(text: str, p: Params) -> tuple[list[str], list[int]]:
+    """The k-grams of a text and the number of its first token in each line; one more for the end."""
     lines = text.split("\n")
     if lines[-1] == "":
         lines.pop()
@@ -173,8 +171,16 @@ def window_features_py(text: str | None, p: Params = DEFAULT) -> list[list[str]]
     for line in lines:
         toks += tokens_py(line)
         first.append(len(toks))
-    grams = _gram_hashes(toks, p)
-    n, out, start = len(lines), [], 0
+    return _gram_hashes(toks, p), first
+
+
+def window_features_py(text: str | None, p: Params = DEFAULT) -> list[list[str]]:
+    """Features of each window of lines. A token never crosses a line, so a window's k-grams are a slice of the text's."""
+    return _window_features(*_gram_lines(text, p), p) if text else []
+
+
+def _window_features(grams: list[str], first: list[int], p: Params) -> list[list[str]]:
+    n, out, start = len(first) - 1, [], 0
     while True:
         end = min(start + p.window_lines, n)
         out.append(_winnow(grams[first[start] : max(first[start], first[end] - p.kgram + 1)], p))
@@ -211,6 +217,29 @@ def text_features(text: Column, p: Params = DEFAULT) -> Column:
     return _udf(lambda t: features_py(t, p))(text)
 
 
+def both_sides(one: Column, two: Column, compared: Column, p: Params = DEFAULT) -> Column:
+    """Struct of the token anchors of two texts (a1, a2) and, where ``compared``, the features of both as wholes (f1, f2).
+
+    One Arrow pass hashes the k-grams of a text once for both.
+    """
+
+    def of(text, whole: bool) -> tuple[list[str] | None, list[str] | None]:
+        if not isinstance(text, str):
+            return None, None
+        if not text:
+            return [], [] if whole else None
+        grams, first = _gram_lines(text, p)
+        anchors = [PREFIX + h for h in dict.fromkeys(h for f in _window_features(grams, first, p) for h in f)]
+        return anchors, _winnow(grams, p) if whole else None
+
+    @F.pandas_udf("a1 ARRAY<STRING>, a2 ARRAY<STRING>, f1 ARRAY<STRING>, f2 ARRAY<STRING>")
+    def run(ones: pd.Series, twos: pd.Series, wholes: pd.Series) -> pd.DataFrame:
+        rows = [(of(a, w), of(b, w)) for a, b, w in zip(ones, twos, wholes, strict=True)]
+        return pd.DataFrame({"a1": pd.Series([x[0] for x, _ in rows], dtype=object), "a2": pd.Series([y[0] for _, y in rows], dtype=object), "f1": pd.Series([x[1] for x, _ in rows], dtype=object), "f2": pd.Series([y[1] for _, y in rows], dtype=object)})
+
+    return run(one, two, compared)
+
+
 def query_anchors(variants: list[str], p: Params = DEFAULT) -> list[str]:
     """Anchors to look a passage up by: distinct over its spellings, then at most ``max_anchors`` spread evenly."""
     every = list(dict.fromkeys(a for v in variants for a in token_anchors_py(v, p)))

@@ -78,6 +78,14 @@ def confidence_tier(confidence: Column, moved: Column, location_only: Column) ->
     )
 
 
+def tier_of(confidence: float, moved: bool, location_only: bool) -> str:
+    """``confidence_tier`` of one value."""
+    if location_only:
+        return "forensics_only"
+    c = round(confidence, 6)
+    return "edit" if c >= 0.90 and not moved else "move" if c >= 0.85 and moved else "related" if c >= params.DEFAULT.min_confidence else "hidden"
+
+
 def links_successor(confidence: Column, p: params.Params = params.DEFAULT) -> Column:
     return confidence >= F.lit(p.link_threshold).cast("float")
 

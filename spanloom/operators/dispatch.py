@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalar import UUID
@@ -15,7 +14,7 @@ from spanloom.operators.joins import asof_backward
 from spanloom.operators.nested import parse_json
 from spanloom.operators.running import position_bucket, running_sum
 from spanloom.params import DEFAULT, Params
-from spanloom.runtime import materialize
+from spanloom.runtime import drop_path, materialize
 
 
 def marker_pattern(p: Params = DEFAULT) -> str:
@@ -125,24 +124,37 @@ _HOPS = "tape_id STRING, turn BIGINT, uuid STRING, received_turn BIGINT, parent_
 def climb(touches: DataFrame, links: DataFrame) -> DataFrame:
     """All hops upstream from touches (tape_id, turn): tape, turn, uuid, received_turn, parent_tape, sent_turn and the hop's number.
 
-    The frontier of a hop is the set of distinct (tape, turn) that the hop before reached for the first time, so loops end.
+    Each place (tape, turn) has one place it was dispatched from, so hops are pointers. They are found once, for all places
+    that any marker was sent from, by one as-of join; the places above the touches are then reached by pointer doubling, so a
+    chain of n hops takes log2(n) rounds. A place counts at the least number of hops, and loops end.
     """
     if links.isEmpty():
         return touches.sparkSession.createDataFrame([], _HOPS)
-    links, _ = materialize(links.select("tape_id", "uuid", "first_turn_index", "direction"), "links")
-    frontier, _ = materialize(touches.select("tape_id", "turn").distinct(), "frontier")
-    hops: DataFrame | None = None
-    seen = frontier
-    for hop in itertools.count():
-        step = sent_marker(latest_received(frontier, links).where("uuid is not null"), links)
-        step, _ = materialize(step.select("tape_id", "turn", "uuid", "received_turn", "parent_tape", "sent_turn", F.lit(hop).alias("hop")), "hops")
-        hops = step if hops is None else hops.unionByName(step)
-        reached = step.where("parent_tape is not null").select(F.col("parent_tape").alias("tape_id"), F.col("sent_turn").alias("turn")).distinct()
-        frontier, _ = materialize(reached.join(seen, ["tape_id", "turn"], "left_anti"), "frontier")
-        if frontier.isEmpty():
+    links, links_path = materialize(links.select("tape_id", "uuid", "first_turn_index", "direction"), "links")
+    starts = touches.select("tape_id", "turn").distinct()
+    sent = sent_marker(links.where("direction = 'received'").select("uuid").distinct(), links).where("parent_tape is not null")
+    places = starts.union(sent.select("parent_tape", "sent_turn")).distinct()
+    hops = latest_received(places, links).where("uuid is not null").join(sent, "uuid", "left")
+    hops, _ = materialize(hops.select("tape_id", "turn", "uuid", "received_turn", "parent_tape", "sent_turn"), "hops")
+    jump = hops.where("parent_tape is not null").select("tape_id", "turn", F.col("parent_tape").alias("to_tape"), F.col("sent_turn").alias("to_turn"))
+    reached, path = materialize(starts.withColumn("hop", F.lit(0)), "reached")
+    before, jump_path, step, spark = -1, None, 1, links.sparkSession
+    while True:
+        far = reached.join(jump, ["tape_id", "turn"]).select(F.col("to_tape").alias("tape_id"), F.col("to_turn").alias("turn"), (F.col("hop") + step).alias("hop"))
+        seen = Observation()
+        grown, newer = materialize(reached.unionByName(far).groupBy("tape_id", "turn").agg(F.min("hop").alias("hop")).observe(seen, F.count("*").alias("n")), "reached")
+        drop_path(spark, path)
+        reached, path = grown, newer
+        if seen.get["n"] == before:
             break
-        seen = seen.unionByName(frontier)
-    return hops
+        before = seen.get["n"]
+        twice = jump.alias("a").join(jump.alias("b"), (F.col("a.to_tape") == F.col("b.tape_id")) & (F.col("a.to_turn") == F.col("b.turn"))).select("a.tape_id", "a.turn", "b.to_tape", "b.to_turn")
+        jump, newer = materialize(twice, "jumps")
+        if jump_path:
+            drop_path(spark, jump_path)
+        jump_path, step = newer, step * 2
+    drop_path(spark, links_path)
+    return hops.join(reached, ["tape_id", "turn"])
 
 
 def reference_counts(links: DataFrame) -> DataFrame:

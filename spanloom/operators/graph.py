@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.scalar import stored_class
 from spanloom.operators.hierarchy import hierarchy
+from spanloom.operators.running import running_sum
 from spanloom.params import DEFAULT, Params
 
 EDGE_KEY = ["from_anchor", "to_anchor", "confidence", "location_delta", "cardinality", "agent_link", "note"]
@@ -49,7 +50,7 @@ def bounded_bfs(edges: DataFrame, seeds: list[str], p: Params = DEFAULT, forensi
         ends = usable.where(F.col("to_anchor").isin(level)).select(F.col("to_anchor").alias("node"), F.lit(0).alias("side"), *EDGE_KEY)
         begins = usable.where(F.col("from_anchor").isin(level)).select(F.col("from_anchor").alias("node"), F.lit(1).alias("side"), *EDGE_KEY)
         order = W.partitionBy("node").orderBy(F.desc("confidence"), "side", "from_anchor", "to_anchor", "note", *EDGE_KEY[3:6])
-        top = ends.unionByName(begins).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * (p.max_fanout + p.max_edges))
+        top = ends.unionByName(begins).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * (p.max_fanout + p.max_edges))
         by_node: dict[str, list] = {}
         for r in top.orderBy("node", "rank").collect():
             by_node.setdefault(r["node"], []).append(r)
@@ -99,26 +100,28 @@ def touched(seeds: list[str], edges: list[dict]) -> list[str]:
 
 
 def chains(sessions: DataFrame, links: DataFrame) -> DataFrame:
-    """Sessions (session_id) with parent, children, root, depth and chain_length.
+    """Sessions (session_id) with parent, n_children, root, depth and chain_length.
 
     ``links`` are (parent, child, position); only those between given sessions count, the last link of a child gives its
-    parent, and children are listed sorted. Sessions on a loop, or below one, are roots of their own.
+    parent. Sessions on a loop, or below one, are roots of their own.
     """
     ids = sessions.select("session_id")
     inside = links.join(ids.withColumnRenamed("session_id", "parent"), "parent", "left_semi").join(ids.withColumnRenamed("session_id", "child"), "child", "left_semi")
     if links.isEmpty() or inside.isEmpty():
-        alone = [F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("children"), F.col("session_id").alias("root"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("chain_length")]
+        alone = [F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("n_children"), F.col("session_id").alias("root"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("chain_length")]
         return sessions.select("*", *alone)
     parent = inside.groupBy("child").agg(F.max_by("parent", "position").alias("parent"))
     tree = hierarchy(parent.select("child", "parent"), ids.withColumnRenamed("session_id", "node"))
     loop = F.col("depth") < 0
     placed = tree.select(F.col("node").alias("session_id"), F.when(loop, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(loop, 0).otherwise(F.col("depth")).alias("depth"))
     size = placed.groupBy("root").agg(F.count("*").alias("chain_length"))
-    kids = inside.groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children")).withColumnRenamed("parent", "session_id")
+    kids = inside.groupBy("parent").agg(F.count_distinct("child").alias("n_children")).withColumnRenamed("parent", "session_id")
     out = sessions.join(placed, "session_id").join(size, "root").join(parent.withColumnRenamed("child", "session_id"), "session_id", "left").join(kids, "session_id", "left")
-    return out.withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    return out.fillna(0, ["n_children"])
 
 
-def chain_metadata(page: DataFrame) -> DataFrame:
-    """For each root of a page (root, session_id, depth, position) its first position and its sessions by depth."""
-    return page.groupBy("root").agg(F.min("position").alias("first_position"), F.transform(F.array_sort(F.collect_list(F.struct("depth", "position", "session_id"))), lambda s: s["session_id"]).alias("sessions"))
+def chain_metadata(sessions: DataFrame) -> DataFrame:
+    """Adds to sessions (root, session_id, depth, position) their ``place`` in the chain of their root, by depth and position, and
+    the chain's ``first_position``. A chain of very many sessions is cut by depth, so it is no single task."""
+    placed = running_sum(sessions, ["root"], ["depth", "position", "session_id"], F.col("depth"), F.lit(1), "place")
+    return placed.join(sessions.groupBy("root").agg(F.min("position").alias("first_position")), "root")

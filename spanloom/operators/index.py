@@ -31,8 +31,8 @@ def with_anchors(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     one = F.when(kind == "code.read", F.col("text")).when(kind == "code.edit", F.col("before_text")).otherwise(F.col("payload"))
     two = F.when(kind == "code.edit", F.col("after_text"))
     both = (kind == "code.edit") & F.col("before_text").isNotNull() & F.col("after_text").isNotNull()
-    rows = rows.withColumn("_one", one).withColumn("_two", two).withColumn("_b", F.when(both, F.col("before_text"))).withColumn("_a", F.when(both, F.col("after_text")))
-    rows = rows.select("*", fp.token_anchors(F.col("_one"), p).alias("_t1"), fp.token_anchors(F.col("_two"), p).alias("_t2"), fp.text_features(F.col("_b"), p).alias("_fb"), fp.text_features(F.col("_a"), p).alias("_fa"))
+    rows = rows.withColumn("_x", fp.both_sides(one, two, F.coalesce(both, F.lit(False)), p))
+    rows = rows.select("*", F.col("_x.a1").alias("_t1"), F.col("_x.a2").alias("_t2"), F.col("_x.f1").alias("_fb"), F.col("_x.f2").alias("_fa")).drop("_x")
     side = lambda toks, hashes, own: F.when(F.size(F.coalesce(toks, fp.no_strings())) > 0, toks).otherwise(legacy_anchors(hashes, own))
     rows = rows.select(
         "*",
@@ -43,7 +43,7 @@ def with_anchors(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.when(kind == "code.edit", side(F.col("_t2"), F.col("after_anchor_hashes"), F.col("after_hash"))).otherwise(fp.no_strings()).alias("after"),
         F.coalesce(fp.jaccard(F.col("_fb"), F.col("_fa")), F.col("similarity"), F.lit(0.0).cast("float")).alias("confidence"),
     )
-    return rows.drop("_one", "_two", "_a", "_b", "_t1", "_t2", "_fb", "_fa")
+    return rows.drop("_t1", "_t2", "_fb", "_fa")
 
 
 def valid_tapes_only(rows: DataFrame) -> DataFrame:

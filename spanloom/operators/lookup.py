@@ -23,21 +23,38 @@ def scores(direct: DataFrame, n_anchors: int) -> DataFrame:
     return direct.groupBy("tape_id").agg((F.count_distinct("anchor") / F.lit(n_anchors)).cast("float").alias("score"))
 
 
+def touches_of(evidence: DataFrame) -> DataFrame:
+    """The distinct touches (tape_id, event_offset, kind, file_path, timestamp) of evidence rows, whatever their anchors."""
+    return evidence.select("tape_id", "event_offset", "kind", "file_path", "timestamp").distinct()
+
+
 def sessions(touches: DataFrame) -> DataFrame:
-    """(tape_id, touch_count, timestamp, files, touches) from distinct evidence rows."""
-    t = touches.dropDuplicates(["tape_id", "event_offset", "kind", "file_path", "timestamp"])
-    each = F.struct("event_offset", "kind", "file_path", "timestamp")
-    return t.groupBy("tape_id").agg(
-        F.count("*").alias("touch_count"), F.coalesce(F.max("timestamp"), F.lit("")).alias("timestamp"), F.array_sort(F.collect_set(F.when(F.col("file_path") != "", F.col("file_path")))).alias("files"),
-        F.array_sort(F.collect_list(each)).alias("touches"),
-    )
+    """(tape_id, touch_count, n_files, timestamp, first_touch) of touches; a session with very many of them is one row of counts."""
+    by_file = touches.groupBy("tape_id", "file_path").agg(F.count("*").alias("n"), F.max("timestamp").alias("t"), F.min("event_offset").alias("first"))
+    return by_file.groupBy("tape_id").agg(
+        F.sum("n").alias("touch_count"), F.count_if(F.col("file_path") != "").alias("n_files"), F.coalesce(F.max("t"), F.lit("")).alias("timestamp"), F.min("first").alias("first_touch")
+    )
+
 
+def files_touched(touches: DataFrame, events: DataFrame) -> DataFrame:
+    """(tape_id, file), a row for each: the files of a session's touches, or else of all its events."""
+    own = touches.where("file_path <> ''").select("tape_id", F.col("file_path").alias("file")).distinct()
+    silent = touches.select("tape_id").distinct().join(own.select("tape_id").distinct(), "tape_id", "left_anti")
+    names = events.join(silent, "tape_id", "left_semi").select("tape_id", F.explode(F.array("file", "from_file", "to_file")).alias("file")).where("file <> ''")
+    return own.unionByName(names.distinct())
 
-def files_touched(sessions_: DataFrame, events: DataFrame) -> DataFrame:
-    """(tape_id, files): those of the touches, or else of all the tape's events."""
-    names = events.select("tape_id", F.explode(F.array("file", "from_file", "to_file")).alias("f")).where("f <> ''")
-    fallback = names.groupBy("tape_id").agg(F.array_sort(F.collect_set("f")).alias("all_files"))
-    return sessions_.join(fallback, "tape_id", "left").select("tape_id", F.when(F.size("files") > 0, F.col("files")).otherwise(F.coalesce("all_files", F.array().cast("array<string>"))).alias("files"))
+
+def salted_join(few: DataFrame, many: DataFrame, key: str, spread: str, most: int = 50_000) -> DataFrame:
+    """Inner join on ``key`` in which no key's rows of ``many`` are more than about ``most`` in a task.
+
+    The keys asked for are counted first; one with more rows is cut by the hash of ``spread``, and the rows of ``few`` meet
+    each of its parts.
+    """
+    asked = many.join(few.select(key).distinct(), key, "left_semi")
+    parts = asked.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    left = few.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    right = asked.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def grep_stats(rows: DataFrame, literal: str) -> DataFrame:

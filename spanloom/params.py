@@ -55,7 +55,9 @@ DISPATCH = "tape_id STRING, uuid STRING, first_turn_index BIGINT, direction STRI
 RESULTS = "result_id STRING, command STRING, payload_json STRING, created_at STRING"
 FEEDBACK = "result_id STRING, outcome STRING, note STRING, rated_at STRING"
 TAPE_LINES = "tape_id STRING, line_no BIGINT, raw STRING"
+CURSORS = "path STRING, cursor BIGINT, guard STRING, read_at STRING"
 TABLES = {
+    "cursors": (CURSORS, ["path"]),
     "evidence": (EVIDENCE, ["anchor", "tape_id", "event_offset", "kind"]),
     "edges": (EDGES, ["from_anchor", "to_anchor", "confidence", "location_delta", "cardinality", "agent_link", "note"]),
     "tombstones": (TOMBSTONES, ["anchor", "tape_id", "event_offset"]),
@@ -65,7 +67,7 @@ TABLES = {
     "result_feedback": (FEEDBACK, ["result_id"]),
     "tape_lines": (TAPE_LINES, ["tape_id", "line_no"]),
 }
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 #: The names of the enumerations and what an unknown name is read as.
 EVENT_KINDS = ("meta", "msg.in", "msg.out", "tool.call", "tool.result", "code.read", "code.edit", "span.link")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import fingerprint as fp
-from spanloom.functions.scalar import in_dates, result_id
+from spanloom.functions.scalar import in_dates, result_id, tier_of
 from spanloom.operators import dispatch, events, graph, lookup, windows
 from spanloom.params import DEFAULT, Params
 from spanloom.sources.stores import Store, union_stores
@@ -45,29 +45,37 @@ class Options:
     forensics: bool = False
     count: bool = False
     anchor: bool = False
+    include_deleted: bool = False
 
     def params(self) -> Params:
         return replace(DEFAULT, min_confidence=self.min_confidence, max_fanout=self.max_fanout, max_edges=self.max_edges, max_depth=self.max_depth)
 
 
-def target_anchors(target: str, as_anchor: bool = False, p: Params = DEFAULT) -> list[str]:
-    """Anchors of a target: an anchor itself, lines of a file (``path:first-last``), a whole file, or the text given."""
+def target_anchors(target: str, as_anchor: bool = False, p: Params = DEFAULT, cwd: str = ".") -> tuple[str, list[str]]:
+    """(kind, anchors) of a target: an anchor itself, lines of a file (``path:first-last``), a whole file, or the text given.
+
+    Paths are relative to ``cwd``. Kinds are anchor, span, file and text.
+    """
     if as_anchor:
         expanded = [fp.PREFIX + x for x in target[len(fp.PREFIX) :].split(",") if x] if target.startswith(fp.PREFIX) else []
-        return expanded or [target]
+        return "anchor", expanded or [target]
     m = re.fullmatch(r"(.+):([^:]*-[^:]*)", target, re.DOTALL)
     if m and "\n" not in m[2]:
         span = re.fullmatch(r"(\d+)-(\d+)", m[2])
-        if not span and (" " not in m[2] and re.fullmatch(r"[\w.\-]+", m[2])) and Path(m[1]).is_file():
+        if not span and (" " not in m[2] and re.fullmatch(r"[\w.\-]+", m[2])) and _is_file(cwd, m[1]):
             raise InvalidSpan(target)
-        if span and Path(m[1]).is_file():
+        if span and _is_file(cwd, m[1]):
             try:
-                return fp.query_anchors(span_variants(m[1], int(span[1]), int(span[2])), p)
+                return "span", fp.query_anchors(span_variants(str(Path(cwd, m[1])), int(span[1]), int(span[2])), p)
             except ValueError as e:
                 raise InvalidSpan(str(e)) from e
-    if len(target) < 4096 and "\n" not in target and Path(target).is_file():
-        return fp.query_anchors([Path(target).read_text(encoding="utf-8")], p)
-    return fp.query_anchors([target], p)
+    if "\n" not in target and _is_file(cwd, target):
+        return "file", fp.query_anchors([Path(cwd, target).read_text(encoding="utf-8")], p)
+    return "text", fp.query_anchors([target], p)
+
+
+def _is_file(cwd: str, path: str) -> bool:
+    return len(path) < 4096 and Path(cwd, path).is_file()
 
 
 def _page(rows: DataFrame, order: list, o: Options, p: Params) -> tuple[list, dict]:
@@ -89,12 +97,11 @@ def _windowed(sessions: DataFrame, lines: DataFrame, anchor: DataFrame, o: Optio
     return s.join(windows.matches(windows.slice_lines(lines, spans), o.grep_filter).select("tape_id").distinct(), "tape_id", "left_semi")
 
 
-def explain(stores: list[Store], target: str, o: Options = Options()) -> dict:
-    """Sessions that hold the target's anchors or lie upstream of them, with lineage, hand-offs and deletions."""
+def explain(stores: list[Store], target: str, o: Options = Options(), cwd: str = ".") -> dict:
+    """Sessions that hold the target's anchors or lie upstream of them, with lineage, hand-offs and (asked for) deletions."""
     p = o.params()
-    anchors = target_anchors(target, o.anchor, p)
+    kind, anchors = target_anchors(target, o.anchor, p, cwd)
     table = lambda name: union_stores(stores, name)
-    spark = stores[0].spark
     evidence, lines = table("evidence"), table("tape_lines").drop("store_rank")
     direct = lookup.evidence_for(evidence, anchors)
     lineage: list[dict] = []
@@ -106,21 +113,22 @@ def explain(stores: list[Store], target: str, o: Options = Options()) -> dict:
                 seen.add(key)
                 lineage.append(e)
     touched = graph.touched(anchors, lineage)
-    found = lookup.sessions(lookup.evidence_for(evidence, touched).drop("store_rank"))
+    touches = lookup.touches_of(lookup.evidence_for(evidence, touched))
+    found = lookup.sessions(touches)
     scored = found.join(lookup.scores(direct, max(1, len(anchors))), "tape_id", "left").fillna({"score": 0.0})
     links = stores[0].read("dispatch_links")
     typed = events.message_turns(lines.select("tape_id", F.col("line_no").alias("event_offset"), F.get_json_object("raw", "$.k").alias("k")))
-    edits = lookup.evidence_for(evidence, touched).where("kind = 'edit'").select("tape_id", "event_offset").distinct().join(typed, ["tape_id", "event_offset"]).select("tape_id", "turn")
+    edits = touches.where("kind = 'edit'").select("tape_id", "event_offset").distinct().join(typed, ["tape_id", "event_offset"]).select("tape_id", "turn")
     hops = dispatch.climb(edits, links)
     extra = hops.where("parent_tape is not null").select(F.col("parent_tape").alias("tape_id")).distinct().join(found.select("tape_id"), "tape_id", "left_anti")
     stamps = lines.join(extra, "tape_id", "left_semi").groupBy("tape_id").agg(F.coalesce(F.max(F.get_json_object("raw", "$.t")), F.lit("")).alias("timestamp"))
-    none = F.array().cast(found.schema["touches"].dataType)
-    extra = extra.join(stamps, "tape_id", "left").select("tape_id", F.lit(0).cast("bigint").alias("touch_count"), F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.array().cast("array<string>").alias("files"), none.alias("touches"), F.lit(0.0).cast("float").alias("score"))
+    none = F.lit(0).cast("bigint")
+    extra = extra.join(stamps, "tape_id", "left").select("tape_id", none.alias("touch_count"), none.alias("n_files"), F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.lit(None).cast("bigint").alias("first_touch"), F.lit(0.0).cast("float").alias("score"))
     sessions = scored.unionByName(extra).where(in_dates(F.col("timestamp"), o.since, o.until))
     sessions = sessions.join(dispatch.reference_counts(links), "tape_id", "left").fillna(0, ["refs_up", "refs_down"])
     chain_links = hops.where("parent_tape is not null").select(F.col("parent_tape").alias("parent"), F.col("tape_id").alias("child"), F.struct("turn", "received_turn").alias("position"))
     chained = graph.chains(sessions.withColumnRenamed("tape_id", "session_id"), chain_links).withColumnRenamed("session_id", "tape_id")
-    at = sessions.select("tape_id", F.when(F.size("touches") > 0, F.col("touches")[0]["event_offset"]).alias("anchor_offset"))
+    at = sessions.select("tape_id", F.col("first_touch").alias("anchor_offset"))
     chained = _windowed(chained, lines, at, o, p)
     page, told = _page(chained, [F.asc("depth"), F.desc("score"), F.desc("timestamp"), F.desc("touch_count"), F.asc("tape_id")], o, p)
     if not page:
@@ -128,10 +136,19 @@ def explain(stores: list[Store], target: str, o: Options = Options()) -> dict:
     roots: dict[str, list] = {}
     for i, r in enumerate(page):
         roots.setdefault(r["root"], []).append((r["depth"], i, r["tape_id"]))
-    dead = lookup.evidence_for(table("tombstones"), touched).orderBy("anchor", "event_offset", "tape_id").collect()
+    shown = [r["tape_id"] for r in page]
+    details = {t: {"touches": [], "files": set(), "children": set()} for t in shown}
+    for r in touches.where(F.col("tape_id").isin(shown)).orderBy("tape_id", "event_offset", "kind", "file_path").toLocalIterator():
+        mine = details[r["tape_id"]]
+        mine["touches"].append({k: r[k] for k in ("event_offset", "kind", "file_path", "timestamp")})
+        mine["files"] |= {r["file_path"]} - {""}
+    if any(r["n_children"] for r in page):
+        for r in chain_links.where(F.col("parent").isin(shown)).join(sessions.select(F.col("tape_id").alias("child")), "child", "left_semi").select("parent", "child").distinct().toLocalIterator():
+            details[r["parent"]]["children"].add(r["child"])
+    dead = lookup.evidence_for(table("tombstones"), touched).orderBy("anchor", "event_offset", "tape_id").toLocalIterator() if o.include_deleted and kind != "file" else []
     payload = {
-        "query": {"target": target, "anchors": anchors, "limit": o.limit, "offset": o.offset, "since": o.since, "until": o.until, "grep_filter": o.grep_filter, "min_confidence": o.min_confidence, "forensics": o.forensics, "count": o.count},
-        "sessions": [_session(r) for r in page],
+        "query": {"target": target, "anchors": anchors, "limit": o.limit, "offset": o.offset, "since": o.since, "until": o.until, "grep_filter": o.grep_filter, "min_confidence": o.min_confidence, "forensics": o.forensics, "count": o.count, "include_deleted": o.include_deleted, "max_fanout": o.max_fanout, "max_edges": o.max_edges, "depth": o.max_depth},
+        "sessions": [_session(r, details[r["tape_id"]]) for r in page],
         "chains": [{"root": root, "sessions": [x[2] for x in sorted(v)], "length": len(v)} for root, v in roots.items()],
         "lineage": [{**e, "stored_class": "location_only" if not e["agent_link"] and e["confidence"] < p.link_threshold else "lineage"} for e in lineage],
         "dispatch_lineage": [r.asDict() for r in hops.orderBy("hop", "tape_id", "turn").toLocalIterator()],
@@ -139,12 +156,11 @@ def explain(stores: list[Store], target: str, o: Options = Options()) -> dict:
         "stores_queried": sum(s.exists() for s in stores),
         **told,
     }
-    del spark
     return payload
 
 
-def _session(r) -> dict:
-    d = r.asDict(recursive=True)
+def _session(r, detail: dict | None = None) -> dict:
+    d = r.asDict(recursive=True) | {k: v if k == "touches" else sorted(v) for k, v in (detail or {}).items()}
     return {
         "session_id": d["tape_id"], "timestamp": d["timestamp"], "window_start": d["window_start"], "window_end": d["window_end"], "total_lines": d["total_lines"], "confidence": d.get("score", 0.0),
         "refs_up": d.get("refs_up", 0), "refs_down": d.get("refs_down", 0), "files_touched": d.get("files") or [], "touches": d.get("touches") or [],
@@ -210,7 +226,11 @@ def with_result_id(command: str, payload: dict) -> dict:
 
 
 def pretty(payload: dict) -> str:
-    """The sessions of a payload as text, one a line."""
-    out = [f"{len(payload['sessions'])} of {payload['total']} sessions"]
+    """A payload as text: the sessions, one a line, then lineage by the tier of its confidence and deletions."""
+    out = [f"{len(payload['sessions'])} of {payload['total']} sessions for {payload['query'].get('target') or payload['query'].get('pattern')}"]
     out += [f"{s['session_id'][:16]}  {s['timestamp']}  confidence {s['confidence']:.2f}  lines {s['window_start']}-{s['window_end']}  {', '.join(s['files_touched'][:3])}" for s in payload["sessions"]]
+    for e in payload["lineage"]:
+        tier = tier_of(e["confidence"], e["location_delta"] == "moved", e["stored_class"] == "location_only")
+        out.append(f"[{tier}] {e['from_anchor']} -> {e['to_anchor']} ({e['confidence']:.2f})")
+    out += [f"deleted {t['anchor']}  {t['tape_id'][:16]}:{t['event_offset']}  {t['file_path']}  {t['timestamp']}" for t in payload["tombstones"]]
     return "\n".join(out)

@@ -83,17 +83,15 @@ def composite_stats(spark, d):
 
 
 def session_build(spark, d):
-    s = lookup.sessions(evidence_build(spark, d))
-    return s.select("tape_id", "touch_count", "timestamp", F.array_join("files", ",").alias("files"))
+    return lookup.sessions(lookup.touches_of(evidence_build(spark, d)))
 
 
 def files_touched(spark, d):
-    s = lookup.sessions(evidence_build(spark, d))
-    return lookup.files_touched(s, _log(spark, d)).select("tape_id", F.array_join("files", ",").alias("files"))
+    return lookup.files_touched(lookup.touches_of(evidence_build(spark, d)), _log(spark, d))
 
 
 def time_range(spark, d):
-    return lookup.time_range(lookup.sessions(evidence_build(spark, d)))
+    return lookup.time_range(lookup.sessions(lookup.touches_of(evidence_build(spark, d))))
 
 
 def edges_in_out(spark, d):
@@ -153,15 +151,14 @@ def session_chains(spark, d):
     links = dispatch_parents(table(spark, d, "dispatch_links")).withColumn("position", F.lit(0))
     tapes = links.select(F.col("child").alias("session_id")).union(links.select("parent")).distinct()
     c = graph.chains(tapes, links)
-    return c.select("session_id", "parent", "root", "depth", "chain_length", F.size("children").alias("n_children"))
+    return c.select("session_id", "parent", "root", "depth", "chain_length", F.col("n_children").cast("int").alias("n_children"))
 
 
 def chain_metadata(spark, d):
     from pyspark.sql import Window as W
 
     c = session_chains(spark, d).withColumn("position", F.row_number().over(W.partitionBy("root").orderBy("session_id")))
-    m = graph.chain_metadata(c)
-    return m.select("root", F.size("sessions").alias("n_sessions"), F.md5(F.array_join("sessions", ",")).alias("sessions_md5"))
+    return graph.chain_metadata(c).select("root", "session_id", "place", "first_position")
 
 
 def grep_stats(spark, d):
@@ -228,10 +225,11 @@ def explain_documents(spark, d):
     from pyspark.sql import Window as W
 
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    ev, _ = materialize(fp.computed_once(docs, a=fp.token_anchors(F.col("text"))).select("doc_id", F.explode("a").alias("anchor")), "evidence")
-    asked = fp.computed_once(docs.where("doc_id % 20 = 0"), a=fp.token_anchors(F.col("text"))).where("size(a) > 0").select(F.col("doc_id").alias("query_id"), F.explode(fp.sample_anchors(F.col("a"))).alias("anchor"))
+    held, _ = materialize(fp.computed_once(docs, a=fp.token_anchors(F.col("text"))).where("size(a) > 0").select("doc_id", "a"), "evidence")
+    ev = held.select("doc_id", F.explode("a").alias("anchor"))
+    asked = held.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(fp.sample_anchors(F.col("a"))).alias("anchor"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = asked.join(ev, "anchor").groupBy("query_id", "doc_id").agg(F.count("*").alias("hit"))
+    hits = lookup.salted_join(asked, ev, "anchor", "doc_id").groupBy("query_id", "doc_id").agg(F.count("*").alias("hit"))
     scored = hits.join(sizes, "query_id").select("query_id", "doc_id", F.round(F.col("hit") / F.col("n"), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
@@ -280,7 +278,7 @@ _INDEX = f"""{_TYPED},
  tmb as (select distinct anc.a as anchor, anc.tape_id, anc.event_offset, file as file_path, coalesce(before_range, after_range, [0, 0])[1] as range_start, coalesce(before_range, after_range, [0, 0])[2] as range_end, t as timestamp
    from anc join typ using (tape_id, event_offset) where side = 2 and not exists (select 1 from anc z where z.tape_id = anc.tape_id and z.event_offset = anc.event_offset and z.side = 3) and tape_id not in (select tape_id from badt)),
  led as (select distinct tape_id from claw where tape_id not in (select tape_id from badt)),
- ses as (select tape_id, count(*) as touch_count, coalesce(max(timestamp), '') as timestamp, coalesce(string_agg(distinct nullif(file_path, ''), ',' order by nullif(file_path, '')), '') as files
+ ses as (select tape_id, count(*) as touch_count, count(distinct nullif(file_path, '')) as n_files, coalesce(max(timestamp), '') as timestamp, min(event_offset) as first_touch
    from (select distinct tape_id, event_offset, kind, file_path, timestamp from evi) group by tape_id)"""
 _EDGE_OK = "from_anchor is not null and to_anchor is not null and agent_link is not null and confidence is not null"
 _VIS = "(agent_link or (confidence >= 0.3::float and confidence >= 0.5::float))"
@@ -317,8 +315,8 @@ SQL = {
     "unindexed_tapes": f"with {_INDEX} select distinct tape_id from claw where tape_id not in (select tape_id from led)",
     "composite_stats": f"with {_LOG} select file_path, anchor, count(*) as hits from (select file as file_path, unnest(anchor_hashes) as anchor from claw where k = 'code.read' and file is not null) where contains(anchor, ',') group by all",
     "session_build": f"with {_INDEX} select * from ses",
-    "files_touched": f"""with {_INDEX}, allf as (select tape_id, string_agg(distinct f, ',' order by f) as fs from (select tape_id, unnest([file, from_file, to_file]) as f from claw) where f <> '' group by 1)
-      select tape_id, case when files <> '' then files else coalesce(fs, '') end as files from ses left join allf using (tape_id)""",
+    "files_touched": f"""with {_INDEX}, allf as (select distinct tape_id, f from (select tape_id, unnest([file, from_file, to_file]) as f from claw) where f <> '')
+      select distinct tape_id, file_path as file from evi where file_path <> '' union all select tape_id, f from allf join ses using (tape_id) where n_files = 0""",
     "time_range": f'with {_INDEX} select min(nullif(timestamp, \'\')) as "start", max(nullif(timestamp, \'\')) as "end" from ses',
     "edges_in_out": f"""with e as (select distinct * from edges where {_EDGE_OK}), v as (select * from e where {_VIS}), a as (select distinct from_anchor as anchor from e),
       b as (select anchor, true as inbound, confidence from a join v on anchor = to_anchor union all select anchor, false, confidence from a join v on anchor = from_anchor)
@@ -338,7 +336,7 @@ SQL = {
         union all select h.parent_tape, h.sent_turn, r.uuid, r.rt, s.parent_tape, s.sent_turn, h.h + 1 from (select distinct parent_tape, sent_turn, h from hop where parent_tape is not null and h < 40) h join rn r on r.tape_id = h.parent_tape and r.rt < h.sent_turn and (r.nxt is null or r.nxt >= h.sent_turn) left join snd s on s.uuid = r.uuid)
       select tape_id, turn, uuid, received_turn, parent_tape, sent_turn, min(h)::int as hop from hop group by all""",
     "session_chains": f"with recursive {_CHAIN} select session_id, parent, root, depth, chain_length, n_children from ch join sz using (root)",
-    "chain_metadata": f"""with recursive {_CHAIN} select root, count(*)::int as n_sessions, md5(string_agg(session_id, ',' order by depth, session_id)) as sessions_md5 from ch group by 1""",
+    "chain_metadata": f"""with recursive {_CHAIN} select root, session_id, row_number() over (partition by root order by depth, session_id) as place, 1 as first_position from ch""",
     "grep_stats": f"with {_GREP} select *, coalesce(first_provenance_match, first_match) as anchor_offset from gs",
     "grep_top": f"with {_GREP} select tape_id, match_count, provenance_match_count, provenance_event_count, timestamp from gs order by provenance_match_count desc, match_count desc, provenance_event_count desc, timestamp desc, tape_id limit 10",
     "date_filter": rf"""with {_LOG}, a as (select tape_id, case when regexp_matches(t, '^\d{{4}}-\d{{2}}-\d{{2}}[Tt ]\d{{2}}:\d{{2}}:\d{{2}}(\.\d+)?([Zz]|[+-]\d{{2}}:\d{{2}})$') then try_cast(upper(t) as timestamptz) end as x from claw)

@@ -78,3 +78,59 @@ def materialize(df: DataFrame, hint: str) -> tuple[DataFrame, str]:
     path = new_path(spark, hint)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+class Folder:
+    """Small files and names below a folder on any file system of the session's Hadoop configuration; used on the driver."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if self.root and name else self.root or name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def exists(self, name: str = "") -> bool:
+        fs, path = self._at(name)
+        return fs.exists(path)
+
+    def names(self, name: str = "") -> list[str]:
+        """Names of what lies in a folder."""
+        fs, path = self._at(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def read(self, name: str) -> str | None:
+        fs, path = self._at(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """All or nothing: written beside its place and then moved there."""
+        fs, path = self._at(name)
+        temp = path.suffix(f".{uuid.uuid4().hex}.tmp")
+        stream = fs.create(temp, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if fs.exists(path):
+            fs.delete(path, False)
+        if not fs.rename(temp, path):
+            raise OSError(f"{path} can't be written")
+
+    def delete(self, name: str) -> None:
+        fs, path = self._at(name)
+        fs.delete(path, True)
+
+    def move(self, name: str, to: str) -> None:
+        fs, path = self._at(name)
+        _, target = self._at(to)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(path, target):
+            raise OSError(f"{path} can't be moved to {target}")

@@ -186,7 +186,7 @@ def test_explain_gives_every_hop_and_deletions_upstream(engine, spark, tmp_path)
     """Hops of sessions that aren't on the page, and tombstones of an anchor that only the lineage reaches."""
     from spanloom.plans import explain
 
-    read, anchor = engine.store.read, explain.target_anchors(CODE, None, explain.Options().params())[0]
+    read, anchor = engine.store.read, explain.target_anchors(CODE, False, explain.Options().params())[1][0]
     other = Store(spark, str(tmp_path / "other")).create()
     edge = {"from_anchor": "upstream", "to_anchor": anchor, "confidence": 0.9, "location_delta": "same", "cardinality": "1:1", "agent_link": True, "note": "", "stored_class": "lineage"}
     edges = spark.createDataFrame([tuple(edge[f.name] for f in read("edges").schema.fields)], read("edges").schema)
@@ -194,7 +194,8 @@ def test_explain_gives_every_hop_and_deletions_upstream(engine, spark, tmp_path)
     tape = read("evidence").where("kind = 'edit'").agg({"tape_id": "min"}).collect()[0][0]
     links = [(tape, "u0", -1, "received"), ("p1", "u0", 5, "sent"), ("p1", "u1", 1, "received"), ("p2", "u1", 5, "sent")]
     other.commit({n: read(n) for n in ("tape_lines", "evidence", "tapes")} | {"edges": edges, "tombstones": dead, "dispatch_links": spark.createDataFrame(links, read("dispatch_links").schema)})
-    out = explain.explain([other], CODE, explain.Options(limit=1))
+    assert not explain.explain([other], CODE, explain.Options(limit=1))["tombstones"]
+    out = explain.explain([other], CODE, explain.Options(limit=1, include_deleted=True))
     assert out["returned"] == 1 and {(h["tape_id"], h["parent_tape"]) for h in out["dispatch_lineage"]} == {(tape, "p1"), ("p1", "p2")}
     assert [(t["anchor"], t["tape_id"]) for t in out["tombstones"]] == [("upstream", "gone")]
 
