@@ -1,15 +1,18 @@
 """Long exact spans shared between records, by seed and extend on winnowed anchors.
 
 1. Seeds. Every text gives winnowed anchors: hashes of SEED code points, the least of each window of anchors, so that
-   two records that share MIN_SPAN code points have an anchor in common at the same place of the shared stretch.
-   Records are joined on anchors by a pre-aggregated test (least and largest record of an anchor differ), so no pairs
-   are made and an anchor in a third of all rows is one row more for each task.
-2. Extension. Each start that a shared seed reaches is tested with its MIN_SPAN code points, again by groups: a start is
-   shared if its stretch occurs in another record. A longer match is a row of such starts.
-3. The shared starts of a record are merged to maximal spans, whose length is added up.
-
-Equality is that of 128-bit hashes of the stretches (two polynomials), tested by groups with map-side combination.
-Arrays of anchors go the same way with runs of MIN_RUN elements, each start tested.
+   two records that share MIN_SPAN code points have an anchor in common at the same place of the shared stretch, and a
+   longer match one at least every REACH + 1 places.
+2. Join and extend. Records are joined on anchors that up to MOST places share. Anchors of two records in one diagonal that touch
+   are one match; it goes on by at most REACH code points beyond its first and last anchor, so those are all the text that
+   has to be compared. Matches of MIN_SPAN and more are the maximal repeats.
+3. Anchors of more places (a licence text in a third of all rows) make no pairs. Each start that such an anchor reaches is tested
+   with the hash of its MIN_SPAN code points, by pre-aggregated groups: a start is shared if its stretch occurs in another
+   record. A shared stretch has an anchor of the one or the other kind, so both ways together find every one.
+4. The spans of a record are united, and their length is added up.
+
+Anchors and stretches are compared by 128-bit hashes (two polynomials). Arrays of anchors are tested with runs of MIN_RUN
+elements, each start, like step 3.
 
 Defined results
 * Records are rows; what recurs in the same row only isn't shared. Repeated rows share all of their texts.
@@ -20,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ CLAW, LOG = "clawline_sample", "session_log"
 MIN_SPAN, MIN_RUN = 200, 6
 SEED = 150
 REACH = MIN_SPAN - SEED
+#: Anchors of up to so many places are joined in pairs; a place then has fewer partners than this.
+MOST = 32
 #: Code points hashed at once.
 CHUNK = 1_000_000
 
@@ -100,16 +106,48 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, rec, no = b.column("text").to_pylist(), b.column("rec").to_numpy(), b.column("no").to_numpy()
         for s in _chunks([len(t) for t in texts]):
-            hashes = Hashes(texts[s], _BASES[:1])
-            out: list[tuple] = []
-            grams_from = np.arange(max(0, hashes.at[-1] - SEED + 1))
-            grams = hashes.of(0, grams_from, grams_from + SEED)
-            for i, (x, y) in enumerate(zip(hashes.at[:-1], hashes.at[1:], strict=True)):
-                g = grams[x : y - SEED + 1]
-                p = winnow(g, REACH + 1)
-                out.append((g[p], np.full(len(p), rec[s][i]), np.full(len(p), no[s][i], np.int32), p.astype(np.int32)))
-            if out:
-                yield _batch(["h", "rec", "no", "pos"], *[np.concatenate(c) for c in zip(*out, strict=True)])
+            hashes = Hashes(texts[s])
+            first = np.arange(max(0, hashes.at[-1] - SEED + 1))
+            grams = hashes.of(0, first, first + SEED)
+            places = [x + winnow(grams[x : y - SEED + 1], REACH + 1) for x, y in zip(hashes.at[:-1], hashes.at[1:], strict=True)]
+            n, at = [len(p) for p in places], np.concatenate(places)
+            yield _batch(["h1", "h2", "rec", "no", "pos"], grams[at], hashes.of(1, at, at + SEED), np.repeat(rec[s], n), np.repeat(no[s], n), (at - np.repeat(hashes.at[:-1], n)).astype(np.int32))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each seed with the REACH code points before and after it."""
+    for b in batches:
+        for k in range(b.num_rows):
+            text, rec, no, seeds = (b.column(c)[k].as_py() for c in ("text", "rec", "no", "seeds"))
+            rows = [(x["h1"], x["h2"], rec, no, p := x["pos"], text[max(0, p - REACH) : p], text[p + SEED : p + SEED + REACH]) for x in seeds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
+
+
+_CONTEXT = "h1 BIGINT, h2 BIGINT, rec BIGINT, no INT, pos INT, before STRING, after STRING"
+_CONTEXT_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("rec", pa.int64()), ("no", pa.int32()), ("pos", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+_PAIR = ["rec", "no", "rec2", "no2", "shift"]
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far the texts around two equal seeds agree, to the left and to the right."""
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("before", "before2", "after", "after2")]
+        left = [len(commonprefix((x[::-1], y[::-1]))) for x, y in zip(cols[0], cols[1], strict=True)]
+        right = [len(commonprefix((x, y))) for x, y in zip(cols[2], cols[3], strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.select([*_PAIR, "pos"]).columns, pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=[*_PAIR, "pos", "left", "right"])
+
+
+def extended(seeds: DataFrame) -> DataFrame:
+    """(rec, no, a, b): the maximal repeats of MIN_SPAN and more that seeds (see ``_CONTEXT``) are extended to, on both sides."""
+    other = seeds.select("h1", "h2", *[F.col(c).alias(f"{c}2") for c in ("rec", "no", "pos", "before", "after")])
+    pairs = seeds.join(other, ["h1", "h2"]).where("rec < rec2").withColumn("shift", F.col("pos2") - F.col("pos"))
+    pairs = pairs.select(*_PAIR, "pos", "before", "before2", "after", "after2").mapInArrow(_extend, "rec BIGINT, no INT, rec2 BIGINT, no2 INT, shift INT, pos INT, left INT, right INT")
+    diagonal = W.partitionBy(*_PAIR).orderBy("pos")
+    begins = F.coalesce(F.col("pos") - F.lag("pos").over(diagonal) > SEED, F.lit(True))
+    runs = pairs.withColumn("_begins", begins.cast("int")).withColumn("run", F.sum("_begins").over(diagonal.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = runs.groupBy(*_PAIR, "run").agg((F.min("pos") - F.min_by("left", "pos")).alias("a"), (F.max("pos") + SEED + F.max_by("right", "pos")).alias("b")).where(F.col("b") - F.col("a") >= MIN_SPAN)
+    sides = F.array(F.struct("rec", "no", "a", "b"), F.struct(F.col("rec2").alias("rec"), F.col("no2").alias("no"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
+    return spans.select(F.inline(sides)).distinct()
 
 
 def _starts(length: int, seeds: list[int]) -> np.ndarray:
@@ -140,24 +178,28 @@ def in_several(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(keys, list(key), "left_semi")
 
 
-def covered(starts: DataFrame, width: int) -> DataFrame:
-    """(rec, n_shared) from the shared starts of each text: the length of the union of all [a, a + width)."""
-    gap = F.col("a") - F.lag("a").over(W.partitionBy("rec", "no").orderBy("a"))
-    rows = starts.withColumn("new", F.least(F.coalesce(gap, F.lit(width)), F.lit(width)))
-    return rows.groupBy("rec").agg(F.sum("new").alias("n_shared"))
+def covered(spans: DataFrame) -> DataFrame:
+    """(rec, n_shared): the length of the union of each record's spans (rec, no, a, b)."""
+    before = F.max("b").over(W.partitionBy("rec", "no").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1))
+    new = F.greatest(F.col("b") - F.greatest(F.col("a"), F.coalesce(before, F.col("a"))), F.lit(0))
+    return spans.withColumn("new", new).groupBy("rec").agg(F.sum("new").alias("n_shared"))
 
 
-def shared_texts(pool: DataFrame) -> DataFrame:
+def shared_texts(pool: DataFrame, most: int = MOST) -> DataFrame:
     """(rec, n_shared) of texts (rec, no, text); ``no`` numbers the texts of a record."""
     spark = pool.sparkSession
     pool, pool_path = materialize(pool.where(F.length("text") >= MIN_SPAN), "pool")
-    anchors, anchors_path = materialize(pool.mapInArrow(_seeds, "h BIGINT, rec BIGINT, no INT, pos INT"), "anchors")
-    seeds = in_several(anchors, "h").groupBy("rec", "no").agg(F.collect_list("pos").alias("seeds"))
-    candidates, _ = materialize(pool.join(seeds, ["rec", "no"]), "candidates")
+    anchors, anchors_path = materialize(pool.mapInArrow(_seeds, "h1 BIGINT, h2 BIGINT, rec BIGINT, no INT, pos INT"), "anchors")
+    groups = anchors.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rec").alias("low"), F.max("rec").alias("high")).where("low < high").select("h1", "h2", (F.col("n") > most).alias("hot"))
+    shared = anchors.join(groups, ["h1", "h2"])
+    of_text = shared.groupBy("rec", "no").agg(F.collect_list(F.when(~F.col("hot"), F.struct("h1", "h2", "pos"))).alias("seeds"), F.collect_list(F.when(F.col("hot"), F.col("pos"))).alias("hot"))
+    candidates, _ = materialize(pool.join(of_text, ["rec", "no"]), "candidates")
     drop_path(spark, anchors_path)
     drop_path(spark, pool_path)
-    windows = candidates.mapInArrow(_stretches, "g1 BIGINT, g2 BIGINT, rec BIGINT, no INT, a INT")
-    return covered(in_several(windows, "g1", "g2").select("rec", "no", "a"), MIN_SPAN)
+    repeats = extended(candidates.where("size(seeds) > 0").select("text", "rec", "no", "seeds").mapInArrow(_contexts, _CONTEXT))
+    windows = candidates.where("size(hot) > 0").select("text", "rec", "no", F.col("hot").alias("seeds")).mapInArrow(_stretches, "g1 BIGINT, g2 BIGINT, rec BIGINT, no INT, a INT")
+    tested = in_several(windows, "g1", "g2").select("rec", "no", "a", (F.col("a") + MIN_SPAN).alias("b"))
+    return covered(repeats.unionByName(tested))
 
 
 def shared_runs(arrays: DataFrame) -> DataFrame:
@@ -171,7 +213,7 @@ def shared_runs(arrays: DataFrame) -> DataFrame:
     )
     rows = arrays.where(F.size("items") >= MIN_RUN).select("rec", F.inline(F.filter(runs, lambda r: r.isNotNull())))
     rows = rows.select("g1", "g2", "rec", F.lit(0).alias("no"), "a")
-    return covered(in_several(rows, "g1", "g2"), MIN_RUN)
+    return covered(in_several(rows, "g1", "g2").select("rec", "no", "a", (F.col("a") + MIN_RUN).alias("b")))
 
 
 def message_texts(message: str | None) -> list[str]:

@@ -169,8 +169,10 @@ def test_shared_spans_match_brute_force(spark, seed):
     same = new(300)
     pool += [(20, 0, same), (20, 1, same)] + [(30 + i, 0, new(i) + hot + new(5)) for i in range(12)]
     df = spark.createDataFrame([*pool, (99, 0, None), (98, 0, "")], "rec BIGINT, no INT, text STRING")
-    got = {r["rec"]: r["n_shared"] for r in spans.shared_texts(df).collect()}
-    assert got == brute_spans(pool, spans.MIN_SPAN) and 20 not in got
+    want = brute_spans(pool, spans.MIN_SPAN)
+    for most in (spans.MOST, 3, 0):  # pairs for all anchors, for rare ones, for none
+        got = {r["rec"]: r["n_shared"] for r in spans.shared_texts(df, most).collect()}
+        assert got == want and 20 not in got
 
 
 def test_shared_runs(spark):
