@@ -11,7 +11,8 @@ from spanloom.operators import dispatch, events, graph, index, joins, lookup, wi
 from spanloom.operators.hierarchy import dispatch_parents
 from spanloom.operators.running import day_bucket
 from spanloom.queries import sqltext as S
-from spanloom.runtime import materialize, table
+from spanloom.runtime import materialize, new_path, table
+from spanloom.sources.stores import Store
 
 NEEDLE = "budget_heap"
 
@@ -63,6 +64,37 @@ def tombstone_build(spark, d):
     return index.tombstones(_anchored(spark, d))
 
 
+def deletion_build(spark, d):
+    """Tombstones of the log if every edit had deleted what it changed."""
+    log = _log(spark, d).withColumn("after_text", F.lit("")).withColumn("after_anchor_hashes", F.lit(None).cast("array<string>"))
+    return index.tombstones(index.valid_tapes_only(index.with_anchors(log)))
+
+
+def store_evidence(spark, d):
+    """Evidence as read back from a store, in which it was committed in two parts after one commit that was never marked."""
+    facts = {"evidence": evidence_build(spark, d), "tapes": tape_ledger(spark, d)}
+    store = Store(spark, new_path(spark, "store")).create()
+    store.files.delete(f"commits/{store.commit(facts)}.json")
+    half = F.crc32("tape_id") % 2
+    for k in range(2):
+        store.commit({n: rows.where(half == k) for n, rows in facts.items()})
+    return store.read("evidence").join(store.read("tapes"), "tape_id", "left_semi").select("anchor", "tape_id", "event_offset", "kind", "file_path", "timestamp")
+
+
+def lineage_reach(spark, d):
+    """Least distance, in either direction, of all anchors within ten edges of every anchor whose hash is divisible by 20."""
+    e = table(spark, d, "edges").where("from_anchor is not null and to_anchor is not null").select("from_anchor", "to_anchor")
+    seeds = e.select(F.explode(F.array("from_anchor", "to_anchor")).alias("anchor")).where(F.conv(F.substring(F.md5("anchor"), 1, 4), 16, 10).cast("int") % 20 == 0)
+    return graph.reach(e, seeds)
+
+
+def composite_hits(spark, d):
+    """Hits of the composite anchors of what was read, by file."""
+    reads = _log(spark, d).where("k = 'code.read' and file is not null and text is not null").select("tape_id", "event_offset", F.col("file").alias("file_path"), "text")
+    rows = fp.with_features(fp.with_windows(reads, "text"), "window_text", "features").where("size(features) > 0")
+    return index.composite_stats(rows.select("file_path", fp.anchor_of(F.col("features")).alias("anchor"))).select("file_path", F.md5("anchor").alias("anchor_md5"), "hits")
+
+
 def tape_ledger(spark, d):
     return _anchored(spark, d).select("tape_id").distinct()
 
@@ -238,7 +270,7 @@ def explain_documents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        explain_documents, typed_events, textual_payload, first_meta, conformance, message_turns, evidence_build, edge_build, tombstone_build, tape_ledger, referenced_tapes, unindexed_tapes, composite_stats,
+        explain_documents, typed_events, textual_payload, first_meta, conformance, message_turns, evidence_build, edge_build, tombstone_build, deletion_build, store_evidence, lineage_reach, composite_hits, tape_ledger, referenced_tapes, unindexed_tapes, composite_stats,
         session_build, files_touched, time_range, edges_in_out, edge_tiers, fanout_topk, lineage_bfs, dispatch_ref_counts, dispatch_latest_received, dispatch_climb, session_chains, chain_metadata,
         grep_stats, grep_top, date_filter, event_neighbourhood, peek_windows, grep_context, asof_click, call_result_pairing, prefix_join,
     )
@@ -310,6 +342,14 @@ SQL = {
         union select 'span:' || from_file || ':' || from_range[1] || '-' || from_range[2], 'span:' || to_file || ':' || to_range[1] || '-' || to_range[2], 1::float, 'moved', '1:1', true, coalesce(note, '') from typ where kind = 'span.link' and tape_id not in (select tape_id from badt))
       select from_anchor, to_anchor, round(confidence::double, 5) as confidence, location_delta, cardinality, agent_link, note, case when not agent_link and confidence < 0.3::float then 'location_only' else 'lineage' end as stored_class from eds""",
     "tombstone_build": f"with {_INDEX} select * from tmb",
+    "deletion_build": f"with {_INDEX} select * from tmb".replace("select * from clawline_sample", "select * replace ('' as after_text, null::varchar[] as after_anchor_hashes) from clawline_sample"),
+    "store_evidence": f"with {_INDEX} select * from evi",
+    "lineage_reach": """with recursive b as (select distinct from_anchor as x, to_anchor as y from edges where from_anchor is not null and to_anchor is not null union select to_anchor, from_anchor from edges where from_anchor is not null and to_anchor is not null),
+      s as (select distinct x as seed from b where ('0x' || substr(md5(x), 1, 4))::int % 20 = 0), r as (select seed, seed as anchor, 0 as depth from s union select r.seed, b.y, r.depth + 1 from r join b on b.x = r.anchor where r.depth < 10 and b.x <> b.y)
+      select seed, anchor, min(depth)::int as depth from r group by all""",
+    "composite_hits": f"""with {_LOG}, rd as (select tape_id, event_offset, file as file_path, text as tx0 from claw where k = 'code.read' and file is not null and text is not null),
+      {S.windows("rd", "tape_id, event_offset, file_path", "tx0")}, o as (select tape_id, event_offset, file_path, w, h, min(p) as p from (select tape_id, event_offset, file_path, w, unnest(f) as h, generate_subscripts(f, 1) as p from fw) group by all),
+      a as (select file_path, 'winnow:' || string_agg(h, ',' order by p) as anchor from o group by tape_id, event_offset, file_path, w) select file_path, md5(anchor) as anchor_md5, count(*) as hits from a where contains(anchor, ',') group by all""",
     "tape_ledger": f"with {_INDEX} select * from led",
     "referenced_tapes": f"with {_INDEX} select tape_id from evi union select tape_id from tmb",
     "unindexed_tapes": f"with {_INDEX} select distinct tape_id from claw where tape_id not in (select tape_id from led)",

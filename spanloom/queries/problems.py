@@ -162,6 +162,21 @@ select n.src, n.node, coalesce(up.anc, '') as root, coalesce(up.d, -1)::int as d
 from n left join up on up.src = n.src and up.node = n.node left join below b on b.src = n.src and b.node = n.node
 """
 
+_P2_ALL_PATHS = f"""
+with recursive {_P2_LINKS},
+ up as (select src, node, node as root, 0 as d, node as path from n where not exists (select 1 from l where l.src = n.src and l.child = n.node)
+        union all select l.src, l.child, up.root, up.d + 1, up.path || ' > ' || l.child from up join l on l.src = up.src and l.parent = up.node)
+select n.src, n.node, coalesce(up.root, '') as root, coalesce(up.d, -1)::int as depth, up.path from n left join up on up.src = n.src and up.node = n.node
+"""
+
+_P2_DESCENDANTS = f"""
+with recursive {_P2_LINKS},
+ up as (select src, node from n where not exists (select 1 from l where l.src = n.src and l.child = n.node) union all select l.src, l.child from up join l on l.src = up.src and l.parent = up.node),
+ pairs as (select l.src, l.parent as ancestor, l.child as node, 1 as distance from l join up on up.src = l.src and up.node = l.child
+        union all select p.src, l.parent, p.node, p.distance + 1 from pairs p join l on l.src = p.src and l.child = p.ancestor)
+select src, ancestor, node, distance from pairs
+"""
+
 _P2_PATHS = f"""
 with recursive {_P2_LINKS},
  x as (select child, parent from l where src = 'edges'), y as (select node from n where src = 'edges'),
@@ -170,4 +185,4 @@ with recursive {_P2_LINKS},
 select y.node, coalesce(up.d, -1)::int as depth, up.path from y left join up on up.node = y.node
 """
 
-SQL = {"p1_found": _P1, "p1_tables": _P1_TABLES, "p1_results": _P1_RESULTS, "p1_parts": _P1_PARTS, "p2_found": _P2, "p2_paths": _P2_PATHS}
+SQL = {"p1_found": _P1, "p1_tables": _P1_TABLES, "p1_results": _P1_RESULTS, "p1_parts": _P1_PARTS, "p2_found": _P2, "p2_paths": _P2_PATHS, "p2_all_paths": _P2_ALL_PATHS, "p2_descendants": _P2_DESCENDANTS}
