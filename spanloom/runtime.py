@@ -56,7 +56,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_cleaned: set[str] = set()
+
+
 def new_path(spark: SparkSession, hint: str) -> str:
+    """A path below the shared folder, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(_cleanup_quietly, spark)
     return f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}/{hint}-{uuid.uuid4().hex}"
 
 
@@ -65,6 +73,13 @@ def cleanup(spark: SparkSession) -> None:
     drop_path(spark, f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}")
 
 
+def _cleanup_quietly(spark: SparkSession) -> None:
+    try:
+        cleanup(spark)
+    except Exception:  # noqa: BLE001, S110 - the session may have ended before
+        pass
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table that has been superseded."""
     jvm = spark.sparkContext._jvm

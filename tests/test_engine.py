@@ -4,8 +4,11 @@ import json
 
 import pytest
 
-from spanloom.api import Config, Engine
-from spanloom.plans.explain import NoResults, SessionNotFound
+from spanloom.api import Config, Engine, main
+from spanloom.params import SCHEMA_VERSION, TABLES
+from spanloom.plans.explain import NoResults, SessionNotFound, target_anchors
+from spanloom.runtime import Folder
+from spanloom.sources import append, files
 from spanloom.sources.stores import Store, rebuild, union_stores
 
 CODE = "\n".join(f"fn step_{i}(value: u64) -> u64 {{ value + {i} }}" for i in range(60))
@@ -213,3 +216,135 @@ def test_configuration_cascade(tmp_path):
     with pytest.raises(ValueError):
         Config.load(str(repo), str(home))
     assert error_payload(NoResults("x"))["error"]["code"] == "no_results"
+
+
+EV = [("a1", "t1", 0, "edit", "f", "2025"), ("a2", "t1", 1, "read", "g", "2025"), ("a1", "t2", 0, "tool", "", "2024")]
+
+
+def test_store_commits_all_or_nothing(spark, tmp_path):
+    """On an address instead of a path; what was never marked isn't read, and many commits become one."""
+    store = Store(spark, f"file://{tmp_path}/s").create()
+    rows = spark.createDataFrame(EV, TABLES["evidence"][0])
+    assert store.read("evidence").count() == 0 and not Store(spark, f"file://{tmp_path}/none").exists()
+    store.files.delete(f"commits/{store.commit({'evidence': rows})}.json")
+    assert store.read("evidence").count() == 0
+    store.commit({"evidence": rows.where("tape_id = 't1'"), "tapes": spark.createDataFrame([("t1",), ("t1",)], "tape_id STRING")})
+    store.commit({"evidence": rows.where("tape_id = 't2'")})
+    assert store.read("evidence").count() == 3 and store.read("tapes").count() == 1 and store.has_tape("t1") and not store.has_tape("t2")
+    store.compact()
+    assert len(store.commits()) == 1 and sorted(map(tuple, store.read("evidence").collect())) == sorted(EV)
+    store.put_result("r", "grep", "{}", "2025-01-01")
+    store.put_result("r", "grep", "{1}", "2025-01-02")
+    assert [r["payload_json"] for r in store.results().collect()] == ["{1}"]
+
+
+def test_older_store_is_migrated(spark, tmp_path):
+    root = tmp_path / "old"
+    root.mkdir()
+    (root / "schema_version.json").write_text('{"version": 3}')
+    (root / "cursors.json").write_text('{"/x/a.jsonl": [12, "g"]}')
+    spark.createDataFrame(EV, TABLES["evidence"][0]).write.parquet(str(root / "evidence"))
+    with pytest.raises(ValueError):
+        Store(spark, str(root)).check()
+    store = Store(spark, str(root)).create()
+    assert store.version() == SCHEMA_VERSION and store.read("evidence").count() == 3
+    assert [tuple(r) for r in store.cursors().select("path", "cursor", "guard").collect()] == [("/x/a.jsonl", 12, "g")]
+    Folder(spark, str(root)).write("schema_version.json", '{"version": 99}')
+    with pytest.raises(ValueError):
+        store.create()
+
+
+def test_tape_comes_whole_from_the_first_store_that_has_it(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / n)).create() for n in "ab")
+    one.commit({"evidence": spark.createDataFrame(EV[:1], TABLES["evidence"][0])})
+    two.commit({"evidence": spark.createDataFrame(EV, TABLES["evidence"][0])})
+    got = {(r["anchor"], r["tape_id"], r["store_rank"]) for r in union_stores([one, two], "evidence").collect()}
+    assert got == {("a1", "t1", 0), ("a1", "t2", 1)}
+
+
+def test_ranges_of_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK", 7)
+    f = tmp_path / "d" / "x.jsonl"
+    f.parent.mkdir()
+    f.write_bytes("é one\n\ntwo two two two\nend".encode())
+    for path in (str(f), f"file://{f}"):
+        assert [x.decode() for x in files.lines(path, 0, 99)] == ["é one\n", "\n", "two two two two\n", "end"]
+        assert b"".join(files.lines(path, 8, 12)) == b"two " and files.stat(path).size == 27
+    assert [s.path for s in files.listed(str(tmp_path))] == [str(f)] and files.listed(str(tmp_path / "none")) == [] and files.stat(str(tmp_path)) is None
+    assert files.listed(f"file://{tmp_path}")[0].path == f"file://{f}"
+
+
+def test_reader_takes_changed_files_after_their_debounce(tmp_path, monkeypatch):
+    now, opened = [0.0], []
+    monkeypatch.setattr(append.time, "monotonic", lambda: now[0])
+    read = files.read_range
+    monkeypatch.setattr(files, "read_range", lambda p, a, b: (opened.append(p), read(p, a, b))[1])
+    (tmp_path / "in").mkdir()
+    for n in ("a.jsonl", "b.txt", "in/c.jsonl"):
+        (tmp_path / n).write_text('{"a": 1}\n')
+    r = append.AppendedReader(str(tmp_path), "*.jsonl", "in/*.jsonl", debounce=5)
+    c = str(tmp_path / "in" / "c.jsonl")
+    assert r.latestOffset() == {}
+    now[0] = 6
+    first = r.latestOffset()
+    assert list(first) == [c] and [(p.start, p.end) for p in r.partitions({}, first)] == [(0, 9)]
+    opened.clear()
+    assert r.latestOffset() == first and opened == []  # nothing changed: nothing is read
+    (tmp_path / "in" / "c.jsonl").write_text('{"a": 1}\n{"b": 2}\n{"c"')
+    assert r.latestOffset() == first
+    now[0] = 12
+    assert [(p.start, p.end) for p in r.partitions(first, r.latestOffset())] == [(9, 18)]
+
+
+def test_targets_are_relative_to_the_engine(tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "x.rs").write_text(CODE)
+    span = target_anchors("src/x.rs:1-30", cwd=str(tmp_path))
+    assert span[0] == "span" and span == target_anchors(f"{tmp_path}/src/x.rs:1-30") and target_anchors("src/x.rs", cwd=str(tmp_path))[0] == "file" and target_anchors("src/x.rs:1-30")[0] == "text"
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    """Every command, by its flags; answers and errors are JSON."""
+    repo = tmp_path / "repo"
+    (repo / "src").mkdir(parents=True)
+    (repo / "w").mkdir()
+    (repo / "src" / "steps.rs").write_text(CODE)
+    (repo / "a.jsonl").write_text(claude_file())
+    (repo / ".spanloom").mkdir()
+    (repo / "watch.json").write_text(json.dumps({"store": "../.spanloom/store", "watch": {"sources": [{"path": "w", "pattern": "*.jsonl", "glob": "in/*.jsonl"}, {"path": "missing"}], "debounce": 0.1}}))
+
+    def call(*argv, code=0):
+        assert main([*argv], spark, str(repo), str(tmp_path)) == code
+        told = capsys.readouterr()
+        return told.err if code else told.out
+
+    assert json.loads(call("ingest", "a.jsonl"))["imported"] == 1
+    tape = json.loads(call("tapes"))[0]["tape_id"]
+    out = json.loads(call("explain", "src/steps.rs:10-40", "--limit", "3", "--min-confidence", "0.6", "--depth", "2", "--include-deleted", "--forensics", "--max-fanout", "5", "--max-edges", "50"))
+    assert out["total"] == 1 and out["query"]["include_deleted"] and out["query"]["depth"] == 2 and out["sessions"][0]["session_id"] == tape
+    assert call("explain", "src/steps.rs", "--pretty").startswith("1 of 1 sessions")
+    assert json.loads(call("explain", "no such thing was ever written here at all", code=1))["error"]["code"] == "no_results"
+    assert json.loads(call("grep", "step_3", "--count", "--since", "2025-01-01"))["total"] == 1
+    shown = json.loads(call("peek", tape, "--start", "2", "--lines", "2"))["session"]["content"]
+    assert [x["line"] for x in shown] == [2, 3] and json.loads(call("peek", tape, "--grep-filter", "please add"))["session"]["content"]
+    call("rate", out["result_id"], "--outcome", "noise", "--note", "n")
+    assert json.loads(call("rate", "none", "--outcome", "noise", code=1))["error"]
+    assert call("show", tape, "--raw").count("\n") == len(json.loads(call("show", tape))) and json.loads(call("gc"))["kept"] == 1
+    monkeypatch.setattr("sys.stdin", __import__("io").StringIO('{"t": "2025-01-01T00:00:00Z", "k": "msg.in", "content": "words that came by standard input alone"}\n'))
+    assert json.loads(call("record", "--stdin"))["imported"] == 1
+    assert json.loads(call("record", code=1))["error"]["message"].startswith("record takes")
+    (repo / "w" / "in").mkdir()
+    (repo / "w" / "in" / "x.jsonl").write_text(claude("2025-04-01T00:00:00Z", "user", "watched by the command line", "w") + "\n")
+    (repo / "w" / "out.jsonl").write_text(claude("2025-04-01T00:00:00Z", "user", "outside of the glob", "w") + "\n")
+    assert json.loads(call("watch", "--config", "watch.json", "--once"))["watched"] == 1
+    assert json.loads(call("gc"))["kept"] == 3 and "skipped missing_dir" in (repo / ".spanloom" / "watch.log").read_text()
+    with pytest.raises(SystemExit):
+        main(["--help"], spark, str(repo), str(tmp_path))
+
+
+def test_package_offers_its_parts():
+    import spanloom
+
+    assert spanloom.Engine is Engine and set(spanloom.__all__) >= {"Store", "normalise", "detect"} and spanloom.DIALECTS
+    with pytest.raises(AttributeError):
+        spanloom.nothing

@@ -287,3 +287,20 @@ def test_discovery(tmp_path):
     names = lambda f: [p.rsplit("/", 1)[-1] for p in f(str(repo), str(home))]
     assert names(discovery.claude) == ["t.jsonl", "s.jsonl"] or sorted(names(discovery.claude)) == ["s.jsonl", "t.jsonl"]
     assert names(discovery.codex) == ["1.jsonl"] and names(discovery.openclaw) == ["1.jsonl"] and names(discovery.cursor) == ["state.vscdb"] and names(discovery.gemini) == []
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_salted_join_gives_every_pair(spark, most):
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("rare", 3), ("none", 4), (None, 5)], "k STRING, q INT")
+    many = spark.createDataFrame([("hot", i) for i in range(40)] + [("rare", 100), ("other", 101), (None, 102)], "k STRING, d INT")
+    got = sorted((r["q"], r["d"]) for r in lookup.salted_join(few, many, "k", "d", most).collect())
+    assert got == sorted([(q, d) for q in (1, 2) for d in range(40)] + [(3, 100)])
+
+
+def test_sessions_are_counts_and_files_are_rows(spark):
+    rows = [("a", "t", i % 5, "edit", f"f{i % 3}", f"2025-0{i % 9 + 1}") for i in range(60)] + [("a", "u", 3, "tool", "", "")]
+    touches = lookup.touches_of(spark.createDataFrame(rows, "anchor STRING, tape_id STRING, event_offset BIGINT, kind STRING, file_path STRING, timestamp STRING"))
+    got = {r["tape_id"]: tuple(r)[1:] for r in lookup.sessions(touches).collect()}
+    assert got == {"t": (touches.where("tape_id = 't'").count(), 3, "2025-09", 0), "u": (1, 0, "", 3)}
+    log = spark.createDataFrame([("u", "x", None, "y"), ("t", "z", None, None)], "tape_id STRING, file STRING, from_file STRING, to_file STRING")
+    assert sorted(map(tuple, lookup.files_touched(touches, log).collect())) == [("t", "f0"), ("t", "f1"), ("t", "f2"), ("u", "x"), ("u", "y")]
