@@ -37,7 +37,11 @@ ROLES = {"user": 0, "assistant": 1}
 NO_TURN, TURN, BROKEN = 0, 1, 2
 #: Next state by role (rows) and state (columns).
 STEP = ((1, 3, 1, 3), (3, 2, 2, 3))
-SAME, ACCEPT = (0, 1, 2, 3), 2
+ACCEPT = 2
+#: A table of next states is one number of two bits a state.
+SAME = 0b11_10_01_00
+#: The table after one more turn, by role and table before.
+AFTER = tuple([sum(STEP[who][table >> 2 * s & 3] << 2 * s for s in range(4)) for table in range(256)] for who in range(2))
 _ARRAY = re.compile(r"\s*\[\s*([\[{\"\]]|$)")
 
 
@@ -89,10 +93,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, who in zip(zip(b.column("src").to_pylist(), b.column("session_id").to_pylist(), strict=True), b.column("who").to_pylist(), strict=True):
             if key != at:
                 at, n, table = key, 0, SAME
-            n, table = n + 1, tuple(STEP[who][s] for s in table)
-            nos.append(n), codes.append(list(table))
+            n, table = n + 1, AFTER[who][table]
+            nos.append(n), codes.append(table)
         yield pa.RecordBatch.from_arrays(
-            [b.column("src"), b.column("session_id"), b.column("row_id"), pa.array([part] * len(nos), pa.int32()), pa.array(nos, pa.int64()), pa.array(codes, pa.list_(pa.int32()))],
+            [b.column("src"), b.column("session_id"), b.column("row_id"), pa.array([part] * len(nos), pa.int32()), pa.array(nos, pa.int64()), pa.array(codes, pa.int32())],
             names=["src", "session_id", "row_id", "part", "no", "table"],
         )
 
@@ -106,11 +110,11 @@ def conversations(rows: DataFrame) -> DataFrame:
     turns = once.where(F.col("status") == TURN).join(broken, ["src", "session_id"], "left_anti")
     order = ["src", "session_id", "at", "row_id"]
     sorted_turns = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("src", "session_id", "row_id", "who")
-    numbered, _ = materialize(sorted_turns.mapInArrow(_number, "src STRING, session_id STRING, row_id BIGINT, part INT, no BIGINT, table ARRAY<INT>"), "numbered")
+    numbered, _ = materialize(sorted_turns.mapInArrow(_number, "src STRING, session_id STRING, row_id BIGINT, part INT, no BIGINT, table INT"), "numbered")
     # a session has at most as many stretches as there are partitions
     stretches = numbered.groupBy("src", "session_id", "part").agg(F.max("no").alias("n"), F.max_by("table", "no").alias("table"))
     before = F.sum("n").over(W.partitionBy("src", "session_id").orderBy("part")) - F.col("n")
-    state = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "table"))), F.lit(0), lambda s, x: F.element_at(x["table"], s + 1))
+    state = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "table"))), F.lit(0), lambda s, x: F.call_function("shiftright", x["table"], s * 2).bitwiseAND(3))
     kept = stretches.groupBy("src", "session_id").agg(state.alias("state")).where(F.col("state") == ACCEPT).drop("state")
     offsets = stretches.withColumn("before", before).select("src", "session_id", "part", "before").join(kept, ["src", "session_id"], "left_semi")
     return numbered.join(offsets, ["src", "session_id", "part"]).select("src", "session_id", (F.col("no") + F.col("before")).cast("int").alias("turn_no"), "row_id")
