@@ -8,12 +8,12 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import fingerprint as fp
 from spanloom.functions.scalar import in_dates, result_id, tier_of
 from spanloom.operators import dispatch, events, graph, lookup, windows
+from spanloom.operators.running import position_bucket, running_sum
 from spanloom.params import DEFAULT, Params
 from spanloom.sources.stores import Store, union_stores
 from spanloom.sources.tapes import span_variants
@@ -215,7 +215,7 @@ def _dispatch_line(stores: list[Store], rows: DataFrame, session_id: str) -> int
     if turn is None:
         return 1
     placed = windows.positions(rows).where(F.get_json_object("raw", "$.k").isin("msg.in", "msg.out"))
-    placed = placed.withColumn("turn", F.row_number().over(W.partitionBy("tape_id").orderBy("line_no")) - 1)
+    placed = running_sum(placed, ["tape_id"], ["line_no"], position_bucket(F.col("line_no")), F.lit(1), "turn", before=True)
     at = placed.where(F.col("turn") == turn).select("position").limit(1).collect()
     return at[0]["position"] + 1 if at else 1
 

@@ -114,9 +114,12 @@ def marker_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalised_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The normalised log of the document sessions as text, read back strictly: events of each kind."""
-    lines = to_lines(normalise(opencode_lines(spark, d), "opencode"))
-    return events.parse_strict(lines).groupBy("k").agg(F.count("*").alias("n"))
+    """The normalised logs of all dialects as text, read back strictly: events of each kind and dialect."""
+    out = None
+    for name, lines in LINES.items():
+        rows = events.parse_strict(to_lines(normalise(lines(spark, d), name))).groupBy("k").agg(F.count("*").alias("n")).select(F.lit(name).alias("dialect"), "k", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 _MESSAGES = ("msg.in", "msg.out")
@@ -167,7 +170,7 @@ _CLAUDE_CONTENT = f"""with r as (select file_name as tape_id, type, message.cont
  union all select tape_id, 'msg.out', null, null, md5(c) from r where type = 'assistant' and not arr and c <> ''
  union all select tape_id, 'msg.out', null, null, md5(b->>'$.text') from b where b->>'$.type' = 'text' and json_type(b, '$.text') = 'VARCHAR' and b->>'$.text' <> ''
  union all select tape_id, 'tool.call', coalesce(nullif(b->>'$.name', ''), 'unknown'), b->>'$.id', null from b where b->>'$.type' = 'tool_use'"""
-_CODEX_CONTENT = f"""with r as (select coalesce(session_id, 'none') as tape_id, payload as p, {_is_array("payload.content")} as arr from supported_paths where dialect = 'codex' and type = 'response_item'),
+_CODEX_CONTENT = rf"""with r as (select coalesce(session_id, 'none') as tape_id, payload as p, {_is_array("payload.content")} as arr from supported_paths where dialect = 'codex' and type = 'response_item'),
  m as (select tape_id, p.role as role, case when arr then {_TEXT_OF.format(a="p.content")} else p.content end as t from r where p.type = 'message')
  select tape_id, case when role = 'assistant' then 'msg.out' else 'msg.in' end as k, null as call_id, null::int as exit, md5(t) as content_md5, null as args_md5, null as stdout_md5 from m where t <> ''
  union all select tape_id, 'tool.call', p.call_id, null, null, md5(coalesce(p.arguments, p.input, 'null')), null from r where p.type in ('function_call', 'custom_tool_call')

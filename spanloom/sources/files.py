@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,5 +76,14 @@ def lines(path: str, start: int, end: int) -> Iterator[bytes]:
             yield rest
 
 
+def write_whole(path: str, data: bytes) -> None:
+    """Writes beside the target, then renames, so that readers see all or nothing."""
+    where, inner = place(path)
+    temp = f"{inner}.{uuid.uuid4().hex}.tmp"
+    with where.open_output_stream(temp) as f:
+        f.write(data)
+    where.move(temp, inner)
+
+
 def name_of(path: str) -> str:
     return posixpath.basename(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from pathlib import Path
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.params import TAPE_LINES
+from spanloom.sources import files
 
 SUFFIX = ".jsonl.zst"
 
@@ -30,7 +30,7 @@ def read_text_files(spark: SparkSession, folder: str, pattern: str = "*.jsonl")
 def read_tapes(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(tape_id, line_no, raw) of the tapes of folders; of one tape in several the first folder counts."""
     out = None
-    for rank, folder in enumerate(f for f in folders if any(Path(f).glob(f"*{SUFFIX}"))):
+    for rank, folder in enumerate(f for f in folders if any(x.path.endswith(SUFFIX) for x in files.listed(f))):
         rows = read_text_files(spark, folder, f"*{SUFFIX}").select(F.regexp_extract("path", r"([^/]+)\.jsonl\.zst$", 1).alias("tape_id"), "line_no", "raw", F.lit(rank).alias("rank"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -39,22 +39,13 @@ def read_tapes(spark: SparkSession, folders: list[str]) -> DataFrame:
     return out.join(best, ["tape_id", "rank"]).drop("rank")
 
 
-def atomic_write(path: str, data: bytes) -> None:
-    """Writes beside the target, then renames, so that readers see all or nothing."""
-    temp = f"{path}.{os.getpid()}.tmp"
-    with open(temp, "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temp, path)
-
-
 def export_tapes(lines: DataFrame, folder: str) -> DataFrame:
     """Writes each tape of (tape_id, line_no, raw) as a compressed file named by its content, if it isn't there yet.
 
-    The folder must be one that all executors share. Gives (tape_id, content_id, n_bytes, written).
+    The folder, a path or an address, must be one that all executors share. Gives (tape_id, content_id, n_bytes, written).
     """
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    where, inner = files.place(folder)
+    where.create_dir(inner, recursive=True)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         import zstandard
@@ -62,9 +53,9 @@ def export_tapes(lines: DataFrame, folder: str) -> DataFrame:
         text = "".join(r + "\n" for r in pdf.sort_values("line_no")["raw"])
         content, data = tape_id_of(text), zstandard.ZstdCompressor().compress(text.encode())
         target = f"{folder}/{content}{SUFFIX}"
-        fresh = not os.path.exists(target)
+        fresh = files.stat(target) is None
         if fresh:
-            atomic_write(target, data)
+            files.write_whole(target, data)
         return pd.DataFrame([(pdf["tape_id"].iloc[0], content, len(data), fresh)], columns=["tape_id", "content_id", "n_bytes", "written"])
 
     return lines.groupBy("tape_id").applyInPandas(write, "tape_id STRING, content_id STRING, n_bytes BIGINT, written BOOLEAN")
