@@ -144,7 +144,7 @@ def test_climb_and_chains(spark):
     assert dispatch.climb(spark.createDataFrame([("X", 1)], "tape_id STRING, turn BIGINT"), loop).count() == 2
     sessions = spark.createDataFrame([(x,) for x in "ABCDE"], "session_id STRING")
     c = {r["session_id"]: r for r in graph.chains(sessions, spark.createDataFrame([("A", "B", 1), ("B", "C", 2), ("A", "C", 1), ("Z", "D", 1), ("E", "E", 1)], "parent STRING, child STRING, position INT")).collect()}
-    assert (c["C"]["root"], c["C"]["depth"], c["C"]["chain_length"], c["A"]["children"], c["D"]["depth"], c["E"]["root"]) == ("A", 2, 3, ["B", "C"], 0, "E")
+    assert (c["C"]["root"], c["C"]["depth"], c["C"]["chain_length"], c["A"]["n_children"], c["D"]["depth"], c["E"]["root"]) == ("A", 2, 3, 2, 0, "E")
 
 
 def test_climb_of_a_long_chain(spark):
