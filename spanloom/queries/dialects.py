@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.dialects.normalise import content_ids, normalise, to_lines
 from spanloom.operators import dispatch, events
 from spanloom.sources.detect import detect
-from spanloom.runtime import table
+from spanloom.runtime import materialize, table
 
 
 def _rows(df: DataFrame, tape, line, *cols: str) -> DataFrame:
@@ -117,7 +117,8 @@ def normalised_lines(spark: SparkSession, d: str) -> DataFrame:
     """The normalised logs of all dialects as text, read back strictly: events of each kind and dialect."""
     out = None
     for name, lines in LINES.items():
-        rows = events.parse_strict(to_lines(normalise(lines(spark, d), name))).groupBy("k").agg(F.count("*").alias("n")).select(F.lit(name).alias("dialect"), "k", "n")
+        text, _ = materialize(to_lines(normalise(lines(spark, d), name)), "normal")  # a plan for each dialect instead of one for all
+        rows = events.parse_strict(text).groupBy("k").agg(F.count("*").alias("n")).select(F.lit(name).alias("dialect"), "k", "n")
         out = rows if out is None else out.unionByName(rows)
     return out
 
