@@ -212,11 +212,6 @@ def token_anchors(text: Column, p: Params = DEFAULT) -> Column:
     return _udf(lambda t: token_anchors_py(t, p))(text)
 
 
-def text_features(text: Column, p: Params = DEFAULT) -> Column:
-    """Array of the features of a whole text; null for null."""
-    return _udf(lambda t: features_py(t, p))(text)
-
-
 def both_sides(one: Column, two: Column, compared: Column, p: Params = DEFAULT) -> Column:
     """Struct of the token anchors of two texts (a1, a2) and, where ``compared``, the features of both as wholes (f1, f2).
 

@@ -99,12 +99,6 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def new_only(rows: DataFrame, existing: DataFrame | None, key: list[str]) -> DataFrame:
-    """Insert-or-ignore: rows whose key isn't stored yet, each key once."""
-    once = rows.dropDuplicates(key)
-    return once if existing is None else once.join(existing.select(*key), key, "left_anti")
-
-
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     """Insert-or-replace: of each key the row with the greatest ``by``."""
     rest = [c for c in rows.columns if c not in key]

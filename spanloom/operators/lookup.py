@@ -13,11 +13,6 @@ def evidence_for(evidence: DataFrame, anchors: list[str]) -> DataFrame:
     return evidence.where(F.col("anchor").isin(anchors))
 
 
-def evidence_join(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Evidence of many anchors (with the anchors' other columns); the planner picks the join by size."""
-    return anchors.join(evidence, "anchor")
-
-
 def scores(direct: DataFrame, n_anchors: int) -> DataFrame:
     """(tape_id, score): the part of the query's anchors that a tape holds."""
     return direct.groupBy("tape_id").agg((F.count_distinct("anchor") / F.lit(n_anchors)).cast("float").alias("score"))

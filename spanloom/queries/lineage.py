@@ -281,7 +281,6 @@ _TYPED = f"""{_LOG},
  typ as (select *, case when k in ('meta', 'msg.in', 'msg.out', 'tool.call', 'tool.result') then k when k = 'code.read' and file is not null and range is not null then k
    when k = 'code.edit' and file is not null then k when k = 'span.link' and from_file is not null and from_range is not null and to_file is not null and to_range is not null then k else 'other' end as kind,
    case when k in ('msg.in', 'msg.out') then content when k = 'tool.call' then args when k = 'tool.result' and (stdout is not null or stderr is not null) then concat_ws(chr(10), stdout, stderr) end as payload from claw)"""
-_PRE = "'winnow:'"
 _EXPANDED = "case when starts_with(x, 'winnow:') then list_transform(list_filter(string_split(substr(x, 8), ','), lambda y: y <> ''), lambda y: 'winnow:' || y) else [x] end"
 _INDEX = f"""{_TYPED},
  src as (select tape_id, event_offset, 0 as side, payload as tx from typ where kind in ('msg.in', 'msg.out', 'tool.call', 'tool.result') and payload is not null
